@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variant as V
 from ..functions.signing import hmac_sha256_hex, stable_id
+from .skew import lookup_join
 
 # The handled event, its actions, and the formats of header and target fields.
 HANDLED_EVENT = "pull_request"
@@ -148,7 +149,7 @@ def delivery_disposition(df: DataFrame) -> DataFrame:
     arrival = F.struct("received_at", "seq")
     firsts = (marked.filter(F.col("reason").isNull()).groupBy("delivery_id")
               .agg(F.min(arrival).alias("_first")))
-    joined = marked.join(firsts, "delivery_id", "left")
+    joined = lookup_join(marked, firsts, ["delivery_id"], spread=["seq"])
     disposition = (F.when(F.col("reason") == "signature", "unauthenticated")
                    .when(F.col("reason").isNotNull(), "invalid")
                    .when(arrival != F.col("_first"), "duplicate")
@@ -178,7 +179,7 @@ def insert_new(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] =
     first = F.min(F.struct(*order)).alias("_first")
     winners = (incoming.groupBy(*keys).agg(first)
                .join(existing.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left"))
-    marked = incoming.join(winners, keys, "left")
+    marked = lookup_join(incoming, winners, keys, spread=list(order))
     inserted = F.col("_known").isNull() & (F.struct(*order) == F.col("_first"))
     pick = lambda condition: marked.filter(condition).select(*incoming.columns)
     return pick(inserted), pick(~inserted)
