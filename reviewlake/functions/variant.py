@@ -34,6 +34,11 @@ def is_json_null(value: Column) -> Column:
     return F.coalesce(type_of(value) == "VOID", F.lit(False))
 
 
+def is_absent(value: Column) -> Column:
+    """Missing or JSON null."""
+    return value.isNull() | is_json_null(value)
+
+
 def is_array(value: Column) -> Column:
     return F.coalesce(type_of(value).startswith("ARRAY<"), F.lit(False))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variant as V
+from ..functions.binding import pin
 from ..functions.signing import hmac_sha256_hex, stable_id
 from .skew import lookup_join
 
@@ -31,7 +32,7 @@ def verify_signature(df: DataFrame, secret: str) -> DataFrame:
     if not secret:
         raise ValueError("webhook secret is not configured")
     expected = F.concat(F.lit("sha256="), hmac_sha256_hex(F.col("body"), secret))
-    return df.withColumn("authentic", F.coalesce(F.col("signature") == expected, F.lit(False)))
+    return pin(df, authentic=F.coalesce(F.col("signature") == expected, F.lit(False)))
 
 
 def check_headers(df: DataFrame) -> DataFrame:
@@ -49,26 +50,26 @@ def parse_body(df: DataFrame, body: str = "body") -> DataFrame:
     content = F.col(body)
     if dict(df.dtypes)[body] == "binary":
         content = F.try_validate_utf8(content.cast("string"))
-    parsed = df.withColumn("payload", V.parse(content))
-    return parsed.withColumn("body_ok", V.is_object(F.col("payload")))
+    parsed = pin(df, payload=V.parse(content))
+    return pin(parsed, body_ok=V.is_object(F.col("payload")))
 
 
 def extract_target(df: DataFrame) -> DataFrame:
     """Add the target fields and ``target_ok``; a strict integer is neither true nor "7"."""
     payload = F.col("payload")
-    fields = df.select(
-        "*",
-        V.text(payload, "$.action").alias("action"),
-        V.whole(payload, "$.repository.id").alias("repository_id"),
-        V.text(payload, "$.repository.full_name").alias("repository_name"),
-        V.whole(payload, "$.pull_request.number").alias("pull_request_number"),
-        V.text(payload, "$.pull_request.head.sha").alias("head_sha"),
-        V.text(payload, "$.pull_request.base.sha").alias("base_sha"),
-        V.whole(payload, "$.installation.id").alias("installation_id"),
-        V.at(payload, "$.pull_request.base.sha").alias("_base"),
+    fields = pin(
+        df,
+        action=V.text(payload, "$.action"),
+        repository_id=V.whole(payload, "$.repository.id"),
+        repository_name=V.text(payload, "$.repository.full_name"),
+        pull_request_number=V.whole(payload, "$.pull_request.number"),
+        head_sha=V.text(payload, "$.pull_request.head.sha"),
+        base_sha=V.text(payload, "$.pull_request.base.sha"),
+        installation_id=V.whole(payload, "$.installation.id"),
+        no_base=V.is_absent(V.at(payload, "$.pull_request.base.sha")),
     )
-    base_ok = F.col("_base").isNull() | V.is_json_null(F.col("_base")) | F.col("base_sha").rlike(COMMIT)
-    return fields.withColumn("target_ok", target_ok() & F.coalesce(base_ok, F.lit(False))).drop("_base")
+    base_ok = F.col("no_base") | F.coalesce(F.col("base_sha").rlike(COMMIT), F.lit(False))
+    return fields.withColumn("target_ok", target_ok() & base_ok).drop("no_base")
 
 
 def target_ok() -> Column:
