@@ -74,7 +74,7 @@ def next_within(df: DataFrame, group: Sequence[str], coarse: Column, order: Sequ
     over_blocks = Window.partitionBy(*group).orderBy("_coarse")
     following = firsts.select(*group, "_coarse", F.lead("_first").over(over_blocks).alias("_following"))
     local = Window.partitionBy(*group, "_coarse").orderBy(*order)
-    return (marked.withColumn("_next", F.lead("_value").over(local))
+    return (marked.withColumn("_near", F.lead("_value").over(local))
             .join(following, [*group, "_coarse"])
-            .withColumn(name, F.coalesce("_next", "_following"))
-            .drop("_coarse", "_value", "_next", "_following"))
+            .withColumn(name, F.coalesce("_near", "_following"))
+            .drop("_coarse", "_value", "_near", "_following"))
