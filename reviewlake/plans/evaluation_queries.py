@@ -61,11 +61,11 @@ def _combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT review_id, idx, CASE WHEN at_r IS NOT NULL AND (review_id, idx) > (at_r, at_i) THEN 'not_run' WHEN error IS NOT NULL THEN 'failed'
          ELSE 'completed' END AS run_status, CASE WHEN at_r IS NOT NULL AND (review_id, idx) > (at_r, at_i) THEN code ELSE error END AS run_reason
        FROM tries LEFT JOIN (SELECT review_id AS at_r, idx AS at_i, error AS code FROM tries WHERE error IS NOT NULL ORDER BY review_id, idx LIMIT 1) ON true""",
-    tries="""SELECT review_id, idx, CASE WHEN finish_reason <> 'STOP' AND prompt_tokens > 70 THEN 'ai_incomplete_response' END AS error
-             FROM model_responses WHERE review_id > 5"""))
+    tries="""SELECT review_id, idx, CASE WHEN finish_reason <> 'STOP' AND raw LIKE '%part 7%' THEN 'ai_incomplete_response' END AS error
+             FROM model_responses"""))
 def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tries = view(spark, sf_dir, "model_responses").filter("review_id > 5").select("review_id", "idx", F.when(
-        (F.col("finish_reason") != "STOP") & (F.col("prompt_tokens") > 70), "ai_incomplete_response").alias("error"))
+    tries = view(spark, sf_dir, "model_responses").select("review_id", "idx", F.when(
+        (F.col("finish_reason") != "STOP") & F.col("raw").contains("part 7"), "ai_incomplete_response").alias("error"))
     return K.blocked_status(tries, ["review_id", "idx"]).select("review_id", "idx", "run_status", "run_reason")
 
 

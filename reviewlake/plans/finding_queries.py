@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff as D
 from ..operators import findings as E
+from ..operators.reviewer import deterministic_reviewer, review_files
 from ..schemas import FINDING_COLUMNS
 from .fixtures import oracle, view
 from .patch_queries import DIFF
@@ -250,3 +251,16 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jobs.join(static, "review_id", "left").join(outcomes, "review_id", "left").fillna(
         {"static_failed": False, "ai_failed": 0, "ai_skipped": 0, "ai_transient": False})
     return E.component_status(joined).select("review_id", "ai_status", "retry_ai", "final_status")
+
+
+@query("finding_pluggable_reviewer", "OP-N1", sql=oracle(
+    """SELECT c.review_id, c.filename, CASE WHEN c.filename LIKE '%7.py' THEN 'failed' ELSE 'reviewed' END AS outcome,
+         CASE WHEN c.filename LIKE '%7.py' THEN 'ai_http_503' END AS error, c.filename LIKE '%7.py' AS retryable,
+         CASE WHEN c.filename NOT LIKE '%7.py' THEN CAST(a.line AS INTEGER) END AS line_number
+       FROM changed_files c LEFT JOIN (SELECT review_id, filename, max(line) AS line FROM added GROUP BY ALL) a
+         ON a.review_id = c.review_id AND a.filename = c.filename""", **DIFF, added=ADDED))
+def _reviewer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, "changed_files").select(
+        "review_id", "filename", D.added_numbers(F.col("patch")).alias("added"), F.col("filename").endswith("7.py").alias("unavailable"))
+    reviewed_rows = review_files(files, deterministic_reviewer)
+    return reviewed_rows.select("review_id", "filename", "outcome", "error", "retryable", "line_number")

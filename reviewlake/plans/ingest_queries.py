@@ -57,8 +57,12 @@ def _sql(text: str, **more: str) -> str:
 
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed_rows(view(spark, sf_dir, "landed"))
+
+
+def signed_rows(landed: DataFrame) -> DataFrame:
     """Landed deliveries with their signature header; a few are forged or missing."""
-    landed = view(spark, sf_dir, "landed").withColumn("body", F.col("body_text").cast("binary"))
+    landed = landed.withColumn("body", F.col("body_text").cast("binary"))
     real = F.concat(F.lit("sha256="), hmac_sha256_hex(F.col("body"), SECRET))
     header = (F.when(F.col("seq") % 31 == 2, F.lit("sha256=" + "0" * 64))
               .when(F.col("seq") % 83 == 1, F.lit(None)).otherwise(real))
