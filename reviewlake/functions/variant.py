@@ -39,12 +39,28 @@ def is_absent(value: Column) -> Column:
     return value.isNull() | is_json_null(value)
 
 
-def is_array(value: Column) -> Column:
-    return F.coalesce(type_of(value).startswith("ARRAY<"), F.lit(False))
+def members(value: Column) -> Column:
+    """An object as a map of its members; null for anything else.
 
+    One walk over the value answers whether it is an object, what keys it has and what they
+    hold; describing the schema of a whole object costs far more.
+    """
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(type_of(value).startswith("OBJECT<"), F.lit(False))
+
+def elements(value: Column, path: str = "$") -> Column:
+    """A list as an array of its elements; null for anything else."""
+    return F.try_variant_get(value, path, "array<variant>")
+
+
+def as_text(value: Column) -> Column:
+    """The value when it is a string, else null."""
+    return F.when(type_of(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def as_whole(value: Column, kind: str = "bigint") -> Column:
+    """The value when it is a whole number, else null."""
+    return F.when(type_of(value) == "BIGINT", F.try_variant_get(value, "$", kind))
 
 
 def text(value: Column, path: str = "$") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variant as V
+from ..functions.binding import let, pin
 from ..functions.text import count_lines, escaped_length
 from ..limits import DEFAULT_LIMITS, Limits
 from ..schemas import FINDING_COLUMNS, SEVERITIES, SOURCES, TEXT_CAPS
@@ -131,44 +132,50 @@ def strict_schema(df: DataFrame, item: str = "item", ai: bool = False) -> DataFr
 
     No coercion and no extra keys; with ``ai`` the suggestion is required and not empty.
     """
-    value = F.col(item)
-    texts = {name: V.text(value, f"$.{name}") for name in FINDING_COLUMNS if name != "line_number"}
-    typed = df.select(
-        "*", *[(V.whole(value, "$.line_number").try_cast("int") if name == "line_number" else texts[name]).alias(name)
-               for name in FINDING_COLUMNS],
-        V.at(value, "$.suggestion").alias("_suggestion"), F.json_object_keys(F.to_json(value)).alias("_keys"))
-    extra = F.size(F.array_except("_keys", F.array(*[F.lit(name) for name in FINDING_COLUMNS]))) > 0
-    suggestion = F.col("_suggestion")
-    shape = (F.length("suggestion") >= 1 if ai
-             else suggestion.isNull() | V.is_json_null(suggestion) | V.is_text(suggestion))
-    ok = V.is_object(value) & ~F.coalesce(extra, F.lit(True)) & shape & row_ok()
-    return typed.withColumn("schema_ok", F.coalesce(ok, F.lit(False))).drop("_suggestion", "_keys")
+    opened = pin(df, _members=V.members(F.col(item)))
+    held = F.col("_members")
+    typed = pin(opened, **{
+        name: V.as_whole(held[name], "int") if name == "line_number" else V.as_text(held[name])
+        for name in FINDING_COLUMNS})
+    return typed.withColumn("schema_ok", F.coalesce(
+        _known_keys(held) & _suggestion_ok(held, ai) & row_ok(), F.lit(False))).drop("_members")
+
+
+def _known_keys(held: Column) -> Column:
+    extra = F.array_except(F.map_keys(held), F.array(*[F.lit(name) for name in FINDING_COLUMNS]))
+    return F.size(extra) == 0
+
+
+def _suggestion_ok(held: Column, ai: bool) -> Column:
+    suggestion = held["suggestion"]
+    if ai:
+        return F.coalesce(F.length(V.as_text(suggestion)) >= 1, F.lit(False))
+    return V.is_absent(suggestion) | V.is_text(suggestion)
 
 
 def check_envelope(df: DataFrame, raw: str = "raw", finish: str | None = "finish_reason",
                    limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Add ``items`` (VARIANT) and ``envelope_error`` for a model answer.
+    """Add ``items`` (array of VARIANT) and ``envelope_error`` for a model answer.
 
     One key ``findings`` that is a list, within the count limit; anything around the JSON,
     a code fence too, makes it invalid.
     """
-    parsed = df.withColumn("_doc", V.parse(F.col(raw)))
-    keys = F.json_object_keys(F.when(F.col("_doc").isNotNull(), F.col(raw)))
-    items = V.at(F.col("_doc"), "$.findings")
-    count = F.size(F.try_variant_get(F.col("_doc"), "$.findings", "array<variant>"))
+    parsed = pin(df, _doc=V.parse(F.col(raw)))
+    opened = pin(parsed, _members=V.members(F.col("_doc")))
+    listed = pin(opened, items=V.elements(F.col("_members")["findings"]))
+    sole = (F.size("_members") == 1) & F.col("items").isNotNull()
     finished = F.lit(True) if finish is None else F.col(finish) == "STOP"
     error = (F.when(~F.coalesce(finished, F.lit(False)), "ai_incomplete_response")
              .when(F.col("_doc").isNull(), "invalid_json")
-             .when(~F.coalesce((F.size(keys) == 1) & (F.get(keys, F.lit(0)) == "findings"), F.lit(False))
-                   | ~V.is_array(items), "invalid_response_envelope")
-             .when(count > limits.max_findings_per_response, "ai_invalid_response"))
-    return (parsed.withColumn("items", items).withColumn("envelope_error", error).drop("_doc"))
+             .when(~F.coalesce(sole, F.lit(False)), "invalid_response_envelope")
+             .when(F.size("items") > limits.max_findings_per_response, "ai_invalid_response"))
+    return listed.withColumn("envelope_error", error).drop("_doc", "_members")
 
 
 def explode_items(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per finding of each sound answer: keys, ``pos``, ``item``."""
-    members = F.try_variant_get(F.when(F.col("envelope_error").isNull(), F.col("items")), "$", "array<variant>")
-    return df.select(*keys, F.posexplode(members).alias("pos", "item"))
+    sound = F.when(F.col("envelope_error").isNull(), F.col("items"))
+    return df.select(*keys, F.posexplode(sound).alias("pos", "item"))
 
 
 # --- locations ------------------------------------------------------------------------
@@ -216,7 +223,7 @@ def validate_model_responses(responses: DataFrame, files: DataFrame, keys: Seque
     """
     checked = check_envelope(responses, limits=limits)
     located = lookup_join(checked, files, list(keys), spread=["raw"])
-    members = F.try_variant_get("items", "$", "array<variant>")
+    members = F.col("items")
     bad_schema = F.exists(members, lambda item: ~item_ok(item))
     path = F.col(keys[-1])
     off = F.exists(members, lambda item: ~F.coalesce(
@@ -233,13 +240,12 @@ def validate_model_responses(responses: DataFrame, files: DataFrame, keys: Seque
 
 def item_ok(item: Column) -> Column:
     """Strict model-finding test on a VARIANT, as one expression (usable inside a lambda)."""
-    ok = V.is_object(item) & (V.whole(item, "$.line_number") > 0)
-    for name, cap in TEXT_CAPS.items():
-        ok = ok & F.length(V.text(item, f"$.{name}")).between(1, cap)
-    ok = ok & V.text(item, "$.source").isin(*SOURCES) & V.text(item, "$.severity").isin(*SEVERITIES)
-    keys = F.json_object_keys(F.to_json(item))
-    extra = F.size(F.array_except(keys, F.array(*[F.lit(name) for name in FINDING_COLUMNS])))
-    return F.coalesce(ok & (extra == 0), F.lit(False))
+    def judged(held: Column) -> Column:
+        ok = _known_keys(held) & (V.as_whole(held["line_number"]) > 0)
+        for name, cap in TEXT_CAPS.items():
+            ok = ok & F.length(V.as_text(held[name])).between(1, cap)
+        return ok & V.as_text(held["source"]).isin(*SOURCES) & V.as_text(held["severity"]).isin(*SEVERITIES)
+    return F.coalesce(let(V.members(item), judged), F.lit(False))
 
 
 # --- model input ------------------------------------------------------------------------

@@ -25,6 +25,7 @@ LABELS = {"accepted": 202, "duplicate": 200, "ignored": 200, "invalid": 400, "un
 
 JOB_KEY = ("repository_name", "pull_request_number", "head_sha")
 WHITESPACE = " \t\n\r\x0b\x0c"
+JSON_BLANKS = " \t\n\r"
 
 
 def verify_signature(df: DataFrame, secret: str) -> DataFrame:
@@ -51,7 +52,9 @@ def parse_body(df: DataFrame, body: str = "body") -> DataFrame:
     if dict(df.dtypes)[body] == "binary":
         content = F.try_validate_utf8(content.cast("string"))
     parsed = pin(df, payload=V.parse(content))
-    return pin(parsed, body_ok=V.is_object(F.col("payload")))
+    # Valid JSON whose first character is a brace is an object.
+    opens = F.ltrim(content, F.lit(JSON_BLANKS)).startswith("{")
+    return parsed.withColumn("body_ok", F.col("payload").isNotNull() & opens)
 
 
 def extract_target(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variant as V
+from ..functions.binding import pin
 from ..schemas import CASE_LABELS, CHANGED_FILE_RAW, DELIVERY, MODEL_RESPONSE
 
 # Encodings a source file may declare in its first two lines and that we read.
@@ -72,10 +73,11 @@ def read_tool_output(df: DataFrame, tool: str, keys: Sequence[str] = ("review_id
 
     Output that is no JSON of the expected shape yields one ``bad`` row without fields.
     """
-    doc = df.withColumn("_doc", V.parse(F.col(raw)))
+    doc = pin(df, _doc=V.parse(F.col(raw)))
     listing = F.col("_doc") if tool == "ruff" else V.at(F.col("_doc"), "$.results")
-    shaped = V.is_array(listing) & (F.lit(True) if tool == "ruff" else V.is_array(V.at(F.col("_doc"), "$.errors")))
-    members = F.try_variant_get(F.when(shaped, listing), "$", "array<variant>")
+    issues = V.elements(listing)
+    shaped = issues.isNotNull() & (F.lit(True) if tool == "ruff" else V.elements(F.col("_doc"), "$.errors").isNotNull())
+    members = F.when(shaped, issues)
     broken = F.array(F.lit(None).cast("variant"))
     rows = doc.select(*keys, shaped.alias("_shaped"),
                       F.posexplode(F.coalesce(members, broken)).alias("pos", "_item"))
@@ -86,7 +88,7 @@ def read_tool_output(df: DataFrame, tool: str, keys: Sequence[str] = ("review_id
             "file_path": _text(item, "$.filename"), "line_number": V.whole(item, "$.location.row").try_cast("int"),
             "code": _text(item, "$.code"), "message": _text(item, "$.message"),
             "fix_message": _text(item, "$.fix.message")}
-        bad = ~(code.isNull() | V.is_json_null(code) | V.is_text(code))
+        bad = ~(V.is_absent(code) | V.is_text(code))
         required = ("file_path", "line_number", "message")
     elif tool == "bandit":
         fields = {
