@@ -14,6 +14,7 @@ from ..functions.text import count_lines, escaped_length
 from ..limits import DEFAULT_LIMITS, Limits
 from ..schemas import FINDING_COLUMNS, SEVERITIES, SOURCES, TEXT_CAPS
 from .diff import added_numbers, parsed_patch
+from .scope import TOO_MANY, oversized_reviews
 from .skew import lookup_join
 
 # Names and codes of analyser output.
@@ -270,24 +271,20 @@ def admit_model_inputs(files: DataFrame, limits: Limits = DEFAULT_LIMITS, review
     Suffix and diff size are decided per row; the two budgets by a fold over at most
     ``max_snapshot_files`` small entries (a larger review is refused whole).
     """
-    from .scope import TOO_MANY, oversized_reviews
-
-    refused = oversized_reviews(files, limits, review).withColumn("_refused", F.lit(True))
-    reason = (F.when(F.col("_refused"), TOO_MANY)
-              .when(~F.col("filename").endswith(".py"), "ai_unsupported_file")
+    refused = oversized_reviews(files, limits, review)
+    reason = (F.when(~F.col("filename").endswith(".py"), "ai_unsupported_file")
               .when(F.col("patch_chars") > limits.ai_max_diff_chars, "ai_diff_limit"))
-    known = (files.join(refused, review, "left").withColumn("reason", reason)
-             .select(review, "filename", "cost", "attempts", "reason"))
-    item = F.struct("filename", "cost", "attempts")
-    groups = (known.filter(F.col("reason").isNull()).groupBy(review)
-              .agg(F.array_sort(F.collect_list(item)).alias("items")))
+    item = F.struct("filename", "cost", "attempts", reason.alias("reason"))
+    groups = (files.select(review, item.alias("item")).join(refused, review, "left_anti")
+              .groupBy(review).agg(F.array_sort(F.collect_list("item")).alias("items")))
     start = F.struct(F.lit(0).alias("taken"), F.lit(0).cast("bigint").alias("used"),
                      F.array().cast("array<string>").alias("reasons"))
 
     def step(state: Column, entry: Column) -> Column:
-        full = state["taken"] >= limits.ai_max_files
         worst = state["used"] + entry["cost"] * (1 + limits.ai_max_retries)
-        refusal = F.when(full, "ai_file_limit").when(worst > limits.ai_max_total_input_chars, "ai_total_input_limit")
+        refusal = (F.when(entry["reason"].isNotNull(), entry["reason"])
+                   .when(state["taken"] >= limits.ai_max_files, "ai_file_limit")
+                   .when(worst > limits.ai_max_total_input_chars, "ai_total_input_limit"))
         admitted = refusal.isNull()
         return F.struct(
             (state["taken"] + admitted.cast("int")).alias("taken"),
@@ -296,10 +293,12 @@ def admit_model_inputs(files: DataFrame, limits: Limits = DEFAULT_LIMITS, review
 
     folded = groups.withColumn("reasons", F.aggregate("items", start, step)["reasons"])
     entry = F.explode(F.arrays_zip("items", "reasons")).alias("e")
-    budgeted = folded.select(review, entry).select(
+    decided = folded.select(review, entry).select(
         review, F.col("e.items.filename").alias("filename"), F.col("e.items.cost").alias("cost"),
         F.col("e.items.attempts").alias("attempts"), F.col("e.reasons").alias("reason"))
-    return known.filter(F.col("reason").isNotNull()).unionByName(budgeted)
+    over = files.join(refused, review, "left_semi").select(
+        review, "filename", "cost", "attempts", F.lit(TOO_MANY).alias("reason"))
+    return decided.unionByName(over)
 
 
 def usage(df: DataFrame, keys: Sequence[str], counters: Sequence[str]) -> DataFrame:

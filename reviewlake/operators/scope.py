@@ -60,16 +60,18 @@ def oversized_reviews(files: DataFrame, limits: Limits = DEFAULT_LIMITS, review:
 
 
 def fold_budget(items: Column, max_items: int, max_total: int) -> Column:
-    """Walk ``array<struct<name, n>>`` and give each item its reason, or null when it is taken.
+    """Walk ``array<struct<name, n, reason>>`` and give each item its reason, or null when it is taken.
 
-    A later smaller item may still fit after one that did not, so this is no running
-    sum. The state is two numbers; reasons are appended in walking order.
+    An item that has a reason keeps it. A later smaller item may still fit after one that did
+    not, so this is no running sum. The state is two numbers; reasons are appended in walking
+    order.
     """
     start = F.struct(F.lit(0).alias("taken"), F.lit(0).cast("bigint").alias("total"),
                      F.array().cast("array<string>").alias("reasons"))
 
     def step(state: Column, item: Column) -> Column:
-        reason = (F.when(state["taken"] >= max_items, "max_files")
+        reason = (F.when(item["reason"].isNotNull(), item["reason"])
+                  .when(state["taken"] >= max_items, "max_files")
                   .when(state["total"] + item["n"] > max_total, "max_total_patch_chars"))
         fits = reason.isNull()
         return F.struct(
@@ -83,24 +85,23 @@ def fold_budget(items: Column, max_items: int, max_total: int) -> Column:
 def apply_scope_budget(df: DataFrame, limits: Limits = DEFAULT_LIMITS, review: str = "review_id") -> DataFrame:
     """Final ``reason`` per file of :func:`scope_reason` output, without the patch text.
 
-    Only names and sizes of files that passed the file rules reach the fold. A review
-    beyond the snapshot limit is refused whole, as a snapshot is, so a folded group holds
-    at most ``max_snapshot_files`` small entries; all its files are still returned.
+    Patches are read once: names, sizes and reasons of a review meet in one row and are
+    folded there. A review beyond the snapshot limit is refused whole, as its snapshot would
+    be, so no group exceeds ``max_snapshot_files`` small entries; its files are all returned,
+    unmeasured.
     """
-    slim = df.select(review, "filename", "reason", "patch_chars")
-    refused = oversized_reviews(df, limits, review).withColumn("_refused", F.lit(True))
-    known = (slim.join(refused, review, "left")
-             .withColumn("reason", F.when(F.col("_refused"), TOO_MANY).otherwise(F.col("reason"))).drop("_refused"))
-    decided = known.filter(F.col("reason").isNotNull())
-    item = F.struct(F.col("filename").alias("name"), F.col("patch_chars").alias("n"))
-    groups = (known.filter(F.col("reason").isNull()).groupBy(review)
-              .agg(F.array_sort(F.collect_list(item)).alias("items")))
+    refused = oversized_reviews(df, limits, review)
+    item = F.struct(F.col("filename").alias("name"), F.col("patch_chars").alias("n"), "reason")
+    groups = (df.select(review, item.alias("item")).join(refused, review, "left_anti")
+              .groupBy(review).agg(F.array_sort(F.collect_list("item")).alias("items")))
     folded = groups.withColumn("reasons", fold_budget(F.col("items"), limits.max_files, limits.max_total_patch_chars))
     entry = F.explode(F.arrays_zip("items", "reasons")).alias("e")
-    budgeted = folded.select(review, entry).select(
+    decided = folded.select(review, entry).select(
         review, F.col("e.items.name").alias("filename"), F.col("e.reasons").alias("reason"),
         F.col("e.items.n").alias("patch_chars"))
-    return decided.unionByName(budgeted)
+    unmeasured = df.select(review, "filename").join(refused, review, "left_semi").select(
+        review, "filename", F.lit(TOO_MANY).alias("reason"), F.lit(None).cast("int").alias("patch_chars"))
+    return decided.unionByName(unmeasured)
 
 
 def scope_summary(decisions: DataFrame, review: str = "review_id") -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key with more rows than this is split; the salt count grows with the key, up to the cap.
-HOT_ROWS = 1_000_000
-ROWS_PER_SALT = 250_000
-MAX_SALTS = 4096
+# There are at most (rows / HOT_ROWS) such keys: 200,000 of them, some 20 MB, in 10^12 rows.
+# That bound is why the list of hot keys, and nothing else, is sent to every task.
+HOT_ROWS = 5_000_000
+ROWS_PER_SALT = 1_000_000
+MAX_SALTS = 1_000_000
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], threshold: int = HOT_ROWS) -> DataFrame:
@@ -32,9 +34,10 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], spread:
 
     Fact rows of a hot key get a salt from a hash of ``spread``; the lookup rows of that
     key are repeated once per salt. ``how`` is inner, left, left_semi or left_anti.
-    Spark picks a broadcast or a shuffle for each join by the measured sizes.
+    Finding the hot keys reads the key columns once more and moves one row per key and task;
+    the facts themselves are moved once. Spark sizes the main join itself.
     """
-    hot = hot_keys(facts, on, threshold)
+    hot = F.broadcast(hot_keys(facts, on, threshold))
     salt = F.pmod(F.xxhash64(*spread), F.col("_salts").cast("bigint")).cast("int")
     salted = (facts.join(hot, list(on), "left")
               .withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts"))

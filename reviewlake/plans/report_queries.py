@@ -9,6 +9,7 @@ from ..operators import diff as D
 from ..operators import findings as E
 from ..operators import publish as G
 from ..operators import report as R
+from ..sources.folders import stored
 from . import ingest_queries as IQ
 from .finding_queries import LOCATED, ROW_OK, validated
 from .fixtures import oracle, view
@@ -96,7 +97,7 @@ def _rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
        LEFT JOIN (SELECT review_id, count(*) AS rejected FROM located WHERE reason IS NOT NULL GROUP BY review_id) x ON x.review_id = j.review_id""",
     **_LOC))
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = validated(spark, sf_dir)
+    checked = stored(validated(spark, sf_dir), "validated")
     jobs = view(spark, sf_dir, "changed_files").select("review_id").distinct().withColumn("status", F.lit("completed"))
     # A small page here, so that most reviews need several.
     reports = R.build_reports(jobs, R.merge_findings(E.accepted(checked)), E.rejected(checked), page_size=7)
@@ -136,11 +137,11 @@ _BLOCKED = """SELECT DISTINCT p.review_id FROM printed p LEFT JOIN added a ON a.
 
 def to_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = validated(spark, sf_dir).filter("reason IS NULL OR (reason = 'outside_reviewed_changes' AND title LIKE '%777')")
-    return G.annotations(R.merge_findings(rows.drop("reason")))
+    return stored(G.annotations(R.merge_findings(rows.drop("reason"))), "annotations")
 
 
 def located_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.annotations(merged_located(spark, sf_dir))
+    return stored(G.annotations(merged_located(spark, sf_dir)), "annotations")
 
 
 _LOC_PRINTED = {**_LOC, "annotated": _ANNOTATED, "printed": _PRINTED}

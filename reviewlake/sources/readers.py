@@ -14,7 +14,7 @@ from ..schemas import CASE_LABELS, CHANGED_FILE_RAW, DELIVERY, MODEL_RESPONSE
 # Encodings a source file may declare in its first two lines and that we read.
 ENCODING_COOKIE = r"(?m)\A(?:[^\n\r]*(?:\r\n|\r|\n))?[ \t\f]*#.*?coding[:=][ \t]*([-\w.]+)"
 UTF8_NAMES = ("utf-8", "utf8", "utf_8", "u8", "utf-8-sig")
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def read_deliveries(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet") -> DataFrame:
