@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.signing import BLOCK, hmac_sha256_hex, stable_id
 from ..operators import ingest as I
 from ..sources import readers
+from ..sources.folders import stored
 from .fixtures import oracle, view
 from .registry import query
 
@@ -73,6 +74,11 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.prepare(signed(spark, sf_dir).drop("body_text"), SECRET)
 
 
+def landed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked deliveries as a table, for queries that read them several times."""
+    return stored(prepared(spark, sf_dir), "deliveries")
+
+
 @query("ingest_verify_signature", "OP-I1", sql=_sql(
     f"SELECT seq, authentic, {_DIGEST} AS digest FROM typed"))
 def _verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +121,7 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
           arg_min(delivery_id, (received_at, seq)) AS created_by, count(*) AS deliveries
         FROM firsts WHERE handled GROUP BY ALL"""))
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs, links = I.deliveries_to_jobs(I.dedup_deliveries(prepared(spark, sf_dir)))
+    jobs, links = I.deliveries_to_jobs(I.dedup_deliveries(landed_table(spark, sf_dir)))
     counts = links.groupBy("review_id").agg(F.count(F.lit(1)).alias("deliveries"))
     return jobs.join(counts, "review_id").select(
         "review_id", *I.JOB_KEY, "installation_id", "created_by", "deliveries")
@@ -133,7 +139,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
                WHEN f.seq IS NULL THEN 'duplicate' WHEN NOT j.handled THEN 'ignored' ELSE 'accepted' END AS disposition
              FROM judged j LEFT JOIN firsts f ON f.delivery_id = j.delivery_id AND f.seq = j.seq)"""))
 def _disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.delivery_disposition(prepared(spark, sf_dir)).select("seq", "reason", "disposition", "label")
+    return I.delivery_disposition(landed_table(spark, sf_dir)).select("seq", "reason", "disposition", "label")
 
 
 @query("ingest_pending_redeliveries", "OP-I9", sql=_sql(
@@ -142,7 +148,7 @@ def _disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
           ON s.delivery_id = j.delivery_id AND s.seq < j.seq WHERE j.reason IS NULL"""))
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The stored state holds the first arrivals; some of their jobs were never queued.
-    rows = prepared(spark, sf_dir)
+    rows = landed_table(spark, sf_dir)
     state = I.job_id(I.dedup_deliveries(rows).filter("handled")).select(
         "delivery_id", "review_id", F.col("seq").alias("stored_seq"),
         F.when(F.col("value") > 60, "pending").otherwise("enqueued").alias("status"))
