@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..schemas import FINDING
+from ..sources.shipping import ship_package
 
 Review = Callable[[dict[str, Any]], list[dict[str, Any]]]
 
@@ -38,6 +39,7 @@ def review_files(files: DataFrame, factory: Callable[[], Review], review: str =
     ``factory`` is called once per task, so that a client or a model is set up once. Files
     come in Arrow batches; a file that fails becomes a ``failed`` row and its neighbours go on.
     """
+    ship_package(files.sparkSession)
     names = [field.name for field in FINDING.fields]
     key_columns = [review, "filename"]
 

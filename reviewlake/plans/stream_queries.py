@@ -54,7 +54,7 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "jobs")
     passing = arrivals(spark, sf_dir).filter(I.rejection().isNull())
-    jobs = _run(spark, passing, M.upsert_jobs(out), out=out)
+    jobs = _run(spark, passing, M.ingest_sink(shared_folder(spark, "deliveries"), out), out=out)
     return jobs.select("review_id", *I.JOB_KEY)
 
 

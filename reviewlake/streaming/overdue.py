@@ -1,0 +1,76 @@
+"""The stateful processor of the overdue stream."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+# The process that starts a stateful stream does not see files sent to the executors, so this
+# module, which needs nothing of the package, travels with its class.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+OVERDUE = T.StructType([
+    T.StructField("review_id", T.LongType()),
+    T.StructField("started_at", T.TimestampType()),
+    T.StructField("overdue_at", T.TimestampType()),
+])
+
+
+class OverdueProcessor(StatefulProcessor):
+    """Records of a job wait in a list until no earlier one can arrive; starts have a timer.
+
+    When the watermark passes a start plus the limit, everything up to that moment is known, so
+    the answer does not depend on how rows were cut into micro-batches. The list holds the
+    records of one limit plus the watermark delay.
+    """
+
+    def __init__(self, limit_seconds: int) -> None:
+        self.limit = limit_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.records = handle.getListState("records", T.StructType([
+            T.StructField("micros", T.LongType()), T.StructField("seq", T.LongType()),
+            T.StructField("started", T.BooleanType())]))
+
+    def _timer(self, micros: int) -> int:
+        return -(-(micros + self.limit) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            micros = frame["ts"].astype("datetime64[us]").astype("int64")
+            self.records.appendList(list(zip(micros.tolist(), frame["seq"].tolist(), frame["started"].tolist())))
+            for start in micros[frame["started"]].unique().tolist():
+                self.handle.registerTimer(self._timer(start))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        # The first of several passed timers settles all that are due; the others find nothing left.
+        known = timerValues.getCurrentWatermarkInMs()
+        records = sorted(self.records.get()) if self.records.exists() else []
+        late, settled = [], 0
+        for at, (micros, _, started) in enumerate(records):
+            if not started:
+                continue
+            if self._timer(micros) > known:
+                break
+            settled = at + 1
+            if settled == len(records) or records[settled][0] > micros + self.limit:
+                late.append(micros)
+        if settled:
+            if settled < len(records):
+                self.records.put(records[settled:])
+            else:
+                self.records.clear()
+        if late:
+            yield pd.DataFrame({
+                "review_id": int(key[0]), "started_at": pd.to_datetime(late, unit="us"),
+                "overdue_at": pd.to_datetime([micros + self.limit for micros in late], unit="us")})
+
+    def close(self) -> None:
+        pass

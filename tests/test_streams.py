@@ -30,6 +30,17 @@ def test_repeated_batches_add_no_jobs(spark, tmp_path):
     assert sorted((r.pull_request_number, r.head_sha, r.created_by) for r in rows) == [(1, "a", "d0"), (1, "c", "d71"), (2, "b", "d60")]
 
 
+def test_a_repeat_of_an_old_delivery_makes_no_job(spark, tmp_path):
+    deliveries, jobs = str(tmp_path / "deliveries"), str(tmp_path / "jobs")
+    write = M.ingest_sink(deliveries, jobs)
+    first = jobs_input(commits(spark, (1, "a", 1), (2, "b", 2))).withColumn("delivery_id", F.lit("d"))
+    late = jobs_input(commits(spark, (3, "c", 900))).withColumn("delivery_id", F.lit("d"))
+    for batch, number in ((first, 0), (first, 0), (late, 1), (late, 1)):
+        write(batch, number)
+    assert [(r.pull_request_number, r.head_sha) for r in spark.read.parquet(jobs).collect()] == [(1, "a")]
+    assert spark.read.parquet(deliveries).count() == 1
+
+
 def test_heads_over_batches_and_a_repeated_one(spark, tmp_path):
     heads, events = str(tmp_path / "heads"), str(tmp_path / "events")
     write = M.track_heads(heads, events)
