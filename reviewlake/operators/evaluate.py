@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signing import stable_id
+from .skew import lookup_join
 
 # How analyser rules map to label categories.
 BANDIT_CORRECTNESS = ("B110", "B112")
@@ -25,17 +26,19 @@ def normalize_category(df: DataFrame) -> DataFrame:
     return df.withColumn("category", mapped)
 
 
-def match_counts(expected: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+def match_counts(expected: DataFrame, found: DataFrame, by: Sequence[str], weight: str | None = None) -> DataFrame:
     """``tp``, ``fp``, ``fn`` per ``by``: a one-to-one multiset match on (file, line, category).
 
+    With ``weight``, a row stands for that many equal rows.
+
     Both sides become rows of one table with a count each, so one aggregation does what a
     join of two would; repeated keys cannot multiply and are combined before the shuffle.
     ``found`` may name the key columns ``file_path`` and ``line_number``.
     """
     renamed = found.withColumnsRenamed({"file_path": "file", "line_number": "line"})
+    one = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     side = lambda df, e, f: df.select(
-        *by, "file", F.col("line").cast("bigint").alias("line"), "category",
-        F.lit(e).cast("bigint").alias("_e"), F.lit(f).cast("bigint").alias("_f"))
+        *by, "file", F.col("line").cast("bigint").alias("line"), "category", (one * e).alias("_e"), (one * f).alias("_f"))
     both = side(expected, 1, 0).unionByName(side(renamed, 0, 1))
     keys = both.groupBy(*by, *MATCH_KEY).agg(F.sum("_e").alias("_e"), F.sum("_f").alias("_f"))
     hit = F.least("_e", "_f")
@@ -62,7 +65,7 @@ def dedup_first(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("seq",
 def combine(first: DataFrame, second: DataFrame, completed: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """First, then second, without repeats, for the cases where the second one completed."""
     ranked = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
-    kept = ranked.join(completed.select(*by).distinct(), list(by), "left_semi")
+    kept = lookup_join(ranked, completed.select(*by).distinct(), list(by), spread=["side", "seq"], how="left_semi")
     return dedup_first(kept, by, ("side", "seq"))
 
 
@@ -87,11 +90,14 @@ def experiment_summary(expected: DataFrame, found: DataFrame, status: DataFrame)
 
     ``status``: ``experiment``, ``case_id``, ``status``. Labels are matched within a case, so
     equal paths of different cases never meet. Without a completed case the scores are null.
+    Equal rows are counted together before any join, so a hot case is as small as its locations.
     """
     done = status.filter(F.col("status") == "completed").select("experiment", "case_id")
-    labels = expected.join(done, "case_id", "inner")
-    kept = found.join(done, ["experiment", "case_id"], "left_semi")
-    totals = match_counts(labels, kept, ("experiment", "case_id")).groupBy("experiment").agg(
+    counted = lambda df, keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    labels = counted(expected, ("case_id", *MATCH_KEY)).join(done, "case_id", "inner")
+    kept = counted(found, ("experiment", "case_id", "file_path", "line_number", "category")).join(
+        done, ["experiment", "case_id"], "left_semi")
+    totals = match_counts(labels, kept, ("experiment", "case_id"), "_n").groupBy("experiment").agg(
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     cases = status.groupBy("experiment").agg(
         F.count(F.when(F.col("status") == "completed", 1)).alias("completed_cases"),

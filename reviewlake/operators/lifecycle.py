@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..limits import DEFAULT_LIMITS, Limits
 from ..schemas import TERMINAL_STATUSES
-from .skew import next_within
+from .skew import lookup_join, next_within
 
 # Publication states that are swept, and the sweep size.
 SWEPT_PUBLICATIONS = ("in_progress", "pending", "retry_pending", "enqueue_failed")
@@ -51,7 +51,8 @@ def due_publications(jobs: DataFrame, now: Column, limit: int = SWEEP_LIMIT) ->
 def fence(results: DataFrame, jobs: DataFrame, review: str = "review_id") -> DataFrame:
     """Results of the current attempt only: the lease token is the one the job holds now."""
     held = jobs.filter(F.col("lease_token").isNotNull()).select(review, "lease_token")
-    return results.join(held, [review, "lease_token"], "left_semi")
+    spread = [name for name in results.columns if name not in (review, "lease_token")]
+    return lookup_join(results, held, [review, "lease_token"], spread=spread, how="left_semi")
 
 
 def latest_state(jobs: DataFrame, outcomes: DataFrame, review: str = "review_id") -> DataFrame:

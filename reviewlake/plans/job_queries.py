@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.policy import backoff_seconds, safe_error
 from ..operators import lifecycle as H
 from ..operators import serving as J
+from ..operators import report as R
 from ..operators import stats as L
+from ..operators.skew import lookup_join
 from ..sources.writers import stage_log
 from .fixtures import oracle, view
 from .registry import query
 from .report_queries import _RAW, NOW, NOW_NTZ, merged_rows
-from ..operators import report as R
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +109,8 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = jobs(spark, sf_dir).select(F.col("id").alias("review_id"), "repository_name", "pull_request_number", "head_sha")
     events = view(spark, sf_dir, "stage_log").select(
-        "review_id", "stage", F.col("value").alias("duration"), "error", F.lit("node-1").alias("worker"))
-    return stage_log(events.join(table, "review_id"))
+        "review_id", "stage", F.col("value").alias("duration"), "error", F.lit("node-1").alias("worker"), "seq")
+    return stage_log(lookup_join(events, table, ["review_id"], spread=["seq"], how="inner"))
 
 
 # --- serving ------------------------------------------------------------------------------------
