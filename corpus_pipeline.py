@@ -1,11 +1,17 @@
-"""Documents to packed training sequences: quality rules, line dedup, near dedup, decontamination, packing."""
+"""Documents to packed training sequences: quality rules, line dedup, near dedup, decontamination, packing.
+
+A stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return
+the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewlake.llm import decontaminate, quality_rules
+from reviewlake.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from reviewlake.llm.common import table
+from reviewlake.sources.folders import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,22 +19,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines frequent at a source go from its documents; every document stays, with its new length."""
+    return line_dedup.dedup_documents(docs, site_col="source").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    return near_dedup.keep_one_of_each(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an occurrence of a benchmark window go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, with their ids."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("quality_rules", quality_stage),
-    ("benchmark_decontamination", decontamination_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 ORACLE_SQL: str | None = None  # trees, hashing and packing have no SQL form; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of ``sf_dir``."""
+    """All stages in order over the documents of ``sf_dir``; what a stage kept is a table for the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import chat_format, decontaminate, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 from .common import map_arrow, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Run] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_chat_format": op7_chat_format,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
