@@ -24,6 +24,8 @@ OVERLAP, BAD_BODY, BAD_COUNTS = "overlapping_diff_hunks", "invalid_diff_body", "
 
 KEYS = ("review_id", "filename")
 _NEVER = 2**31 - 1
+# Header numbers are decimals, so that no patch can overflow; longer ones count as the largest.
+_DIGITS = 37
 
 
 def _kind(line: Column) -> Column:
@@ -35,7 +37,13 @@ def _number(header: Column, group: int, default: str | None = None) -> Column:
     found = F.regexp_extract(header, HUNK_HEADER, group)
     if default is not None:
         found = F.when((found == "") & header.rlike(HUNK_HEADER), default).otherwise(found)
-    return found.try_cast("bigint")
+    digits = F.regexp_replace(found, "^0+(?=.)", "")
+    return F.when(F.length(digits) > _DIGITS, F.lit("9" * _DIGITS)).otherwise(digits).try_cast("decimal(38,0)")
+
+
+def _numbered(start: Column, i: Column) -> Column:
+    """Number of the i-th line of a side, null beyond BIGINT."""
+    return F.try_add(start.try_cast("bigint"), i.cast("bigint"))
 
 
 def _cut(lines: Column) -> Column:
@@ -67,8 +75,9 @@ def _measure(hunk: Column) -> Column:
     """What the error rules need to know about one hunk, in one small struct."""
     def measured(old: Column, new: Column) -> Column:
         # The first line beyond a declared count is the one that breaks it.
-        too_old = F.get(old, hunk["old_count"].cast("int"))["pos"]
-        too_new = F.get(new, hunk["new_count"].cast("int"))["pos"]
+        within = lambda count: F.least(count, F.lit(_NEVER).cast("decimal(38,0)")).cast("int")
+        too_old = F.get(old, within(hunk["old_count"]))["pos"]
+        too_new = F.get(new, within(hunk["new_count"]))["pos"]
         bad = F.get(F.filter(hunk["body"], lambda e: e["kind"] == "bad"), F.lit(0))["pos"]
         return F.struct(
             hunk["pos"].alias("pos"),
@@ -118,7 +127,7 @@ def added_numbers(patch: Column) -> Column:
     """Sorted new-side numbers of the added lines, as an array; null for an unsound or absent patch."""
     def of_hunk(hunk: Column) -> Column:
         numbered = F.transform(_side(hunk["body"], "added"), lambda e, i: F.struct(
-            e["kind"].alias("kind"), (hunk["new_start"] + i).alias("line")))
+            e["kind"].alias("kind"), _numbered(hunk["new_start"], i).alias("line")))
         return F.transform(F.filter(numbered, lambda e: e["kind"] == "added"), lambda e: e["line"])
     return let(parsed_patch(patch), lambda p: F.flatten(F.transform(p["hunks"], of_hunk)))
 
@@ -129,9 +138,11 @@ def patch_lines(files: DataFrame, patch: str = "patch", keys: tuple[str, ...] =
 
 
 def hunks(files: DataFrame, patch: str = "patch", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row per hunk header, sound or not; an omitted count is 1, an unreadable header has nulls."""
+    """One row per hunk header, sound or not; an omitted count is 1, an unreadable header has nulls,
+    a number beyond BIGINT is null."""
     cut = files.select(*keys, F.explode(let(split_lines(F.col(patch)), _cut)).alias("h"))
-    return cut.select(*keys, "h.hunk", "h.pos", "h.old_start", "h.old_count", "h.new_start", "h.new_count")
+    numbers = [F.col(f"h.{n}").try_cast("bigint").alias(n) for n in ("old_start", "old_count", "new_start", "new_count")]
+    return cut.select(*keys, "h.hunk", "h.pos", *numbers)
 
 
 def diff_errors(files: DataFrame, patch: str = "patch", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -146,8 +157,8 @@ def diff_lines(files: DataFrame, patch: str = "patch", keys: tuple[str, ...] = K
             hunk["hunk"].alias("hunk"), e["pos"].alias("pos"), e["kind"].alias("kind"),
             old.alias("old_line"), new.alias("new_line"), e["text"].alias("text"))
         none = F.lit(None).cast("bigint")
-        old = F.transform(_side(hunk["body"], "removed"), lambda e, i: row(e, hunk["old_start"] + i, none))
-        new = F.transform(_side(hunk["body"], "added"), lambda e, i: row(e, none, hunk["new_start"] + i))
+        old = F.transform(_side(hunk["body"], "removed"), lambda e, i: row(e, _numbered(hunk["old_start"], i), none))
+        new = F.transform(_side(hunk["body"], "added"), lambda e, i: row(e, none, _numbered(hunk["new_start"], i)))
 
         def merged(old: Column, new: Column) -> Column:
             own = lambda side, kind: F.filter(side, lambda e: e["kind"] == kind)

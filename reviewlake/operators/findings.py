@@ -14,7 +14,7 @@ from ..functions.text import count_lines, escaped_length
 from ..limits import DEFAULT_LIMITS, Limits
 from ..schemas import FINDING_COLUMNS, SEVERITIES, SOURCES, TEXT_CAPS
 from .diff import added_numbers, parsed_patch
-from .scope import TOO_MANY, oversized_reviews
+from .scope import walk_budget
 from .skew import lookup_join
 
 # Names and codes of analyser output.
@@ -90,7 +90,7 @@ def _file_error(limits: Limits) -> Column:
 
 def on_changed_lines(findings: DataFrame, changed: DataFrame, review: str = "review_id") -> DataFrame:
     """Findings on added lines. ``changed``: review, ``filename``, ``line``."""
-    lines = changed.select(review, F.col("filename").alias("file_path"), F.col("line").cast("int").alias("line_number"))
+    lines = changed.select(review, F.col("filename").alias("file_path"), F.col("line").alias("line_number"))
     return lookup_join(findings, lines, [review, "file_path", "line_number"], spread=["idx"], how="left_semi")
 
 
@@ -268,37 +268,18 @@ def admit_model_inputs(files: DataFrame, limits: Limits = DEFAULT_LIMITS, review
     """Per file ``reason`` (null = admitted), walking each review's files in name order.
 
     ``files``: ``filename``, ``patch_chars``, ``cost``, ``attempts`` (calls made if admitted).
-    Suffix and diff size are decided per row; the two budgets by a fold over at most
-    ``max_snapshot_files`` small entries (a larger review is refused whole).
+    Suffix and diff size are decided per row; the two budgets as in :func:`scope.walk_budget`, where a
+    file must fit with all its retries and uses up the calls it made.
     """
-    refused = oversized_reviews(files, limits, review)
     reason = (F.when(~F.col("filename").endswith(".py"), "ai_unsupported_file")
               .when(F.col("patch_chars") > limits.ai_max_diff_chars, "ai_diff_limit"))
-    item = F.struct("filename", "cost", "attempts", reason.alias("reason"))
-    groups = (files.select(review, item.alias("item")).join(refused, review, "left_anti")
-              .groupBy(review).agg(F.array_sort(F.collect_list("item")).alias("items")))
-    start = F.struct(F.lit(0).alias("taken"), F.lit(0).cast("bigint").alias("used"),
-                     F.array().cast("array<string>").alias("reasons"))
-
-    def step(state: Column, entry: Column) -> Column:
-        worst = state["used"] + entry["cost"] * (1 + limits.ai_max_retries)
-        refusal = (F.when(entry["reason"].isNotNull(), entry["reason"])
-                   .when(state["taken"] >= limits.ai_max_files, "ai_file_limit")
-                   .when(worst > limits.ai_max_total_input_chars, "ai_total_input_limit"))
-        admitted = refusal.isNull()
-        return F.struct(
-            (state["taken"] + admitted.cast("int")).alias("taken"),
-            (state["used"] + F.when(admitted, entry["cost"] * entry["attempts"]).otherwise(0)).cast("bigint").alias("used"),
-            F.array_append(state["reasons"], refusal).alias("reasons"))
-
-    folded = groups.withColumn("reasons", F.aggregate("items", start, step)["reasons"])
-    entry = F.explode(F.arrays_zip("items", "reasons")).alias("e")
-    decided = folded.select(review, entry).select(
-        review, F.col("e.items.filename").alias("filename"), F.col("e.items.cost").alias("cost"),
-        F.col("e.items.attempts").alias("attempts"), F.col("e.reasons").alias("reason"))
-    over = files.join(refused, review, "left_semi").select(
-        review, "filename", "cost", "attempts", F.lit(TOO_MANY).alias("reason"))
-    return decided.unionByName(over)
+    judged = files.select(review, "filename", "cost", "attempts", reason.alias("reason"))
+    walked = walk_budget(judged.filter(F.col("reason").isNull()), review, "filename", "cost",
+                         F.col("cost") * F.col("attempts"), 1 + limits.ai_max_retries, limits.ai_max_files,
+                         limits.ai_max_total_input_chars, ("ai_file_limit", "ai_total_input_limit"))
+    attempts = F.when(F.col("cost") > 0, F.col("_used") / F.col("cost")).otherwise(0).cast(files.schema["attempts"].dataType)
+    decided = walked.select(review, "filename", F.col("cost").cast(files.schema["cost"].dataType).alias("cost"), attempts.alias("attempts"), "reason")
+    return decided.unionByName(judged.filter(F.col("reason").isNotNull()))
 
 
 def usage(df: DataFrame, keys: Sequence[str], counters: Sequence[str]) -> DataFrame:

@@ -85,10 +85,10 @@ def target_ok() -> Column:
 
 
 def classify_deliveries(df: DataFrame) -> DataFrame:
-    """Add ``handled`` and cut ``action`` to what is stored."""
+    """Add ``handled`` and ``full_action``; ``action`` becomes the label that is stored."""
     handled = (F.col("event_type") == HANDLED_EVENT) & F.col("action").isin(*HANDLED_ACTIONS)
     return (df.withColumn("handled", F.coalesce(handled, F.lit(False)))
-            .withColumn("action", F.substring("action", 1, MAX_ACTION)))
+            .withColumn("full_action", F.col("action")).withColumn("action", F.substring("action", 1, MAX_ACTION)))
 
 
 def prepare(df: DataFrame, secret: str) -> DataFrame:

@@ -23,7 +23,7 @@ def claim_decision(jobs: DataFrame, now: Column, limits: Limits = DEFAULT_LIMITS
     """Add ``work_state`` as of ``now``: deferred, skipped, failed or claimed.
 
     The deadline is tested before the status, so a finished job with a future deadline
-    is deferred.
+    is deferred. An expired lease is noted whatever is decided; only running out of attempts replaces it.
     """
     expired = (F.col("status") == "processing") & _past("lease_expires_at", now)
     waiting = (F.col("status") == "queued") | expired
@@ -31,7 +31,7 @@ def claim_decision(jobs: DataFrame, now: Column, limits: Limits = DEFAULT_LIMITS
              .when(F.col("attempt_count") >= limits.max_attempts, "failed").otherwise("claimed"))
     return (jobs.withColumn("work_state", state).withColumn("lease_expired", expired)
             .withColumn("work_error", F.when(F.col("work_state") == "failed", "retry_limit_exceeded")
-                        .when(expired & (F.col("work_state") == "deferred"), "worker_lease_expired")))
+                        .when(expired, "worker_lease_expired")))
 
 
 def due_reviews(jobs: DataFrame, now: Column, limit: int = SWEEP_LIMIT) -> DataFrame:

@@ -21,7 +21,10 @@ PUBLISHABLE = ("completed", "failed")
 
 
 def annotations(merged: DataFrame, review: str = "review_id", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """One annotation per merged finding, with its content ``fingerprint``."""
+    """One annotation per merged finding, with its content ``fingerprint``.
+
+    ``message`` is what may be published; ``full_message`` has the whole text, ``message_cut`` says if they differ.
+    """
     has_suggestion = F.coalesce(F.col("suggestion"), F.lit("")) != ""
     message = F.concat("description", F.when(has_suggestion, F.concat(F.lit(SUGGESTION), "suggestion")).otherwise(""))
     rows = merged.select(
@@ -29,13 +32,14 @@ def annotations(merged: DataFrame, review: str = "review_id", limits: Limits = D
         F.col("line_number").alias("end_line"),
         F.when(F.col("severity") == "low", "notice").otherwise("warning").alias("annotation_level"),
         "title", F.substring(message, 1, limits.annotation_message_chars).alias("message"),
+        message.alias("full_message"), (F.length(message) > limits.annotation_message_chars).alias("message_cut"),
         "category", row_ok().alias("schema_ok"))
     return rows.withColumn("fingerprint", stable_id(*[F.col(name) for name in ANNOTATION]))
 
 
 def blocked_reviews(rows: DataFrame, changed: DataFrame, review: str = "review_id") -> DataFrame:
     """Reviews with an annotation off the added lines or against the row schema."""
-    lines = changed.select(review, F.col("filename").alias("path"), F.col("line").cast("int").alias("start_line"))
+    lines = changed.select(review, F.col("filename").alias("path"), F.col("line").alias("start_line"))
     # The lookup answers per location, so only distinct locations travel.
     places = rows.groupBy(review, "path", "start_line").agg(F.bool_and("schema_ok").alias("schema_ok"))
     off = places.join(lines, [review, "path", "start_line"], "left_anti").select(review)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
@@ -53,55 +53,61 @@ def scope_reason(df: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     return named.withColumn("reason", reason).withColumn("patch_chars", F.length(patch)).drop("_name", "_parents")
 
 
-def oversized_reviews(files: DataFrame, limits: Limits = DEFAULT_LIMITS, review: str = "review_id") -> DataFrame:
-    """Reviews that declare more files than a snapshot may hold; counted map-side first."""
-    return (files.groupBy(review).agg(F.count(F.lit(1)).alias("_files"))
-            .filter(F.col("_files") > limits.max_snapshot_files).select(review))
+def walk_budget(items: DataFrame, review: str, name: str, size: str, used: Column, factor: int,
+                max_items: int, max_total: int, reasons: tuple[str, str]) -> DataFrame:
+    """Walk each review's items by name, take what fits, and add ``reason`` to the others.
 
-
-def fold_budget(items: Column, max_items: int, max_total: int) -> Column:
-    """Walk ``array<struct<name, n, reason>>`` and give each item its reason, or null when it is taken.
-
-    An item that has a reason keeps it. A later smaller item may still fit after one that did
-    not, so this is no running sum. The state is two numbers; reasons are appended in walking
-    order.
+    An item fits while fewer than ``max_items`` are taken and ``size * factor`` is within what is left
+    of ``max_total``; it then uses up ``used``. A smaller item may fit after one that did not, so this is
+    no running sum. Of a review's items of one size only the first ``max_items`` can ever be taken, since
+    a later one meets no smaller total. Only those are folded: at most ``max_items`` per size, with
+    sizes up to ``max_total``, however many items a review has. Every other item gets its reason from the
+    at most ``max_items`` taken ones.
     """
-    start = F.struct(F.lit(0).alias("taken"), F.lit(0).cast("bigint").alias("total"),
-                     F.array().cast("array<string>").alias("reasons"))
+    order = ("_name", "_size", "_used")
+    rows = items.withColumns({"_name": F.col(name), "_size": F.col(size).cast("bigint"), "_used": used.cast("bigint")})
+    distinct = rows.groupBy(review, *order).agg(F.count(F.lit(1)).alias("_copies"))
+    first = F.row_number().over(Window.partitionBy(review, "_size").orderBy(*order))
+    able = (distinct.filter(F.col("_size") * factor <= max_total).withColumn("_nth", first)
+            .filter(F.col("_nth") <= max_items))
+    lists = able.groupBy(review).agg(F.array_sort(F.collect_list(F.struct(*order, "_copies"))).alias("_items"))
+    none = F.array().cast("array<struct<_name: string, _size: bigint, _used: bigint, taken: bigint>>")
+    start = F.struct(F.lit(0).cast("bigint").alias("count"), F.lit(0).cast("bigint").alias("total"), none.alias("taken"))
 
     def step(state: Column, item: Column) -> Column:
-        reason = (F.when(item["reason"].isNotNull(), item["reason"])
-                  .when(state["taken"] >= max_items, "max_files")
-                  .when(state["total"] + item["n"] > max_total, "max_total_patch_chars"))
-        fits = reason.isNull()
+        left = max_total - state["total"] - item["_size"] * factor
+        more = F.when(item["_used"] > 0, F.floor(left / item["_used"])).otherwise(item["_copies"])
+        fits = F.when(left >= 0, F.least(item["_copies"], max_items - state["count"], 1 + more)).otherwise(0).cast("bigint")
+        entry = F.struct(*[item[c].alias(c) for c in order], fits.alias("taken"))
         return F.struct(
-            (state["taken"] + fits.cast("int")).alias("taken"),
-            (state["total"] + F.when(fits, item["n"]).otherwise(0)).cast("bigint").alias("total"),
-            F.array_append(state["reasons"], reason).alias("reasons"))
-
-    return F.aggregate(items, start, step)["reasons"]
+            (state["count"] + fits).alias("count"), (state["total"] + fits * item["_used"]).alias("total"),
+            F.when(fits > 0, F.array_append(state["taken"], entry)).otherwise(state["taken"]).alias("taken"))
+
+    folded = lists.select(review, F.aggregate("_items", start, step)["taken"].alias("_taken"))
+    joined = distinct.join(folded, review, "left").withColumn("_taken", F.coalesce("_taken", none))
+    me = F.struct(*order)
+    own = F.filter("_taken", lambda t: F.struct(*[t[c].alias(c) for c in order]) == me)
+    before = F.aggregate(F.filter("_taken", lambda t: F.struct(*[t[c].alias(c) for c in order]) <= me),
+                         F.lit(0).cast("bigint"), lambda n, t: n + t["taken"])
+    decided = joined.select(
+        review, *order, "_copies", F.coalesce(F.get(own, F.lit(0))["taken"], F.lit(0)).alias("_kept"),
+        F.when(before >= max_items, reasons[0]).otherwise(reasons[1]).alias("_refusal"))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")
+    return decided.select(review, *order, "_kept", "_refusal", copies).select(
+        review, F.col("_name").alias(name), F.col("_size").alias(size), F.col("_used").alias("_used"),
+        F.when(F.col("_copy") > F.col("_kept"), F.col("_refusal")).alias("reason"))
 
 
 def apply_scope_budget(df: DataFrame, limits: Limits = DEFAULT_LIMITS, review: str = "review_id") -> DataFrame:
     """Final ``reason`` per file of :func:`scope_reason` output, without the patch text.
 
-    Patches are read once: names, sizes and reasons of a review meet in one row and are
-    folded there. A review beyond the snapshot limit is refused whole, as its snapshot would
-    be, so no group exceeds ``max_snapshot_files`` small entries; its files are all returned,
-    unmeasured.
+    Files with a reason keep it and take no part in the budgets; see :func:`walk_budget` for the others.
     """
-    refused = oversized_reviews(df, limits, review)
-    item = F.struct(F.col("filename").alias("name"), F.col("patch_chars").alias("n"), "reason")
-    groups = (df.select(review, item.alias("item")).join(refused, review, "left_anti")
-              .groupBy(review).agg(F.array_sort(F.collect_list("item")).alias("items")))
-    folded = groups.withColumn("reasons", fold_budget(F.col("items"), limits.max_files, limits.max_total_patch_chars))
-    entry = F.explode(F.arrays_zip("items", "reasons")).alias("e")
-    decided = folded.select(review, entry).select(
-        review, F.col("e.items.name").alias("filename"), F.col("e.reasons").alias("reason"),
-        F.col("e.items.n").alias("patch_chars"))
-    unmeasured = df.select(review, "filename").join(refused, review, "left_semi").select(
-        review, "filename", F.lit(TOO_MANY).alias("reason"), F.lit(None).cast("int").alias("patch_chars"))
-    return decided.unionByName(unmeasured)
+    files = df.select(review, "filename", "reason", "patch_chars")
+    walked = walk_budget(files.filter(F.col("reason").isNull()), review, "filename", "patch_chars", F.col("patch_chars"), 1,
+                         limits.max_files, limits.max_total_patch_chars, ("max_files", "max_total_patch_chars"))
+    decided = walked.select(review, "filename", "reason", F.col("patch_chars").cast("int").alias("patch_chars"))
+    return decided.unionByName(files.filter(F.col("reason").isNotNull()))
 
 
 def scope_summary(decisions: DataFrame, review: str = "review_id") -> DataFrame:
@@ -120,17 +126,19 @@ def skipped_files(decisions: DataFrame, review: str = "review_id") -> DataFrame:
     return decisions.filter(F.col("reason").isNotNull()).select(review, "filename", "reason", "patch_chars")
 
 
-def scope_document(decisions: DataFrame, limits: Limits = DEFAULT_LIMITS, review: str = "review_id") -> DataFrame:
-    """The summary with its nested skipped list.
+def scope_document(decisions: DataFrame, limits: Limits = DEFAULT_LIMITS, review: str = "review_id", page: int = 1000) -> DataFrame:
+    """The summary with its nested skipped list, in pages of about ``page`` files.
 
-    A refused review keeps its rows in :func:`skipped_files` only, so a list never
-    exceeds the snapshot limit.
+    Page 0 has the totals of the whole review; an ordinary review has only that one. A file's page is
+    drawn from its name, so the pages of a review of any size form in different tasks.
     """
-    entry = F.struct("filename", "reason", "patch_chars")
-    listed = F.col("reason").isNotNull() & (F.col("reason") != TOO_MANY)
-    lists = (decisions.filter(listed).groupBy(review)
-             .agg(F.array_sort(F.collect_list(entry)).alias("skipped_files")))
-    return (scope_summary(decisions, review).join(lists, review, "left")
+    summary = scope_summary(decisions, review).withColumn("pages", F.greatest(
+        F.lit(1), F.ceil((F.col("total_files") - F.col("selected_files")) / page)).cast("bigint"))
+    skipped = skipped_files(decisions, review).join(summary.select(review, "pages"), review)
+    paged = skipped.withColumn("page", F.pmod(F.xxhash64("filename"), F.col("pages")))
+    lists = paged.groupBy(review, "page").agg(F.array_sort(F.collect_list(F.struct("filename", "reason", "patch_chars"))).alias("skipped_files"))
+    all_pages = summary.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1)))
+    return (all_pages.join(lists, [review, "page"], "left")
             .withColumn("skipped_files", F.coalesce(
                 "skipped_files", F.array().cast("array<struct<filename:string,reason:string,patch_chars:int>>")))
             .withColumn("max_files", F.lit(limits.max_files))

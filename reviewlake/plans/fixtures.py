@@ -143,7 +143,7 @@ FROM review_findings"""
 VIEWS["expected_labels"] = """
 SELECT 'case' || CAST(l_orderkey % 200 AS STRING) AS case_id, 'f' || CAST(l_partkey % 3 AS STRING) || '.py' AS file,
        l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 'security' WHEN 'N' THEN 'correctness' ELSE 'quality' END AS category
-FROM $lineitem WHERE l_linestatus = 'F' AND l_tax < 0.03"""
+FROM $lineitem WHERE l_linestatus = 'F'"""
 
 # Two experiments with raw rule ids. ``seq`` is unique and gives the input order.
 VIEWS["experiment_findings"] = """
@@ -154,7 +154,7 @@ SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'A' ELSE 'B'
             ELSE CASE WHEN l_partkey % 2 = 0 THEN 'B110' ELSE 'B605' END END AS category,
        l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
                                               l_extendedprice, l_shipdate) AS seq
-FROM $lineitem WHERE l_linestatus = 'O' AND l_tax < 0.03"""
+FROM $lineitem WHERE l_linestatus = 'O'"""
 
 # One status per experiment and case, taken from the orders of that case.
 VIEWS["case_status"] = """

@@ -25,7 +25,7 @@ _EXPIRED = f"(status = 'processing' AND (lease_expires_at IS NULL OR lease_expir
 
 
 @query("job_claim_decision", "OP-H1", sql=oracle(
-    f"""SELECT id, work_state, CASE WHEN work_state = 'failed' THEN 'retry_limit_exceeded' WHEN expired AND work_state = 'deferred'
+    f"""SELECT id, work_state, CASE WHEN work_state = 'failed' THEN 'retry_limit_exceeded' WHEN expired
           THEN 'worker_lease_expired' END AS work_error
         FROM (SELECT id, {_EXPIRED} AS expired, CASE WHEN next_attempt_at > {NOW} THEN 'deferred' WHEN NOT (status = 'queued' OR {_EXPIRED}) THEN 'skipped'
                 WHEN attempt_count >= 4 THEN 'failed' ELSE 'claimed' END AS work_state FROM review_jobs)"""))

@@ -124,20 +124,29 @@ def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELD = "CAST(length({0}) AS VARCHAR) || ':' || {0} || '|'"
 _ANNOTATED = """SELECT review_id, file_path AS path, line_number AS start_line, line_number AS end_line,
     CASE WHEN severity = 'low' THEN 'notice' ELSE 'warning' END AS annotation_level, title,
-    substr(description || CASE WHEN coalesce(suggestion, '') <> '' THEN chr(10) || 'Suggestion: ' || suggestion ELSE '' END, 1, 8000) AS message,
-    category FROM merged"""
+    substr(full_message, 1, 8000) AS message, full_message, length(full_message) > 8000 AS message_cut, category
+    FROM (SELECT *, description || CASE WHEN coalesce(suggestion, '') <> '' THEN chr(10) || 'Suggestion: ' || suggestion ELSE '' END AS full_message
+          FROM merged) AS m"""
 _PRINTED = "SELECT *, sha256(" + " || ".join(
     _FIELD.format(f"CAST({name} AS VARCHAR)") for name in G.ANNOTATION) + ") AS fingerprint FROM annotated"
-# What is to be published: rows in place, and a few that point outside the added lines.
-_PUB = {**LOCATED, "fine": """SELECT * FROM located WHERE reason IS NULL OR (reason = 'outside_reviewed_changes' AND title LIKE '%777')""",
+# What is to be published: rows in place and rows that point outside the added lines, each file by itself,
+# so that some units are blocked and some are not.
+_PUB = {**LOCATED, "fine": """SELECT * REPLACE (CAST(review_id AS VARCHAR) || '/' || file_path AS review_id) FROM located
+          WHERE reason IS NULL OR reason = 'outside_reviewed_changes'""",
         "ranked": merged_sql("fine"), "merged": "SELECT * FROM ranked WHERE best = 1", "annotated": _ANNOTATED, "printed": _PRINTED}
-_BLOCKED = """SELECT DISTINCT p.review_id FROM printed p LEFT JOIN added a ON a.review_id = p.review_id AND a.filename = p.path
+_BLOCKED = """SELECT DISTINCT p.review_id FROM printed p LEFT JOIN added a ON CAST(a.review_id AS VARCHAR) || '/' || a.filename = p.review_id
     AND a.line = p.start_line WHERE a.line IS NULL"""
 
 
 def to_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = validated(spark, sf_dir).filter("reason IS NULL OR (reason = 'outside_reviewed_changes' AND title LIKE '%777')")
-    return stored(G.annotations(R.merge_findings(rows.drop("reason"))), "annotations")
+    rows = validated(spark, sf_dir).filter("reason IS NULL OR reason = 'outside_reviewed_changes'")
+    units = rows.withColumn("review_id", F.concat(F.col("review_id").cast("string"), F.lit("/"), "file_path"))
+    return stored(G.annotations(R.merge_findings(units.drop("reason"))), "annotations")
+
+
+def added_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = D.added_lines(view(spark, sf_dir, "changed_files"))
+    return lines.withColumn("review_id", F.concat(F.col("review_id").cast("string"), F.lit("/"), "filename"))
 
 
 def located_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +157,7 @@ _LOC_PRINTED = {**_LOC, "annotated": _ANNOTATED, "printed": _PRINTED}
 
 
 @query("publish_annotations", "OP-G1", "OP-G2", sql=oracle(
-    "SELECT review_id, path, start_line, end_line, annotation_level, title, message, category, fingerprint FROM printed", **_LOC_PRINTED))
+    "SELECT review_id, path, start_line, end_line, annotation_level, title, message, full_message, message_cut, category, fingerprint FROM printed", **_LOC_PRINTED))
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located_annotations(spark, sf_dir).drop("schema_ok")
 
@@ -156,13 +165,12 @@ def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("publish_block_invalid", "OP-G3", sql=oracle(
     "SELECT review_id, fingerprint FROM printed WHERE review_id NOT IN (SELECT review_id FROM blocked)", **_PUB, blocked=_BLOCKED))
 def _block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = D.added_lines(view(spark, sf_dir, "changed_files"))
-    return G.block_invalid(to_publish(spark, sf_dir), changed).select("review_id", "fingerprint")
+    return G.block_invalid(to_publish(spark, sf_dir), added_by_unit(spark, sf_dir)).select("review_id", "fingerprint")
 
 
 @query("publish_blocked_reviews", "OP-G3", sql=oracle("SELECT review_id FROM blocked", **_PUB, blocked=_BLOCKED))
 def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.blocked_reviews(to_publish(spark, sf_dir), D.added_lines(view(spark, sf_dir, "changed_files")))
+    return G.blocked_reviews(to_publish(spark, sf_dir), added_by_unit(spark, sf_dir))
 
 
 @query("publish_pending", "OP-G4", sql=oracle(

@@ -10,10 +10,8 @@ from pyspark.errors import AnalysisException
 
 from ..functions.policy import safe_error
 
-# Buckets of the findings table; a review is always in the same one.
+# Buckets of a new findings table; a review is always in the same one. The number is stored with the table.
 BUCKETS = 256
-# Files a bucket may be spread over; a huge review is written by several tasks.
-FILES_PER_BUCKET = 8
 
 
 def bucket_of(review: str = "review_id", buckets: int = BUCKETS) -> Column:
@@ -21,33 +19,48 @@ def bucket_of(review: str = "review_id", buckets: int = BUCKETS) -> Column:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None when there is none yet."""
+    """The table at ``path``, or None when there is none yet; any other failure is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table that :func:`write_findings` wrote, or None when there is none yet."""
+    table = read_table(spark, path)
+    return None if table is None else table.filter(F.col("stamp").isNull()).drop("stamp", "bucket")
 
 
 def write_findings(findings: DataFrame, reviews: DataFrame, path: str, review: str = "review_id",
                    buckets: int = BUCKETS) -> None:
     """Replace all findings of ``reviews`` (also with none) in a table partitioned by review bucket.
 
-    Only touched buckets are read and rewritten: what belongs to other reviews is kept, the
-    rest replaced. The new files are staged and swapped in when the job commits, so a failed
-    or repeated run leaves one version.
+    Only touched buckets are read, by a literal partition filter, and rewritten: what belongs to other
+    reviews is kept, the rest replaced. Each touched bucket also gets one stamp row with the table's
+    bucket count, so that a bucket left without findings is overwritten too, and a writer with another
+    count is refused. New files are staged and each bucket is swapped in when the job commits; a
+    repeated run writes the same rows again. Spark sizes the files and splits a large bucket.
     """
     spark = findings.sparkSession
     touched = reviews.select(review).distinct().withColumn("bucket", bucket_of(review, buckets))
-    fresh = findings.withColumn("bucket", bucket_of(review, buckets))
+    ids = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not ids:
+        return
+    fresh = findings.withColumn("stamp", F.lit(None).cast("int")).withColumn("bucket", bucket_of(review, buckets))
     current = read_table(spark, path)
     if current is not None:
-        # Both semi and anti join have the same key list on the right; Spark sizes it.
-        kept = (current.join(touched.select("bucket").distinct(), "bucket", "left_semi")
+        counts = {r["stamp"] for r in current.filter(F.col("stamp").isNotNull()).select("stamp").distinct().collect()}
+        if counts != {buckets}:
+            raise ValueError(f"the table has {sorted(counts)} buckets, not {buckets}")
+        kept = (current.filter(F.col("bucket").isin(*ids) & F.col("stamp").isNull())
                 .join(touched.select(review), review, "left_anti"))
         fresh = fresh.unionByName(kept, allowMissingColumns=True)
-    salt = F.pmod(F.xxhash64(*[c for c in fresh.columns if c != "bucket"]), F.lit(FILES_PER_BUCKET))
-    (fresh.repartition("bucket", salt).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    stamps = touched.select("bucket").distinct().withColumn("stamp", F.lit(buckets))
+    rows = fresh.unionByName(stamps, allowMissingColumns=True).hint("rebalance", "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -55,6 +68,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+# The fields of a log record.
 LOG_FIELDS = ("review_id", "repository", "pull_request", "head_sha", "worker", "stage", "duration", "error")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from reviewlake.functions.text import count_lines, escaped_length, split_lines
 from reviewlake.operators import diff as D
 from reviewlake.operators import evaluate as K
-from reviewlake.operators import scope as C
 from reviewlake.operators import stats as L
 from reviewlake.operators.skew import hot_keys, lookup_join, next_within, number_within
 
@@ -76,23 +75,6 @@ def test_diff_round_trip(spark):
                              if not line.startswith("@@") and not line.startswith("\\"))
 
 
-def test_budget_fold_matches_a_walk(spark):
-    rng = random.Random(3)
-    groups = {g: [rng.randint(1, 40) for _ in range(rng.randint(1, 30))] for g in range(60)}
-    want = {}
-    for g, sizes in groups.items():
-        chosen = []
-        for i, n in enumerate(sizes):
-            fits = len(chosen) < 6 and sum(chosen) + n <= 100
-            want[g, f"f{i:03}"] = None if fits else "max_files" if len(chosen) >= 6 else "max_total_patch_chars"
-            chosen += [n] if fits else []
-    rows = [(g, [(f"f{i:03}", n, None) for i, n in enumerate(sizes)]) for g, sizes in groups.items()]
-    frame = spark.createDataFrame(rows, "g long, items array<struct<name:string,n:int,reason:string>>")
-    got = {(r.g, item.name): reason for r in frame.withColumn("reasons", C.fold_budget(F.col("items"), 6, 100)).collect()
-           for item, reason in zip(r["items"], r.reasons)}
-    assert got == want
-
-
 def test_match_counts_against_counters(spark):
     rng = random.Random(4)
     draw = lambda n: [(f"c{rng.randint(0, 3)}", "f", rng.randint(1, 4), rng.choice("ab")) for _ in range(n)]

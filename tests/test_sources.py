@@ -77,7 +77,7 @@ def test_labelled_cases(spark, tmp_path):
 def test_findings_are_replaced_per_review(spark, tmp_path):
     path = str(tmp_path / "findings")
     rows = lambda *pairs: spark.createDataFrame(pairs, "review_id long, title string")
-    table = lambda: sorted((r.review_id, r.title) for r in spark.read.parquet(path).collect())
+    table = lambda: sorted((r.review_id, r.title) for r in writers.read_findings(spark, path).collect())
     first = rows((1, "a"), (1, "b"), (2, "c"), (3, "d"))
     writers.write_findings(first, first, path, buckets=2)
     for _ in range(2):  # a repeated run changes nothing
@@ -85,6 +85,28 @@ def test_findings_are_replaced_per_review(spark, tmp_path):
         assert table() == [(1, "x"), (2, "c")]
 
 
+def test_emptied_buckets_lose_their_rows(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    rows = lambda *pairs: spark.createDataFrame(pairs, "review_id long, title string")
+    many = rows(*[(i, f"t{i}") for i in range(40)])
+    writers.write_findings(many, many, path)
+    gone = many.filter("review_id % 3 = 0")
+    for _ in range(2):
+        writers.write_findings(gone.limit(0), gone, path)
+        assert sorted(r.review_id for r in writers.read_findings(spark, path).collect()) == [i for i in range(40) if i % 3]
+    with pytest.raises(ValueError):
+        writers.write_findings(many, many, path, buckets=8)
+    writers.write_findings(many, many.limit(0), path)
+    assert writers.read_findings(spark, path).count() == 26
+
+
+def test_only_a_missing_path_is_no_table(spark, tmp_path):
+    assert writers.read_table(spark, str(tmp_path / "none")) is None
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        writers.read_table(spark, str(tmp_path / "empty"))
+
+
 def test_json_documents_keep_nulls(spark, tmp_path):
     path = str(tmp_path / "out")
     frame = spark.createDataFrame([(1, None)], "review_id long, error string")
