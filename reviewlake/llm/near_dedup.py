@@ -5,14 +5,15 @@ value; a bin's minimum is its signature, an empty bin borrows from the first fil
 for that bin, the same for all documents. ``ROWS`` bins make a band; at similarity 0.8, ``BANDS`` bands
 miss a pair with a chance below one in a million.
 
-Documents with equal sets are one class and travel once. A bucket of classes is not paired up: its least
-class is the centre and the others are its candidates, one edge each. Confirmed edges give components.
-A bucket whose classes then lie in several components may hide a link between two non-centres, so
-further rounds take other centres, and a last one tests every member outside the bucket's largest
-component against all members of other components: no bucket is cut or skipped. Candidates are confirmed
-on full sets, which are made again from the texts of the candidates alone.
-
-Every step between rounds is a table in the shared folder; nothing is collected.
+Documents with equal sets are one class and travel once. A bucket of classes is not paired up: the class
+that meets most others is its centre and the others are its candidates, one edge each. Confirmed edges
+give components. A bucket whose classes then lie in several components may hide a link between two
+non-centres: every member outside the bucket's largest component is tested against the members of other
+components, except where their shares of the centre's set prove that they cannot be similar enough. No
+bucket is cut or skipped. Candidates are confirmed on full sets, which are made again from the texts of
+the candidates alone.
+
+What several steps read is a table in the shared folder; nothing is collected.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from .common import LOWER, id_and_text, map_arrow, map_partition, texts
 PERCENT = 80
 ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
-STAR_ROUNDS = 3
 _MOST_WORDS = 500_000  # words in a task's hash table before it starts anew
 
 _random = np.random.default_rng(20)
@@ -116,8 +116,8 @@ def _may_link(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (x, y) of class ids whose full sets are similar enough; sets come from the texts of these classes alone."""
+def _measure(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs (x, y) of class ids with the size of their full sets' intersection and whether that links them."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
@@ -134,17 +134,17 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
     right = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy"))
 
     def step(batch: pa.RecordBatch) -> dict[str, object]:
-        keep = []
+        found, linked = [], []
         for a, b in zip(batch.column(2), batch.column(3)):
             a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             at = np.searchsorted(large, small)
-            shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            keep.append(100 * shared >= PERCENT * (len(a) + len(b) - shared))
-        mask = pa.array(keep, pa.bool_())
-        return {"x": batch.column(0).filter(mask), "y": batch.column(1).filter(mask)}
+            found.append(int((large[np.minimum(at, len(large) - 1)] == small).sum()))
+            linked.append(100 * found[-1] >= PERCENT * (len(a) + len(b) - found[-1]))
+        return {"x": batch.column(0), "y": batch.column(1), "shared": found, "linked": linked}
 
-    return map_arrow(pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy"), step, "x bigint, y bigint").distinct()
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy")
+    return map_arrow(both, step, "x bigint, y bigint, shared bigint, linked boolean").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,38 +168,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def _may_share(n: Column, p: Column, m: Column, q: Column) -> Column:
+    """Could sets of n and m shingles, p and q of them in a third set, be similar enough? Unknown p or q: yes.
+
+    Inside the third set they share at most min(p, q), outside at most min(n - p, m - q).
+    """
+    most = F.least(p, q) + F.least(n - p, m - q)
+    return F.coalesce(100 * most >= PERCENT * (n + m - most), F.lit(True))
+
+
 def link_classes(docs: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(classes, components): a, b -> class id, and class id -> component for the classes with links."""
     classes = stored(sets.filter("n > 0 and doc_id is not null").groupBy("a", "b")
                      .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
     members = classes.select("doc_id", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    # Only classes that share a bucket go on.
-    shared = stored(members.join(buckets, "key").select("key", "doc_id", "n", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m")), "near-members")
-    pairs = shared.filter("doc_id <> centre").filter(_may_link(F.col("n"), F.col("m"))).select(F.col("centre").alias("x"), F.col("doc_id").alias("y")).distinct()
-    edges = stored(_confirm(pairs, classes, docs, size), "near-links")
-    tested = stored(pairs, "near-tested")
-    for turn in range(1, STAR_ROUNDS + 1):
-        found = components(edges)
-        placed = shared.select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_buckets = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        placed = stored(placed.join(open_buckets, "key", "left_semi"), "near-open")
-        if placed.isEmpty():
-            return classes, found
-        if turn < STAR_ROUNDS:  # another star: the centre is drawn by a hash
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
-            centre = placed.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.doc_id").alias("x"), F.col("c.n").alias("m"), F.col("c.component").alias("cx"))
-        else:  # every member outside the largest component of its bucket
-            sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-            largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-            centre = (placed.join(largest, "key").filter("component <> largest")
-                      .select("key", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("component").alias("cx")))
-        met = (placed.join(centre, "key").filter("component <> cx").filter(_may_link(F.col("n"), F.col("m")))
-               .select(F.least("x", "doc_id").alias("x"), F.greatest("x", "doc_id").alias("y")).distinct())
-        pairs = stored(met.join(tested, ["x", "y"], "left_anti"), "near-pairs")
-        more = stored(_confirm(pairs, classes, docs, size), "near-links")
-        edges, tested = edges.union(more), tested.union(pairs)
-    return classes, components(edges)
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    # Only classes that share a bucket go on. The one that meets most others is the likeliest original: the centre.
+    met = stored(members.join(buckets, "key"), "near-members")
+    drawn = met.join(met.groupBy("doc_id").agg(F.sum("k").alias("weight")), "doc_id")
+    centres = drawn.groupBy("key").agg(F.min(F.struct(-F.col("weight"), "doc_id", "n")).alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m"))
+    shared = stored(met.join(centres, "key").select("key", "doc_id", "n", "centre", "m"), "near-stars")
+    pairs = (shared.filter("doc_id <> centre").filter(_may_link(F.col("n"), F.col("m")))
+             .select(F.col("centre").alias("x"), F.col("doc_id").alias("y")).distinct())
+    measured = stored(_measure(pairs, classes, docs, size), "near-links")
+    edges = measured.filter("linked").select("x", "y")
+    found = components(edges)
+    known = measured.select(F.col("x").alias("centre"), F.col("y").alias("doc_id"), F.col("shared").alias("p"))
+    placed = (shared.join(known, ["centre", "doc_id"], "left").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+              .select("key", "doc_id", "n", F.when(F.col("doc_id") == F.col("centre"), F.col("n")).otherwise(F.col("p")).alias("p"),
+                      F.coalesce("component", "doc_id").alias("component")))
+    # Buckets in several components: every member outside the largest meets all members of other components
+    # that the centre does not rule out.
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    open_rows = stored(placed.join(largest, "key"), "near-open")
+    outside = open_rows.filter("component <> largest").select("key", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("cx"))
+    tested = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = (open_rows.join(outside, "key").filter("component <> cx").filter(_may_link(F.col("n"), F.col("m")))
+            .filter(_may_share(F.col("n"), F.col("p"), F.col("m"), F.col("q")))
+            .select(F.least("x", "doc_id").alias("x"), F.greatest("x", "doc_id").alias("y")).distinct().join(tested, ["x", "y"], "left_anti"))
+    late = stored(_measure(stored(more, "near-pairs"), classes, docs, size).filter("linked").select("x", "y"), "near-links")
+    return classes, found if late.isEmpty() else components(edges.union(late))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
@@ -228,9 +237,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.col(f"`{id_col}`").cast("bigint")
     found = stored(near_duplicates(docs, id_col, text_col, size).filter("doc_id is not null"), "near-verdicts")
     kept = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    gone = kept.filter("not kept").select(F.col("doc_id").alias("_gone"))
-    repeated = kept.filter("kept and rows > 1").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, key == F.col("_gone"), "left_anti")
-    once = left.join(repeated, key == F.col("_gone"), "left_anti")
-    again = left.join(repeated, key == F.col("_gone"), "left_semi").dropDuplicates([id_col])
+    name = "gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = kept.filter("not kept").select(F.col("doc_id").alias(name))
+    repeated = kept.filter("kept and rows > 1").select(F.col("doc_id").alias(name))
+    left = docs.join(gone, key == F.col(name), "left_anti")
+    once = left.join(repeated, key == F.col(name), "left_anti")
+    again = left.join(repeated, key == F.col(name), "left_semi").dropDuplicates([id_col])
     return once.unionByName(again)
