@@ -43,76 +43,78 @@ _TOP = _U(1 << 48)  # a range below this is renewed by 16 bits
 _SLOTS = 512  # places of each context table of a block
 _BUCKETS = 17  # magnitudes of a rank
 _REFRESH = 32  # ids between two refreshes of the order-0 table
+_LEAST, _MOST = 512, 57344  # bounds of a weight, of 65536
 
 
 class _Models:
-    """The models of ``n`` blocks side by side, the same for coding and decoding."""
+    """The models of ``n`` blocks side by side, the same for coding and decoding; all numbers fit 32 bits."""
 
     def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.tables = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]  # (rank + 1) << 2 | confidence
-        self.weights = [np.full(n * 4, w, np.int64) for w in (16384, 9830)]  # chance of a hit by confidence, of 65536
-        self.counts = np.ones((n, _BUCKETS), np.int64)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.n, self.lane = n, np.arange(n, dtype=np.int32)
+        self.slot, self.row, self.mixed = self.lane * _SLOTS, self.lane * (_BUCKETS + 1), self.lane * 8
+        self.tables = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]  # (rank + 1) << 3 | confidence, 0 for an empty place
+        self.weights = [np.full(n * 8, w, np.int32) for w in (16384, 9830)]  # chance of a hit by confidence, of 65536
+        for weights in self.weights:
+            weights[::8] = _LEAST
+        self.counts = np.ones(n * (_BUCKETS + 1), np.int32)
+        self.counts[_BUCKETS::_BUCKETS + 1] = 0
+        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.refresh()
 
     def refresh(self) -> None:
-        free = 256 - _BUCKETS
-        share = 1 + self.counts * free // self.counts.sum(axis=1, keepdims=True)
-        share[self.lane, self.counts.argmax(axis=1)] += 256 - share.sum(axis=1)
-        self.starts = np.zeros((self.n, _BUCKETS + 1), np.int64)
-        np.cumsum(share, axis=1, out=self.starts[:, 1:])
-        self.starts = self.starts.ravel()
-        self.bucket_of = np.repeat(np.tile(np.arange(_BUCKETS, dtype=np.uint8), self.n), share.ravel())  # 256 per block
-        self.counts -= self.counts >> 2
+        counts = self.counts.reshape(self.n, _BUCKETS + 1)[:, :_BUCKETS]
+        share = 1 + counts * (256 - _BUCKETS) // counts.sum(axis=1, keepdims=True, dtype=np.int32)
+        share[self.lane, counts.argmax(axis=1)] += 256 - share.sum(axis=1, dtype=np.int32)
+        starts = np.zeros((self.n, _BUCKETS + 1), np.int32)
+        np.cumsum(share, axis=1, out=starts[:, 1:])
+        self.starts = starts.ravel()
+        self.bucket_of = np.repeat(np.tile(np.arange(_BUCKETS, dtype=np.int32), self.n), share.ravel())  # 256 per block
+        counts -= counts >> 2
 
     def predict(self, m: int) -> None:
         """Predictions and mixture weights for the next id of the first ``m`` blocks."""
-        lane = self.lane[:m]
         a, b = self.last[:m], self.before[:m]
-        self.place = [lane * _SLOTS + ((a * 40503 + b * 30013 + (b >> 3)) & (_SLOTS - 1)), lane * _SLOTS + ((a * 24593 + (a >> 5)) & (_SLOTS - 1))]
-        two, one = (t[p] for t, p in zip(self.tables, self.place))
-        self.guess = [two >> 2, one >> 2]  # rank + 1, 0: none
-        self.sure = [lane * 4 + (two & 3), lane * 4 + (one & 3)]
-        scale = 1 << (_CLASS_BITS - 16)
-        first = np.where(self.guess[0] > 0, self.weights[0][self.sure[0]] * scale, 0)
-        second = np.where(self.guess[1] > 0, ((1 << _CLASS_BITS) - first) * self.weights[1][self.sure[1]] >> 16, 0)
+        self.place = [self.slot[:m] + ((a * 24593 + b * 30013 + (b >> 3)) & (_SLOTS - 1)), self.slot[:m] + ((a * 24593 + (a >> 5)) & (_SLOTS - 1))]
+        self.packed = [t[p] for t, p in zip(self.tables, self.place)]
+        two, one = self.packed
+        self.guess = [two >> 3, one >> 3]  # rank + 1
+        self.sure = [self.mixed[:m] + (two & 7), self.mixed[:m] + (one & 7)]
+        self.weight = [w[s] for w, s in zip(self.weights, self.sure)]
+        first = self.weight[0] << (_CLASS_BITS - 16)
+        second = (((1 << _CLASS_BITS) - first) * (self.weight[1] >> 6)) >> 10
         same = self.guess[0] == self.guess[1]
-        self.first = np.where(same, first + second, first)
-        self.second = np.where(same, 0, second)
-        self.rest = (1 << _CLASS_BITS) - self.first - self.second
+        self.first = first + second * same
+        self.second = second * ~same
+        self.both = first + second
+        self.rest = (1 << _CLASS_BITS) - self.both
 
     def interval(self, m: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of a magnitude's part of the mixture."""
-        at = self.lane[:m] * (_BUCKETS + 1) + bucket
-        low = self.rest * self.starts[at] >> 8
-        return self.first + self.second + low, (self.rest * self.starts[at + 1] >> 8) - low
+        self.at = self.row[:m] + bucket
+        low = self.rest * self.starts[self.at] >> 8
+        return self.both + low, (self.rest * self.starts[self.at + 1] >> 8) - low
 
-    def learn(self, m: int, rank1: np.ndarray, hit: tuple[np.ndarray, np.ndarray], bucket: np.ndarray) -> None:
-        """Take the coded rank + 1 into all models."""
+    def learn(self, m: int, rank1: np.ndarray, missed: np.ndarray) -> None:
+        """Take the coded rank + 1 into all models; :meth:`interval` was last asked for its magnitude."""
+        fresh = (rank1 << 3) | 1
         for k in range(2):
-            weight, sure, guess = self.weights[k], self.sure[k], self.guess[k]
-            right = guess == rank1
-            old = weight[sure]
-            weight[sure] = np.where(guess > 0, np.clip(old + ((np.where(right, 65536, 0) - old) >> 5), 512, 58000), old)
-            table = self.tables[k]
-            packed = table[self.place[k]]
-            table[self.place[k]] = np.where(right, np.minimum(packed + 1, (rank1 << 2) | 3), rank1 << 2)
-        missed = ~(hit[0] | hit[1])
-        lanes = self.lane[:m][missed]
-        self.counts[lanes, bucket[missed]] += 24
+            right = self.guess[k] == rank1
+            weight = self.weight[k]
+            self.weights[k][self.sure[k]] = weight + ((right * np.int32(_MOST - _LEAST) + np.int32(_LEAST) - weight) >> 5)
+            self.tables[k][self.place[k]] = np.where(right, np.minimum(self.packed[k] + 1, fresh + 3), fresh)
+        self.counts[self.at] += missed * np.int32(24)
         self.before[:m] = self.last[:m]
         self.last[:m] = rank1
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(x.astype(np.float32))[1]  # exact below 2^24
 
 
 def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """16-bit words of each block. ``ranks``: one row per block; only the last block may be shorter."""
     n, steps = ranks.shape
-    models = _Models(n)
+    models, columns = _Models(n), np.ascontiguousarray(ranks.T, dtype=np.int32)
     low, size = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
     out, filled = np.zeros((n, 2 * steps + 16), np.int32), np.zeros(n, np.int64)
     for i in range(steps):
@@ -122,19 +124,17 @@ def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         if i and i % _REFRESH == 0:
             models.refresh()
         models.predict(m)
-        rank1 = ranks[:m, i].astype(np.int64) + 1
-        bucket = _bit_length(rank1) - 1
+        rank1 = columns[i, :m] + np.int32(1)
+        bucket = _bit_length(rank1) - np.int32(1)
         two = models.guess[0] == rank1
-        one = ~two & (models.guess[1] == rank1)
+        one = (models.guess[1] == rank1) & ~two
+        missed = ~(two | one)
         start, part = models.interval(m, bucket)
-        start = np.where(two, 0, np.where(one, models.first, start))
-        part = np.where(two, models.first, np.where(one, models.second, part))
-        extra = np.where(two | one, 0, bucket)
-        offset = np.where(two | one, 0, rank1 - (np.int64(1) << bucket))
+        start = np.where(missed, start, models.first * one)
+        part = np.where(missed, part, np.where(two, models.first, models.second))
         unit = size[:m] >> _U(_CLASS_BITS)
-        width = unit * part.astype(_U)
-        fine = width >> extra.astype(_U)
-        new = low[:m] + unit * start.astype(_U) + fine * offset.astype(_U)
+        fine = (unit * part.astype(_U)) >> (bucket * missed).astype(_U)
+        new = low[:m] + unit * start.astype(_U) + fine * ((rank1 - (np.int32(1) << bucket)) * missed).astype(_U)
         carry = np.flatnonzero(new < low[:m])
         if len(carry):
             out[carry, filled[carry] - 1] += 1
@@ -146,7 +146,7 @@ def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
             low[thin] <<= _U(16)
             size[thin] <<= _U(16)
             thin = thin[size[thin] < _TOP]
-        models.learn(m, rank1, (two, one), bucket)
+        models.learn(m, rank1, missed)
     end = low + (_TOP - _U(1))  # one word reaches into the last range; what follows reads as zeros
     carry = np.flatnonzero(end < low)
     out[carry, filled[carry] - 1] += 1
@@ -170,7 +170,7 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
     code = table[at] << _U(48) | table[at + 1] << _U(32) | table[at + 2] << _U(16) | table[at + 3]
     last = at + width_of - 1
     at, size = at + 4, np.full(n, 2**64 - 1, _U)
-    ranks = np.zeros((n, steps), np.int64)
+    ranks = np.zeros((steps, n), np.int32)
     for i in range(steps):
         m = n if i < lengths[-1] else n - 1
         if not m:
@@ -179,18 +179,19 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
             models.refresh()
         models.predict(m)
         unit = size[:m] >> _U(_CLASS_BITS)
-        target = np.minimum(code[:m] // unit, _ONE - _U(1)).astype(np.int64)
+        target = np.minimum(code[:m] // unit, _ONE - _U(1)).astype(np.int32)
         two = target < models.first
-        one = ~two & (target < models.first + models.second)
-        beyond = np.maximum(target - models.first - models.second, 0)
-        bucket = models.bucket_of[models.lane[:m] * 256 + np.minimum(((beyond + 1 << 8) - 1) // models.rest, 255)].astype(np.int64)
+        missed = target >= models.both
+        one = ~(two | missed)
+        beyond = np.maximum(target - models.both, 0)
+        bucket = models.bucket_of[(models.lane[:m] << 8) + np.minimum((((beyond + 1) << 8) - 1) // models.rest, 255)]
         start, part = models.interval(m, bucket)
-        start = np.where(two, 0, np.where(one, models.first, start))
-        part = np.where(two, models.first, np.where(one, models.second, part))
-        extra = np.where(two | one, 0, bucket)
+        start = np.where(missed, start, models.first * one)
+        part = np.where(missed, part, np.where(two, models.first, models.second))
+        extra = (bucket * missed).astype(_U)
         left = code[:m] - unit * start.astype(_U)
-        fine = unit * part.astype(_U) >> extra.astype(_U)
-        offset = np.minimum(left // fine, (_U(1) << extra.astype(_U)) - _U(1))
+        fine = (unit * part.astype(_U)) >> extra
+        offset = np.minimum(left // fine, (_U(1) << extra) - _U(1))
         code[:m], size[:m] = left - fine * offset, fine
         thin = np.flatnonzero(fine < _TOP)
         while len(thin):
@@ -198,10 +199,11 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
             at[thin] += 1
             size[thin] <<= _U(16)
             thin = thin[size[thin] < _TOP]
-        rank1 = np.where(two, models.guess[0], np.where(one, models.guess[1], (np.int64(1) << bucket) + offset.astype(np.int64)))
-        ranks[:m, i] = rank1 - 1
-        models.learn(m, rank1, (two, one), _bit_length(rank1) - 1)
-    return ranks
+        rank1 = np.where(missed, (np.int32(1) << bucket) + offset.astype(np.int32), np.where(two, models.guess[0], models.guess[1]))
+        ranks[i, :m] = rank1 - np.int32(1)
+        models.interval(m, _bit_length(rank1) - np.int32(1))
+        models.learn(m, rank1, missed)
+    return ranks.T
 
 
 def write_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -210,13 +212,13 @@ def write_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     counts = np.bincount(stream)
     values = np.flatnonzero(counts)
     values = values[np.argsort(-counts[values], kind="stable")]
-    place = np.zeros(len(counts), np.int64)
-    place[values] = np.arange(len(values))
+    place = np.zeros(len(counts), np.int32)
+    place[values] = np.arange(len(values), dtype=np.int32)
     ranks = place[stream]
     blocks = -(-len(stream) // BLOCK)
     lengths = np.full(blocks, BLOCK)
     lengths[-1:] = len(stream) - BLOCK * (blocks - 1) if blocks else []
-    padded = np.zeros(blocks * BLOCK, np.int64)
+    padded = np.zeros(blocks * BLOCK, np.int32)
     padded[:len(ranks)] = ranks
     words = code_blocks(padded.reshape(blocks, BLOCK), lengths) if blocks else []
     sums = [zlib.crc32(stream[k * BLOCK:(k + 1) * BLOCK].tobytes()) for k in range(blocks)]
