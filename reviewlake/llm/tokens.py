@@ -1,78 +1,79 @@
 """Token ids of whole texts by a tokenizer file, through a table of the pieces already seen.
 
-Both tokenizers here cut a text before they merge, and never merge over a cut at ASCII white space.
-So a text's ids are the joined ids of its pieces, and a piece is encoded by the tokenizers library
-once per task and looked up after that. Texts in which a cut could depend on more than the piece
-(other white space, marks that may begin a special token) are encoded whole.
+Both tokenizers here cut a text before they merge, and never merge over a cut. So a text's ids are the
+joined ids of its pieces, and a piece is encoded by the tokenizers library once per worker and looked up
+after that. A run of common letters or of ASCII marks is one cut piece and goes straight to the
+library's merge model; whatever else stands between white space is encoded as a text of its own. Texts
+in which a cut could depend on more than the piece (other white space, marks that may begin a special
+token) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+import struct
 
 import numpy as np
 import public_tokenizers
 
-_BLANK = rb"[ \t\n\r\x0b\x0c]"
-_SOLID = rb"[^ \t\n\r\x0b\x0c]"
-_SPACED = re.compile(rb" ?" + _SOLID + rb"+|" + _BLANK + rb"+(?!" + _SOLID + rb")|" + _BLANK + rb"+")
-_WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-# Tokenizer file -> how a text falls into pieces, and a mark that parts pieces encoded together.
-PIECES: dict[str, tuple[Callable[[bytes], list[bytes]], bytes]] = {
-    "word_bpe_49k.json": (bytes.split, b" \x01 "),
-    "byte_bpe_50k.json": (_SPACED.findall, b"\n"),
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARK = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, which may begin a contraction
+_BLANK = r" \t\n\r\x0b\x0c"
+_WHOLE = re.compile(r"<\||[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# A piece that ends where the tokenizers always cut: letters before a mark, digit, blank or the end; marks alike.
+_LETTERS = rf"[{_LETTER}]++(?=[{_MARK}0-9{_BLANK}]|\Z)"
+_MARKS = rf"[{_MARK}]++(?=[{_LETTER}0-9{_BLANK}]|\Z)"
+PIECES = {
+    "word_bpe_49k.json": re.compile(rf"{_LETTERS}|{_MARKS}|[^{_BLANK}]+"),
+    "byte_bpe_50k.json": re.compile(rf" ?{_LETTERS}| ?{_MARKS}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"),
 }
-MOST_PIECES = 800_000  # pieces in the table before it starts anew: below 200 MB
+_ONE_CUT = re.compile(rf" ?[{_LETTER}]+|[ ]?[{_MARK}]+")
+MOST_PIECES = 1_200_000  # pieces in the table before it starts anew: below 300 MB
 _LONGEST = 256  # longer pieces are encoded each time
 
 
-class PieceTokenizer:
-    """``encode`` gives each text's ids as little-endian unsigned 32-bit integers."""
+def _byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for their own byte, the others for 256 and on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class PieceTokenizer(dict):
+    """piece -> ids as little-endian unsigned 32-bit integers; ``encode`` gives those of whole texts."""
 
     def __init__(self, name: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        (self.split, self.mark), self.known = PIECES[name], {}
-        (self.mark_id,) = self.tokenizer.encode(self.mark.decode(), add_special_tokens=False).ids
-
-    def _alone(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces. Many are encoded as one text, parted by a mark that none of them holds and that gives one id."""
-        joined = [p for p in pieces if self.mark.strip(b" ") not in p and p.strip() == p.strip(b" ") != b""]
-        found: dict[bytes, bytes] = {}
-        for low in range(0, len(joined), 8192):
-            part = joined[low:low + 8192]
-            text = self.mark.join(part).decode("utf-8", "replace")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-            if len(ends) != len(part):  # cannot happen for the marks below; if it did, encode one by one
-                found.update(zip(part, self._alone(part)))
-                continue
-            begins = [0, *(e + 1 for e in ends[:-1])]
-            found.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, begins, ends))
-        rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self._alone(rest)))
-        return found
+        self.merge, self.split = self.tokenizer.model.tokenize, PIECES[name].findall
+        self.lower, self.alphabet = name.startswith("word"), _byte_characters()
+        self.table = str.maketrans(self.alphabet)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if not _ONE_CUT.fullmatch(piece) or len(piece) > _LONGEST:
+            ids = self.whole(piece)
+        else:
+            spelt = piece.lower() if self.lower else piece
+            spelt = spelt.replace(" ", self.alphabet[32]) if spelt.isascii() else spelt.encode().decode("latin-1").translate(self.table)
+            ids = struct.pack(f"<{len(tokens := self.merge(spelt))}I", *[t.id for t in tokens])
+        if len(piece) <= _LONGEST:
+            self[piece] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [None if _WHOLE.search(t) else self.split(t) for t in texts]
-        wanted = set().union(*(p for p in parts if p is not None))
-        if len(self.known) + len(wanted) > MOST_PIECES:
-            self.known.clear()
-        new = list(wanted - self.known.keys())
-        self.known.update(self._ids(new))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) if p is not None else self._alone([t])[0] for p, t in zip(parts, texts)]
-        for piece in new:
-            if len(piece) > _LONGEST:
-                del self.known[piece]
+        if len(self) > MOST_PIECES:
+            self.clear()
+        get, out = self.__getitem__, []
+        for data in texts:
+            text = data.decode("utf-8", "replace")
+            out.append(self.whole(text) if _WHOLE.search(text) else b"".join(map(get, self.split(text))))
         return out
 
 
