@@ -36,7 +36,8 @@ LENGTH = 100
 GRAM = 24
 BATCHES = 2  # a power of two, so that the family ends as one level
 SAMPLE_DOCS = 1000  # documents whose anchors place the range bounds; balance only, no result depends on them
-_CHUNK = 1 << 20  # bytes hashed at once
+_CHUNK = 1 << 18  # bytes hashed at once: the arrays of a step stay within a few MB
+_WINDOWS = 400_000  # windows compared at once
 _FLUSH = 1_500_000  # anchors after which a task sorts and passes on what it holds
 _TAG = 20  # bits that tell apart texts under one repeated id
 _WIDTH = 7  # bits of the number of windows of a span
@@ -339,11 +340,26 @@ def _compare(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return rows
 
     pieces = map_arrow(docs.join(per_doc, "doc").select("doc", "text", "spans"), cut, "g bigint, doc bigint, place bigint, data binary")
-    ordered = pieces.repartitionByRange("g", F.xxhash64("data")).sortWithinPartitions("g")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = pieces.repartitionByRange(parts, "g", F.xxhash64("data")).sortWithinPartitions("g")
+
+    def settle(held: list[np.ndarray]) -> Iterator[dict[str, object]]:
+        g, one, two, doc, tag, start = np.concatenate(held, axis=1)
+        edge = (g == g[0]) | (g == g[-1])  # anchors that may go on in the windows before or after these
+        order = np.lexsort((start, doc, two, one))
+        one, two, doc, tag, start, edge = (x[order] for x in (one, two, doc, tag, start, edge))
+        later = _later(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])), doc, start << (_WIDTH + _TAG))
+        packed = (start[later] << (_WIDTH + _TAG)) | (1 << _TAG) | tag[later]
+        d, t, a, b = intervals(doc[later], packed)
+        yield {"one": d, "two": a, "kind": np.ones(len(d), np.int32), "doc": d, "tag": t, "start": a, "end": b}
+        edge &= ~later
+        yield {"one": one[edge], "two": two[edge], "kind": np.zeros(int(edge.sum()), np.int32), "doc": doc[edge], "tag": tag[edge], "start": start[edge],
+               "end": start[edge] + LENGTH}
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         hasher = Hasher()
-        ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             data = [x.as_buffer() for x in batch.column(3)]
             sizes = np.array([len(x) for x in data], np.int64)
@@ -353,22 +369,15 @@ def _compare(docs: DataFrame, spans: DataFrame) -> DataFrame:
             inside = at - np.repeat(begins, n)
             end = at + LENGTH - GRAM + 1
             place = batch.column(2).to_numpy()
-            ids.append(np.stack([np.repeat(batch.column(0).to_numpy(), n), hasher.stretch(at, end).view(np.int64), hasher.stretch(at, end, 1).view(np.int64),
-                                 np.repeat(batch.column(1).to_numpy(), n), np.repeat(place & ((1 << _TAG) - 1), n),
-                                 np.repeat(place >> (_WIDTH + _TAG), n) + inside]))
-        if not ids:
-            return
-        g, one, two, doc, tag, start = np.concatenate(ids, axis=1)
-        order = np.lexsort((start, doc, two, one))
-        g, one, two, doc, tag, start = (x[order] for x in (g, one, two, doc, tag, start))
-        new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-        later = _later(new, doc, start << (_WIDTH + _TAG))
-        edge = ~later & ((g == g.min()) | (g == g.max()))  # anchors that may go on in a neighbouring range
-        packed = (start[later] << (_WIDTH + _TAG)) | (1 << _TAG) | tag[later]
-        d, t, a, b = intervals(doc[later], packed)
-        yield {"one": d, "two": a, "kind": np.ones(len(d), np.int32), "doc": d, "tag": t, "start": a, "end": b}
-        yield {"one": one[edge], "two": two[edge], "kind": np.zeros(int(edge.sum()), np.int32), "doc": doc[edge], "tag": tag[edge], "start": start[edge],
-               "end": start[edge] + LENGTH}
+            held.append(np.stack([np.repeat(batch.column(0).to_numpy(), n), hasher.stretch(at, end).view(np.int64), hasher.stretch(at, end, 1).view(np.int64),
+                                  np.repeat(batch.column(1).to_numpy(), n), np.repeat(place & ((1 << _TAG) - 1), n),
+                                  np.repeat(place >> (_WIDTH + _TAG), n) + inside]))
+            size += len(at)
+            if size >= _WINDOWS:
+                yield from settle(held)
+                held, size = [], 0
+        if held:
+            yield from settle(held)
 
     found = map_partition(ordered, windows, "one bigint, two bigint, kind int, doc bigint, tag bigint, start bigint, end bigint")
     first = F.min(F.when(F.col("kind") == 0, F.struct("doc", "start"))).over(Window.partitionBy("kind", "one", "two"))  # a row per task at most
