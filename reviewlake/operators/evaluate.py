@@ -65,7 +65,7 @@ def dedup_first(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("seq",
 def combine(first: DataFrame, second: DataFrame, completed: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """First, then second, without repeats, for the cases where the second one completed."""
     ranked = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
-    kept = lookup_join(ranked, completed.select(*by).distinct(), list(by), spread=["side", "seq"], how="left_semi")
+    kept = lookup_join(ranked, completed.select(*by).distinct(), list(by), how="left_semi")
     return dedup_first(kept, by, ("side", "seq"))
 
 

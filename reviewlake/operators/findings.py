@@ -57,7 +57,7 @@ def bandit_batch_status(errors: DataFrame, ruff: DataFrame, review: str = "revie
     """
     broken = (ruff.filter(F.col("category") == SYNTAX_ERROR).select(review, "file_path").distinct()
               .withColumn("_broken", F.lit(True)))
-    joined = lookup_join(errors, broken, [review, "file_path"], spread=["reason"])
+    joined = lookup_join(errors, broken, [review, "file_path"])
     excused = F.col("_broken").isNotNull() & F.coalesce(F.lower("reason").contains("syntax"), F.lit(False))
     return joined.groupBy(review).agg(
         F.when(F.bool_or(~excused), "bandit_file_error").alias("status"), F.count(F.lit(1)).alias("errors"))
@@ -91,7 +91,7 @@ def _file_error(limits: Limits) -> Column:
 def on_changed_lines(findings: DataFrame, changed: DataFrame, review: str = "review_id") -> DataFrame:
     """Findings on added lines. ``changed``: review, ``filename``, ``line``."""
     lines = changed.select(review, F.col("filename").alias("file_path"), F.col("line").alias("line_number"))
-    return lookup_join(findings, lines, [review, "file_path", "line_number"], spread=["idx"], how="left_semi")
+    return lookup_join(findings, lines, [review, "file_path", "line_number"], how="left_semi")
 
 
 def static_status(findings: DataFrame, review: str = "review_id") -> DataFrame:
@@ -106,7 +106,7 @@ def void_failed(findings: DataFrame, status: DataFrame, review: str = "review_id
     failed = status.filter("failed").select(review)
     static = findings.filter(F.col("source").isin(*STATIC_SOURCES))
     rest = findings.filter(~F.col("source").isin(*STATIC_SOURCES))
-    return lookup_join(static, failed, [review], spread=["idx"], how="left_anti").unionByName(rest)
+    return lookup_join(static, failed, [review], how="left_anti").unionByName(rest)
 
 
 # --- strict rows ----------------------------------------------------------------------
@@ -197,12 +197,14 @@ def validate_findings(findings: DataFrame, files: DataFrame, review: str = "revi
 
     ``files`` comes from :func:`reviewed_files`. Siblings of a bad row survive.
     """
-    joined = lookup_join(findings, files, [review, "file_path"], spread=["idx"])
+    known = lookup_join(findings, files.select(review, "file_path", "line_count"), [review, "file_path"])
+    # Places meet as rows: a file with many added lines costs one row per line, not a scan per finding.
+    places = files.select(review, "file_path", F.explode("added").alias("line_number"), F.lit(True).alias("_added"))
+    joined = lookup_join(known, places, [review, "file_path", "line_number"])
     reason = (F.when(~row_ok(), "invalid_schema").when(F.col("line_count").isNull(), "unknown_file")
               .when(F.col("line_number") > F.col("line_count"), "invalid_line_number")
-              .when(~F.coalesce(F.array_contains("added", F.col("line_number").cast("bigint")), F.lit(False)),
-                    "outside_reviewed_changes"))
-    return joined.withColumn("reason", reason).drop("line_count", "added")
+              .when(F.col("_added").isNull(), "outside_reviewed_changes"))
+    return joined.withColumn("reason", reason).drop("line_count", "_added").select(*findings.columns, "reason")
 
 
 def accepted(validated: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def validate_model_responses(responses: DataFrame, files: DataFrame, keys: Seque
     are judged inside the row.
     """
     checked = check_envelope(responses, limits=limits)
-    located = lookup_join(checked, files, list(keys), spread=["raw"])
+    located = lookup_join(checked, files, list(keys))
     members = F.col("items")
     bad_schema = F.exists(members, lambda item: ~item_ok(item))
     path = F.col(keys[-1])

@@ -153,7 +153,7 @@ def delivery_disposition(df: DataFrame) -> DataFrame:
     arrival = F.struct("received_at", "seq")
     firsts = (marked.filter(F.col("reason").isNull()).groupBy("delivery_id")
               .agg(F.min(arrival).alias("_first")))
-    joined = lookup_join(marked, firsts, ["delivery_id"], spread=["seq"])
+    joined = lookup_join(marked, firsts, ["delivery_id"])
     disposition = (F.when(F.col("reason") == "signature", "unauthenticated")
                    .when(F.col("reason").isNotNull(), "invalid")
                    .when(arrival != F.col("_first"), "duplicate")
@@ -183,7 +183,7 @@ def insert_new(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] =
     first = F.min(F.struct(*order)).alias("_first")
     winners = (incoming.groupBy(*keys).agg(first)
                .join(existing.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left"))
-    marked = lookup_join(incoming, winners, keys, spread=list(order))
+    marked = lookup_join(incoming, winners, keys)
     inserted = F.col("_known").isNull() & (F.struct(*order) == F.col("_first"))
     pick = lambda condition: marked.filter(condition).select(*incoming.columns)
     return pick(inserted), pick(~inserted)

@@ -51,8 +51,7 @@ def due_publications(jobs: DataFrame, now: Column, limit: int = SWEEP_LIMIT) ->
 def fence(results: DataFrame, jobs: DataFrame, review: str = "review_id") -> DataFrame:
     """Results of the current attempt only: the lease token is the one the job holds now."""
     held = jobs.filter(F.col("lease_token").isNotNull()).select(review, "lease_token")
-    spread = [name for name in results.columns if name not in (review, "lease_token")]
-    return lookup_join(results, held, [review, "lease_token"], spread=spread, how="left_semi")
+    return lookup_join(results, held, [review, "lease_token"], how="left_semi")
 
 
 def latest_state(jobs: DataFrame, outcomes: DataFrame, review: str = "review_id") -> DataFrame:

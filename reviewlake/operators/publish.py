@@ -48,7 +48,7 @@ def blocked_reviews(rows: DataFrame, changed: DataFrame, review: str = "review_i
 
 def block_invalid(rows: DataFrame, changed: DataFrame, review: str = "review_id") -> DataFrame:
     """Annotations of reviews in which every one is in place; one bad row blocks its review."""
-    return lookup_join(rows, blocked_reviews(rows, changed, review), [review], spread=["fingerprint"], how="left_anti")
+    return lookup_join(rows, blocked_reviews(rows, changed, review), [review], how="left_anti")
 
 
 def pending_annotations(rows: DataFrame, published: DataFrame, review: str = "review_id") -> DataFrame:
@@ -103,7 +103,7 @@ def current_heads(deliveries: DataFrame) -> DataFrame:
 
 def superseded(jobs: DataFrame, heads: DataFrame) -> DataFrame:
     """Jobs whose head is no longer the newest of their pull request."""
-    joined = lookup_join(jobs, heads, ["repository_name", "pull_request_number"], spread=["head_sha"], how="inner")
+    joined = lookup_join(jobs, heads, ["repository_name", "pull_request_number"], how="inner")
     return joined.filter(F.col("head_sha") != F.col("current_head"))
 
 

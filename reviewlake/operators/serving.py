@@ -62,7 +62,7 @@ def report_availability(jobs: DataFrame, ids: DataFrame) -> DataFrame:
 def findings_of(findings: DataFrame, ids: DataFrame, review: str = "review_id") -> DataFrame:
     """Findings of the asked jobs, in (path, line, source, category) order within a job."""
     asked = ids.select(F.col(ids.columns[0]).alias(review))
-    return lookup_join(findings, asked, [review], spread=["idx"], how="left_semi").orderBy(
+    return lookup_join(findings, asked, [review], how="left_semi").orderBy(
         review, "file_path", "line_number", "source", "category", "idx")
 
 

@@ -1,6 +1,6 @@
 """Joins and orderings that stay balanced when one key holds a large share of the rows.
 
-Nothing here collects a group: a hot key is split over many tasks, exactly.
+Nothing here collects a group.
 """
 
 from __future__ import annotations
@@ -10,42 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split; the salt count grows with the key, up to the cap.
-# There are at most (rows / HOT_ROWS) such keys: 200,000 of them, some 20 MB, in 10^12 rows.
-# That bound is why the list of hot keys, and nothing else, is sent to every task.
-HOT_ROWS = 5_000_000
-ROWS_PER_SALT = 1_000_000
-MAX_SALTS = 1_000_000
 
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join many fact rows to a lookup with a few rows per key; ``how`` is inner, left, left_semi or left_anti.
 
-def hot_keys(df: DataFrame, on: Sequence[str], threshold: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``threshold`` rows and the number of salts to split each into.
-
-    The count is combined before the shuffle, so a hot key costs one row per task.
-    """
-    per_salt = max(1, min(ROWS_PER_SALT, threshold))
-    return (df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > threshold)
-            .select(*on, F.least(F.ceil(F.col("_rows") / per_salt), F.lit(MAX_SALTS)).cast("int").alias("_salts")))
-
-
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "left", threshold: int = HOT_ROWS) -> DataFrame:
-    """Join many fact rows to a lookup with a few rows per key, splitting hot keys.
-
-    Fact rows of a hot key get a salt from a hash of ``spread``; the lookup rows of that
-    key are repeated once per salt. ``how`` is inner, left, left_semi or left_anti.
-    Finding the hot keys reads the key columns once more and moves one row per key and task;
-    the facts themselves are moved once. Spark sizes the main join itself.
+    A plain equality join, so that the engine can broadcast a small lookup by its measured size or else
+    split a hot key's fact rows, equal ones too, over tasks at run time (the session forces skew joins even where
+    that costs a shuffle). The facts are read once and moved at most once.
     """
-    hot = F.broadcast(hot_keys(facts, on, threshold))
-    salt = F.pmod(F.xxhash64(*spread), F.col("_salts").cast("bigint")).cast("int")
-    salted = (facts.join(hot, list(on), "left")
-              .withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts"))
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    spread_lookup = (lookup.join(hot, list(on), "left")
-                     .withColumn("_salt", F.explode(copies)).drop("_salts"))
-    joined = salted.join(spread_lookup, [*on, "_salt"], how).drop("_salt")
-    return joined
+    return facts.join(lookup, list(on), how)
 
 
 def number_within(df: DataFrame, group: Sequence[str], coarse: Column, order: Sequence[Column],

@@ -110,7 +110,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = jobs(spark, sf_dir).select(F.col("id").alias("review_id"), "repository_name", "pull_request_number", "head_sha")
     events = view(spark, sf_dir, "stage_log").select(
         "review_id", "stage", F.col("value").alias("duration"), "error", F.lit("node-1").alias("worker"), "seq")
-    return stage_log(lookup_join(events, table, ["review_id"], spread=["seq"], how="inner"))
+    return stage_log(lookup_join(events, table, ["review_id"], how="inner"))
 
 
 # --- serving ------------------------------------------------------------------------------------
