@@ -8,10 +8,9 @@ miss a pair with a chance below one in a million.
 Documents with equal sets are one class and travel once. A bucket of classes is not paired up: the class
 that meets most others is its centre and the others are its candidates, one edge each. Confirmed edges
 give components. A bucket whose classes then lie in several components may hide a link between two
-non-centres: every member outside the bucket's largest component is tested against the members of other
-components, except where their shares of the centre's set prove that they cannot be similar enough. No
-bucket is cut or skipped. Candidates are confirmed on full sets, which are made again from the texts of
-the candidates alone.
+non-centres: the classes outside the bucket's largest component are joined with all others of such
+buckets by an exact prefix filter. No bucket is cut or skipped. Candidates are confirmed on full sets,
+which are made again from the texts of the classes that share a bucket at all.
 
 What several steps read is a table in the shared folder; nothing is collected.
 """
@@ -33,6 +32,7 @@ from .common import LOWER, id_and_text, map_arrow, map_partition, texts
 PERCENT = 80
 ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
+_COUNTER_BITS = 20  # size of the frequency table of the late pairs
 _MOST_WORDS = 500_000  # words in a task's hash table before it starts anew
 
 _random = np.random.default_rng(20)
@@ -116,9 +116,8 @@ def _may_link(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def _measure(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Pairs (x, y) of class ids with the size of their full sets' intersection and whether that links them."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """doc_id and sorted shingles of the wanted classes, made again from their texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         words = Words()
@@ -129,7 +128,11 @@ def _measure(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
                    "b": [int.from_bytes(n[8:], "little", signed=True) for n in names], "shingles": [f.tobytes() for f in found]}
 
     made = map_partition(docs.join(wanted, "doc_id", "left_semi"), make, "doc_id bigint, a bigint, b bigint, shingles binary")
-    sets = made.join(classes.select("doc_id", "a", "b"), ["doc_id", "a", "b"], "left_semi").select("doc_id", "shingles")
+    return made.join(classes.select("doc_id", "a", "b"), ["doc_id", "a", "b"], "left_semi").select("doc_id", "shingles")
+
+
+def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) of class ids with the size of their full sets' intersection and whether that links them."""
     left = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy"))
 
@@ -168,13 +171,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def _may_share(n: Column, p: Column, m: Column, q: Column) -> Column:
-    """Could sets of n and m shingles, p and q of them in a third set, be similar enough? Unknown p or q: yes.
+def _late_pairs(open_docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x < y) of classes in different components, one of them outside, that may still be similar enough.
 
-    Inside the third set they share at most min(p, q), outside at most min(n - p, m - q).
+    A set join by prefixes: shingles are ordered from rare to frequent among these classes. Sets of n and m
+    shingles that share enough have a common shingle among the first n - o + 1 of one and m - o + 1 of the
+    other, where o is the intersection they need. What a class has of its own is rare and comes first, so
+    variants of one original hardly meet. Frequencies are kept in a table of fixed size; clashes in it
+    only make the order worse, any order gives the same links.
     """
-    most = F.least(p, q) + F.least(n - p, m - q)
-    return F.coalesce(100 * most >= PERCENT * (n + m - most), F.lit(True))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
+        total = np.zeros(1 << _COUNTER_BITS, np.int64)
+        for batch in batches:
+            for data in batch.column(1):
+                np.add.at(total, np.frombuffer(data.as_buffer(), np.uint64) >> np.uint64(64 - _COUNTER_BITS), 1)
+        yield {"total": [total.tobytes()]}
+
+    tables = map_partition(sets.join(open_docs.select("doc_id"), "doc_id", "left_semi"), count, "total binary").rdd.map(lambda row: bytes(row[0]))
+    add = lambda a, b: (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
+    counts = sets.sparkSession.sparkContext.broadcast(np.frombuffer(tables.treeReduce(add, depth=3), np.int64))  # 8 MB
+
+    def prefix(batch: pa.RecordBatch) -> dict[str, object]:
+        found = []
+        for data in batch.column(4):
+            own = np.frombuffer(data.as_buffer(), np.uint64)
+            order = np.lexsort((own, counts.value[own >> np.uint64(64 - _COUNTER_BITS)]))
+            found.append(own[order[:len(own) - -(-PERCENT * len(own) // 100) + 1]].view(np.int64))
+        return {"doc_id": batch.column(0), "n": batch.column(1), "component": batch.column(2), "outside": batch.column(3), "tokens": found}
+
+    rows = map_arrow(open_docs.join(sets, "doc_id").select("doc_id", "n", "component", "outside", "shingles"), prefix,
+                     "doc_id bigint, n bigint, component bigint, outside boolean, tokens array<bigint>")
+    rows = rows.select("doc_id", "n", "component", "outside", F.posexplode("tokens").alias("at", "token"))
+    other = rows.filter("outside").select(F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("component").alias("cx"), F.col("at").alias("ax"), "token")
+    need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    reach = (F.col("at") <= F.col("n") - need) & (F.col("ax") <= F.col("m") - need)
+    return (rows.drop("outside").join(other, "token").filter("component <> cx").filter(_may_link(F.col("n"), F.col("m"))).filter(reach)
+            .select(F.least("x", "doc_id").alias("x"), F.greatest("x", "doc_id").alias("y")).distinct())
 
 
 def link_classes(docs: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -190,24 +223,21 @@ def link_classes(docs: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame
     shared = stored(met.join(centres, "key").select("key", "doc_id", "n", "centre", "m"), "near-stars")
     pairs = (shared.filter("doc_id <> centre").filter(_may_link(F.col("n"), F.col("m")))
              .select(F.col("centre").alias("x"), F.col("doc_id").alias("y")).distinct())
-    measured = stored(_measure(pairs, classes, docs, size), "near-links")
-    edges = measured.filter("linked").select("x", "y")
+    full = stored(_full_sets(docs, shared.select("doc_id").distinct(), classes, size), "near-full")
+    edges = stored(_measure(pairs, full).filter("linked").select("x", "y"), "near-links")
     found = components(edges)
-    known = measured.select(F.col("x").alias("centre"), F.col("y").alias("doc_id"), F.col("shared").alias("p"))
-    placed = (shared.join(known, ["centre", "doc_id"], "left").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .select("key", "doc_id", "n", F.when(F.col("doc_id") == F.col("centre"), F.col("n")).otherwise(F.col("p")).alias("p"),
-                      F.coalesce("component", "doc_id").alias("component")))
-    # Buckets in several components: every member outside the largest meets all members of other components
-    # that the centre does not rule out.
+    placed = (shared.select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+              .withColumn("component", F.coalesce("component", "doc_id")))
+    # Buckets in several components: what lies outside the largest may still be linked to another member.
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_rows = stored(placed.join(largest, "key"), "near-open")
-    outside = open_rows.filter("component <> largest").select("key", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("cx"))
+    open_docs = stored(placed.join(largest, "key").groupBy("doc_id").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("largest")).alias("outside")), "near-open")
+    if open_docs.isEmpty():
+        return classes, found
     tested = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = (open_rows.join(outside, "key").filter("component <> cx").filter(_may_link(F.col("n"), F.col("m")))
-            .filter(_may_share(F.col("n"), F.col("p"), F.col("m"), F.col("q")))
-            .select(F.least("x", "doc_id").alias("x"), F.greatest("x", "doc_id").alias("y")).distinct().join(tested, ["x", "y"], "left_anti"))
-    late = stored(_measure(stored(more, "near-pairs"), classes, docs, size).filter("linked").select("x", "y"), "near-links")
+    more = _late_pairs(open_docs, full).join(tested, ["x", "y"], "left_anti")
+    late = stored(_measure(more, full).filter("linked").select("x", "y"), "near-links")
     return classes, found if late.isEmpty() else components(edges.union(late))
 
 
