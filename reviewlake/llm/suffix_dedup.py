@@ -5,7 +5,7 @@ document further left). Suffixes are taken at content-defined places only: in ev
 24-byte gram with the least hash (the leftmost) is its anchor. Consecutive windows with one anchor are a
 *span*; a span's extent depends on nothing but the bytes around it, so equal passages fall into equal
 spans. One suffix per span, about one in 35 bytes, stands in the arrays, ordered by the anchor gram's
-and then the span's fingerprint: what matters of the order is that equal beginnings lie together.
+and then the span's fingerprints (two of 64 bits, both must agree for a match): what matters of the order is that equal beginnings lie together.
 
 * Documents come in batches of ascending ids. A batch's array is cut into ranges of that order (a gram
   on a third of all documents spreads over several), sorted, and merge-scanned together with the levels
@@ -112,14 +112,14 @@ def text_tag(text: bytes) -> int:
     return zlib.crc32(text) & ((1 << _TAG) - 1)
 
 
-def spans_of(batch: list[tuple[int, bytes]], hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, span hash, document, place) of all spans; a place holds start, number of windows and text tag."""
+def spans_of(batch: list[tuple[int, bytes]], hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, span hash, second span hash, document, place) of all spans; a place holds start, number of windows and text tag."""
     batch = [(d, t) for d, t in batch if len(t) >= LENGTH]
     if not batch:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, _U), *(np.empty(0, np.int64) for _ in range(4))
     sizes = np.array([len(t) for _, t in batch], np.int64)
     begins = np.cumsum(sizes) - sizes
-    grams = hasher.load(np.frombuffer(b"".join(t for _, t in batch), np.uint8).astype(_U))
+    grams = hasher.load(np.frombuffer(b"".join(t for _, t in batch), np.uint8).astype(_U), twice=True)
     anchor = window_anchors(grams)
     owner = np.repeat(np.arange(len(batch)), sizes)
     start = np.flatnonzero(owner[:len(anchor)] == owner[LENGTH - 1:LENGTH - 1 + len(anchor)])  # windows inside one text
@@ -127,11 +127,12 @@ def spans_of(batch: list[tuple[int, bytes]], hasher: Hasher) -> tuple[np.ndarray
     cut = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
     low, high = start[cut], start[np.append(cut[1:], len(start)) - 1]
     at, windows = anchor[cut], high - low + 1
-    span = hasher.stretch(low, high + LENGTH - GRAM + 1) + (at - low).astype(_U) * _BASE + windows.astype(_U) * _BASE2
+    shape = (at - low).astype(_U) * _BASE + windows.astype(_U) * _BASE2
+    span, second = (_mix(hasher.stretch(low, high + LENGTH - GRAM + 1, k) + shape).view(np.int64) for k in (0, 1))
     doc = owner[low]
     tags = np.array([text_tag(t) for _, t in batch], np.int64)
     place = ((low - begins[doc]) << (_WIDTH + _TAG)) | (windows << _TAG) | tags[doc]
-    return _mix(grams[at] + _BASE), (_mix(span) >> _U(32)).astype(np.int64), np.array([d for d, _ in batch], np.int64)[doc], place
+    return _mix(grams[at] + _BASE), span, second, np.array([d for d, _ in batch], np.int64)[doc], place
 
 
 def intervals(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +149,11 @@ def intervals(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[first], tag[first], start[first], end[np.append(first[1:], len(doc)) - 1]
 
 
+def _new(g: np.ndarray, f: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of sorted rows: those whose span differs from the one before, by anchor or either fingerprint."""
+    return np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1]) | (second[1:] != second[:-1]))[:len(g)]
+
+
 def _later(new_key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Of rows sorted by key, document, place: those that start after the first row of their key."""
     first = np.flatnonzero(new_key)
@@ -156,7 +162,7 @@ def _later(new_key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarra
     return (doc != doc[head]) | ((place >> shift) != (place[head] >> shift))
 
 
-# kind 0: span (g, f, doc, place); 1: bytes to remove (doc, a = tag, place = start, b = end).
+# kind 0: span (g, f, doc, place, b = its second fingerprint); 1: bytes to remove (doc, a = tag, place = start, b = end).
 _ROWS = "kind int, part int, g bigint, f bigint, doc bigint, place bigint, b bigint"
 
 
@@ -205,12 +211,12 @@ def _batch_array(docs: DataFrame, bounds: tuple[np.ndarray, np.ndarray], parts:
         size = 0
 
         def flush() -> Iterator[dict[str, object]]:
-            g, f, doc, place = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((place, doc, f, g.view(np.int64)))
-            g, f, doc, place = g[order], f[order], doc[order], place[order]
-            new = np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1])) if len(g) else np.empty(0, bool)
+            g, f, second, doc, place = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((place, doc, second, f, g.view(np.int64)))
+            g, f, second, doc, place = g[order], f[order], second[order], doc[order], place[order]
+            new = _new(g, f, second)
             later = _later(new, doc, place)
-            yield _rows(0, _part(bounds, g[new], f[new]), g[new], f[new], doc[new], place[new], np.zeros(int(new.sum()), np.int64))
+            yield _rows(0, _part(bounds, g[new], f[new]), g[new], f[new], doc[new], place[new], second[new])
             d, tag, start, end = intervals(doc[later], place[later])
             yield _rows(1, d % parts, tag, np.zeros(len(d), np.int64), d, start, end)
 
@@ -236,8 +242,8 @@ def _batch_array(docs: DataFrame, bounds: tuple[np.ndarray, np.ndarray], parts:
 def _merge_scan(rows: DataFrame, parts: int, last: bool) -> DataFrame:
     """Sort suffixes into ranges and scan them: the distinct spans (kind 0), matched bytes (1).
 
-    ``b`` of a distinct span is 1 if a different span with the same anchor is near, or may be in the
-    next range. In the last scan of a family other distinct spans are not passed on.
+    In the last scan of a family only those distinct spans are passed on whose anchor has a different
+    span as well, or may have one in the next range.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
@@ -247,19 +253,19 @@ def _merge_scan(rows: DataFrame, parts: int, last: bool) -> DataFrame:
         kind, part, g, f, doc, place, b = (np.concatenate(x) for x in zip(*columns))
         through = kind == 1
         yield _rows(1, 0, g[through], f[through], doc[through], place[through], b[through])
-        g, f, doc, place = g[~through], f[~through], doc[~through], place[~through]
+        g, f, doc, place, b = g[~through], f[~through], doc[~through], place[~through], b[~through]
         if not len(g):
             return
-        new = np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1]))
+        new = _new(g, f, b)
         d, tag, start, end = intervals(*(x[_later(new, doc, place)] for x in (doc, place)))
         yield _rows(1, 0, tag, np.zeros(len(d), np.int64), d, start, end)
-        g, f, doc, place = g[new], f[new], doc[new], place[new]
+        g, f, doc, place, b = g[new], f[new], doc[new], place[new], b[new]
         same = g[1:] == g[:-1]
         near = np.append(same, False) | np.append(False, same) | (g == g[0]) | (g == g[-1])
         keep = near if last else np.ones(len(g), bool)
-        yield _rows(0, 0, g[keep], f[keep], doc[keep], place[keep], near[keep].astype(np.int64))
+        yield _rows(0, 0, g[keep], f[keep], doc[keep], place[keep], b[keep])
 
-    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("kind", "g", "f", "doc", "place")
+    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("kind", "g", "f", "b", "doc", "place")
     return map_partition(dealt, run, _ROWS)
 
 
@@ -294,16 +300,16 @@ def _family(docs: DataFrame, batches: int) -> tuple[DataFrame, DataFrame]:
         levels.append((size, scanned.filter("kind = 0").withColumn("part", part("g", "f"))))
         if not cuts:
             break
-    return removed, levels[-1][1].filter("b = 1").select("doc", "g", "place")
+    return removed, levels[-1][1].select("doc", "g", "place")
 
 
 def _against(scanned: DataFrame, levels: list[DataFrame], batch: int) -> DataFrame:
     """Bytes of a batch's distinct spans that stand in larger levels, which hold smaller ids only."""
-    spans = scanned.filter("kind = 0").select("g", "f", "doc", "place")
+    spans = scanned.filter("kind = 0").select("g", "f", "b", "doc", "place")
     found = spans
     for k, level in enumerate(levels):
-        hit = level.select("g", "f").distinct()
-        found_k = spans.join(hit, ["g", "f"], "left_semi")
+        hit = level.select("g", "f", "b").distinct()
+        found_k = spans.join(hit, ["g", "f", "b"], "left_semi")
         found = found_k if not k else found.union(found_k)
 
     def step(b: pa.RecordBatch) -> dict[str, object]:

@@ -57,6 +57,26 @@ def test_suffix_dedup_of_cut_passages(spark):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_suffix(data)
 
 
+def test_suffix_dedup_keeps_spans_that_agree_in_32_bits_only(spark):
+    """Different spans around one anchor gram whose span hashes have the same upper half."""
+    halves = [("15f5875cb631429da0a6b31c79856f94587d63d42aebf0bb40ad5e75028b", "b564729f0b11a097e1b2e6f12369d22e1c7a8eb83cb88ac68094f6d5a563"),
+              ("ab4cfaef996c24273ecc82bd9b871d20df3768e071d525a831de987bc9b1", "9d67fd174df1adfb30b7fbbca1c162c8afe31d9413f66105c26863f3c48a"),
+              ("a04e6ca7f62f413452c4280c757a3211a78f4c25547c34ecd23b3ddd2174", "e2a3ce2be2dc9c0626a20e3b0d438e97790aa3c2259a9b8c11a94298c4ea"),
+              ("59f4cba2b4f3afb616de1db7a05732039a785a7500e3574ba96eaf6e982c", "0dd05d0dab1bced13182c696cd2989f9994893c8330185c37a38c7c976db")]
+    data = [(i, f"{a}passage 16637 shared by all{b}") for i, (a, b) in enumerate(halves)]
+    found = suffix_dedup.digest(suffix_dedup.removed_spans(spark.createDataFrame(data, "doc_id bigint, text string"))).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_suffix(data)
+    assert all(r.n_removed == 0 for r in found)
+
+
+def test_suffix_scan_asks_both_fingerprints(spark):
+    place = 1 << suffix_dedup._TAG
+    rows = [(0, 0, 5, 9, doc, place, second) for doc, second in ((1, 7), (2, 8), (3, 7))]
+    found = suffix_dedup._merge_scan(spark.createDataFrame(rows, suffix_dedup._ROWS), 2, False).collect()
+    assert sorted((r.doc, r.b) for r in found if r.kind == 0) == [(1, 7), (2, 8)]
+    assert [r.doc for r in found if r.kind == 1] == [3]
+
+
 def shingle_set(text, size):
     words = solid_words((text or "").translate(LOWER))
     return frozenset(tuple(words[i:i + min(size, len(words))]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
