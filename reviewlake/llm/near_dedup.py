@@ -117,7 +117,7 @@ def _may_link(n: Column, m: Column) -> Column:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """doc_id and sorted shingles of the wanted classes, made again from their texts."""
+    """node and sorted shingles of the wanted classes (nodes), made again from the texts of their least ids."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         words = Words()
@@ -127,14 +127,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, size: int
             yield {"doc_id": batch.column(0), "a": [int.from_bytes(n[:8], "little", signed=True) for n in names],
                    "b": [int.from_bytes(n[8:], "little", signed=True) for n in names], "shingles": [f.tobytes() for f in found]}
 
-    made = map_partition(docs.join(wanted, "doc_id", "left_semi"), make, "doc_id bigint, a bigint, b bigint, shingles binary")
-    return made.join(classes.select("doc_id", "a", "b"), ["doc_id", "a", "b"], "left_semi").select("doc_id", "shingles")
+    sought = classes.join(wanted, "node", "left_semi").select("node", "doc_id", "a", "b")
+    made = map_partition(docs.join(sought, "doc_id", "left_semi"), make, "doc_id bigint, a bigint, b bigint, shingles binary")
+    return made.join(sought, ["doc_id", "a", "b"]).select("node", "shingles")
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) of class ids with the size of their full sets' intersection and whether that links them."""
-    left = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx"))
-    right = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy"))
+    """Pairs (x, y) of nodes with the size of their full sets' intersection and whether that links them."""
+    left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
+    right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
 
     def step(batch: pa.RecordBatch) -> dict[str, object]:
         found, linked = [], []
@@ -188,7 +189,7 @@ def _late_pairs(open_docs: DataFrame, sets: DataFrame) -> DataFrame:
                 np.add.at(total, np.frombuffer(data.as_buffer(), np.uint64) >> np.uint64(64 - _COUNTER_BITS), 1)
         yield {"total": [total.tobytes()]}
 
-    tables = map_partition(sets.join(open_docs.select("doc_id"), "doc_id", "left_semi"), count, "total binary").rdd.map(lambda row: bytes(row[0]))
+    tables = map_partition(sets.join(open_docs.select("node"), "node", "left_semi"), count, "total binary").rdd.map(lambda row: bytes(row[0]))
     add = lambda a, b: (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
     counts = sets.sparkSession.sparkContext.broadcast(np.frombuffer(tables.treeReduce(add, depth=3), np.int64))  # 8 MB
 
@@ -198,40 +199,44 @@ def _late_pairs(open_docs: DataFrame, sets: DataFrame) -> DataFrame:
             own = np.frombuffer(data.as_buffer(), np.uint64)
             order = np.lexsort((own, counts.value[own >> np.uint64(64 - _COUNTER_BITS)]))
             found.append(own[order[:len(own) - -(-PERCENT * len(own) // 100) + 1]].view(np.int64))
-        return {"doc_id": batch.column(0), "n": batch.column(1), "component": batch.column(2), "outside": batch.column(3), "tokens": found}
+        return {"node": batch.column(0), "n": batch.column(1), "component": batch.column(2), "outside": batch.column(3), "tokens": found}
 
-    rows = map_arrow(open_docs.join(sets, "doc_id").select("doc_id", "n", "component", "outside", "shingles"), prefix,
-                     "doc_id bigint, n bigint, component bigint, outside boolean, tokens array<bigint>")
-    rows = rows.select("doc_id", "n", "component", "outside", F.posexplode("tokens").alias("at", "token"))
-    other = rows.filter("outside").select(F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("component").alias("cx"), F.col("at").alias("ax"), "token")
+    rows = map_arrow(open_docs.join(sets, "node").select("node", "n", "component", "outside", "shingles"), prefix,
+                     "node bigint, n bigint, component bigint, outside boolean, tokens array<bigint>")
+    rows = rows.select("node", "n", "component", "outside", F.posexplode("tokens").alias("at", "token"))
+    other = rows.filter("outside").select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("component").alias("cx"), F.col("at").alias("ax"), "token")
     need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
     reach = (F.col("at") <= F.col("n") - need) & (F.col("ax") <= F.col("m") - need)
     return (rows.drop("outside").join(other, "token").filter("component <> cx").filter(_may_link(F.col("n"), F.col("m"))).filter(reach)
-            .select(F.least("x", "doc_id").alias("x"), F.greatest("x", "doc_id").alias("y")).distinct())
+            .select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct())
 
 
 def link_classes(docs: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, components): a, b -> class id, and class id -> component for the classes with links."""
-    classes = stored(sets.filter("n > 0 and doc_id is not null").groupBy("a", "b")
-                     .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
-    members = classes.select("doc_id", "n", F.explode("bands").alias("key"))
+    """(classes, components): a, b -> node and least id, and node -> component for the classes with links.
+
+    A node is one set; its number is unique also where a repeated id is the least of several sets.
+    """
+    named = (sets.filter("n > 0 and doc_id is not null").groupBy("a", "b")
+             .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = stored(named.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    members = classes.select("node", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     # Only classes that share a bucket go on. The one that meets most others is the likeliest original: the centre.
     met = stored(members.join(buckets, "key"), "near-members")
-    drawn = met.join(met.groupBy("doc_id").agg(F.sum("k").alias("weight")), "doc_id")
-    centres = drawn.groupBy("key").agg(F.min(F.struct(-F.col("weight"), "doc_id", "n")).alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m"))
-    shared = stored(met.join(centres, "key").select("key", "doc_id", "n", "centre", "m"), "near-stars")
-    pairs = (shared.filter("doc_id <> centre").filter(_may_link(F.col("n"), F.col("m")))
-             .select(F.col("centre").alias("x"), F.col("doc_id").alias("y")).distinct())
-    full = stored(_full_sets(docs, shared.select("doc_id").distinct(), classes, size), "near-full")
+    drawn = met.join(met.groupBy("node").agg(F.sum("k").alias("weight")), "node")
+    centres = drawn.groupBy("key").agg(F.min(F.struct(-F.col("weight"), "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
+    shared = stored(met.join(centres, "key").select("key", "node", "n", "centre", "m"), "near-stars")
+    pairs = (shared.filter("node <> centre").filter(_may_link(F.col("n"), F.col("m")))
+             .select(F.col("centre").alias("x"), F.col("node").alias("y")).distinct())
+    full = stored(_full_sets(docs, shared.select("node").distinct(), classes, size), "near-full")
     edges = stored(_measure(pairs, full).filter("linked").select("x", "y"), "near-links")
     found = components(edges)
-    placed = (shared.select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .withColumn("component", F.coalesce("component", "doc_id")))
+    placed = (shared.select("key", "node", "n").join(found, "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
     # Buckets in several components: what lies outside the largest may still be linked to another member.
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_docs = stored(placed.join(largest, "key").groupBy("doc_id").agg(
+    open_docs = stored(placed.join(largest, "key").groupBy("node").agg(
         F.first("n").alias("n"), F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("largest")).alias("outside")), "near-open")
     if open_docs.isEmpty():
         return classes, found
@@ -241,6 +246,19 @@ def link_classes(docs: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame
     return classes, found if late.isEmpty() else components(edges.union(late))
 
 
+def _judged(base: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, a, b, component_id of all rows, and whether the row's set is the one its component keeps (``head``)."""
+    sets = stored(_sets(base, size), "near-sets")
+    classes, found = link_classes(base.filter("doc_id is not null"), sets, size)
+    least = classes.join(found, "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    heads = found.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("head"))
+    named = (classes.select("a", "b", "node", "doc_id").join(heads, "node", "left")
+             .select("a", "b", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("head", F.lit(True)).alias("head")))
+    rows = sets.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
+    return rows.select("doc_id", "n", "a", "b", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+                       F.coalesce("head", F.lit(True)).alias("head"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -248,31 +266,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their component is null and they are kept. Rows that repeat an id each follow their own set. An empty
     table gives no rows; other columns are not read.
     """
-    base = id_and_text(docs, id_col, text_col)
-    sets = stored(_sets(base, size), "near-sets")
-    classes, found = link_classes(base.filter("doc_id is not null"), sets, size)
-    named = classes.select("a", "b", F.col("doc_id").alias("class"))
-    rows = (sets.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
-            .join(found.withColumnRenamed("node", "class"), "class", "left"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows = _judged(id_and_text(docs, id_col, text_col), size)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """The rows of ``docs``, with all columns, of which one per component stays: that of its least id.
 
-    Of rows that repeat a kept id one stays. The ids that go are found first; the rows meet them in one join.
+    Of rows that repeat an id and a set one stays; rows that repeat an id with another set follow that set.
+    The ids that go wholly are found first and the rows meet them in one join; only rows of repeated ids
+    are named by their sets again.
     """
     key = F.col(f"`{id_col}`").cast("bigint")
-    found = stored(near_duplicates(docs, id_col, text_col, size).filter("doc_id is not null"), "near-verdicts")
+    judged = _judged(id_and_text(docs, id_col, text_col), size).filter("doc_id is not null")
+    found = stored(judged.withColumn("kept", F.col("head") & (F.col("doc_id") == F.col("component_id"))).select("doc_id", "a", "b", "kept"), "near-verdicts")
     kept = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     name = "gone"
-    while name in {c.lower() for c in docs.columns}:
+    while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
     gone = kept.filter("not kept").select(F.col("doc_id").alias(name))
     repeated = kept.filter("kept and rows > 1").select(F.col("doc_id").alias(name))
     left = docs.join(gone, key == F.col(name), "left_anti")
     once = left.join(repeated, key == F.col(name), "left_anti")
-    again = left.join(repeated, key == F.col(name), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+    again = left.join(repeated, key == F.col(name), "left_semi")
+    if repeated.isEmpty():
+        return once
+
+    @F.pandas_udf("binary")
+    def set_name(text):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        words = Words()
+        sets = (words.shingles((t or "").encode(), size) for t in text)
+        return pd.Series([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else b"" for x in sets], dtype=object)
+
+    stay = map_arrow(found.filter("kept").join(repeated, F.col("doc_id") == F.col(name), "left_semi").select("doc_id", "a", "b").distinct(), _name,
+                     "doc_id bigint, name binary").select(F.col("doc_id").alias(f"{name}id"), F.col("name").alias(f"{name}set"))
+    again = again.withColumn(name, set_name(F.col(f"`{text_col}`").cast("string")))
+    again = again.join(stay, (key == F.col(f"{name}id")) & (F.col(name) == F.col(f"{name}set")), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, name]).drop(name))
+
+
+def _name(batch: pa.RecordBatch) -> dict[str, object]:
+    """A set's 128-bit name as bytes; the empty one for the set without shingles."""
+    both = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+    return {"doc_id": batch.column(0), "name": [b"" if a is None else b"".join(x.to_bytes(8, "little", signed=True) for x in (a, b)) for a, b in both]}

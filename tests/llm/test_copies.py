@@ -140,6 +140,19 @@ def test_keep_one_of_each(docs, rows, empty):
     assert near_dedup.keep_one_of_each(empty).count() == 0
 
 
+def test_repeated_ids_follow_their_own_sets(spark):
+    """An id that comes with a near copy, an unrelated text and no text at all."""
+    rng = random.Random(2)
+    one, other, third = ([f"{p}{rng.randrange(10**6)}" for _ in range(200)] for p in "xyz")
+    near = [*one[:-1], "end"]
+    data = [(3, " ".join(one)), (7, " ".join(near)), (7, " ".join(other)), (7, " ".join(other)), (3, " ".join(third)), (9, " ".join(third)), (7, None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    found = near_dedup.near_duplicates(docs, size=5).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == brute_near(data, 5)
+    kept = near_dedup.keep_one_of_each(docs).collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, " ".join(one)), (3, " ".join(third)), (7, " ".join(other)), (7, None)])
+
+
 def test_densified_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     for n in (3, 12, 150, 900):
