@@ -19,7 +19,8 @@ MIN_PAGES = 5  # a line must also stand on this many pages: a site of two pages
 
 
 def _key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+    # The constant comes first: after the line it would only hash a once more.
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

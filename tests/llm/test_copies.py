@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from reviewlake.llm import line_dedup, near_dedup, suffix_dedup
@@ -188,6 +189,17 @@ def test_line_dedup_of_documents(spark):
     assert line_dedup.dedup_documents(docs.limit(0)).count() == 0
 
 
+def test_both_hashes_of_a_line_read_the_line(spark):
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    (row,) = spark.createDataFrame([("menu",)], "line string").select(line_dedup._key(F.col("line")).alias("k")).collect()
+    one = (1).to_bytes(4, "little")
+    assert row.k.a == signed(xxhash.xxh64_intdigest(b"menu", 42))
+    assert row.k.b == signed(xxhash.xxh64_intdigest(b"menu", xxhash.xxh64_intdigest(one, 42)))
+    assert row.k.b != signed(xxhash.xxh64_intdigest(one, xxhash.xxh64_intdigest(b"menu", 42)))  # a function of the first
+
+
 def test_line_dedup_keeps_columns(docs, rows, empty):
     assert line_dedup.dedup_documents(docs).schema == docs.schema and line_dedup.dedup_documents(docs).count() == len(rows)
 
