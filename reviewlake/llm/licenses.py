@@ -9,6 +9,7 @@ No shuffle: one narrow pass over the texts.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -114,29 +115,44 @@ def chain_spans(pieces: list[tuple[int, int, int]], size: int, coverage: float)
     back is bounded. Spans do not overlap; each is (first word, last word, covered share).
     """
     pieces.sort()
-    best: list[tuple[int, int]] = []  # covered words, first piece of the chain
+    best: list[tuple[int, int]] = []  # covered words, first piece of the best chain
+    chains: list[list[tuple[int, int]]] = []  # the best one, then those that begin later: they reach further on
     low = 0
     for i, (start, position, length) in enumerate(pieces):
         while pieces[low][0] < start - 2 * size:
             low += 1
-        score = (length, i)
+        score, ways = (length, i), {i: length}
         for j in range(i - 1, low - 1, -1):
             other, there, piece = pieces[j]
-            if pieces[best[j][1]][0] < start - 2 * size or there >= position or other >= start:
+            if there >= position or other >= start:
                 continue
             overlap = max(0, other + piece - start, there + piece - position)
-            if length - overlap > 0 and best[j][0] + length - overlap > score[0]:
-                score = (best[j][0] + length - overlap, best[j][1])
+            if length - overlap <= 0:
+                continue
+            for covered, first in chains[j]:
+                if pieces[first][0] < start - 2 * size:
+                    continue
+                if covered + length - overlap > ways.get(first, 0):
+                    ways[first] = covered + length - overlap
+                if covered + length - overlap > score[0]:
+                    score = (covered + length - overlap, first)
         best.append(score)
-    spans: list[tuple[int, int, float]] = []
+        # A chain that begins no later and covers no more than another is never needed.
+        kept: list[tuple[int, int]] = []
+        for first in sorted(ways, reverse=True):
+            if first != score[1] and (not kept or ways[first] > max(c for c, _ in kept)):
+                kept.append((ways[first], first))
+        chains.append([score, *kept])
+    spans: list[tuple[int, int, float]] = []  # by place, disjoint
     for i in sorted(range(len(pieces)), key=lambda i: (-best[i][0], i)):
         covered, first = best[i]
         if covered < coverage * size:
             break
         a, b = pieces[first][0], pieces[i][0] + pieces[i][2] - 1
-        if all(b < x or y < a for x, y, _ in spans[-64:]):
-            spans.append((a, b, min(1.0, covered / size)))
-    return sorted(spans)
+        at = bisect_left(spans, (a,))
+        if (not at or spans[at - 1][1] < a) and (at == len(spans) or b < spans[at][0]):
+            spans.insert(at, (a, b, min(1.0, covered / size)))
+    return spans
 
 
 class Scanner:

@@ -142,3 +142,13 @@ def test_trees_are_monotone_and_flat_scoring_agrees():
                 node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
             total += trees.value[node]
         assert abs(total - margin) < 1e-9
+
+
+def test_spans_of_many_broken_copies_do_not_overlap():
+    pieces = [p for k in range(100) for p in ((k * 100, 0, 16), (k * 100 + 18, 16, 4))]
+    found = licenses.chain_spans(pieces, 20, 0.75)
+    assert found == [(k * 100, k * 100 + 21, 1.0) for k in range(100)]
+
+
+def test_a_stray_opening_piece_does_not_hide_a_chain():
+    assert licenses.chain_spans([(0, 0, 5), (25, 5, 8), (42, 13, 7)], 20, 0.75) == [(25, 48, 0.75)]
