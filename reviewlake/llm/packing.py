@@ -109,6 +109,13 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "ids array<int>")
 
 
+def id_width(tokenizer_name: str, end_id: int) -> str:
+    """Number type that holds every id of the tokenizer and the end id: two bytes, or four from 2^16 on."""
+    if not 0 <= end_id < 1 << 31:
+        raise ValueError("the end id must fit into a column of integers")
+    return "<u2" if max(end_id, *tokenizer(tokenizer_name).tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+
+
 def pack_documents(docs: DataFrame, tokenizer_name: str = "byte_bpe_50k.json", end_id: int = 1, length: int = LENGTH,
                    group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: the document, where the piece starts in it, its ids, its sequence and place there.
@@ -121,21 +128,22 @@ def pack_documents(docs: DataFrame, tokenizer_name: str = "byte_bpe_50k.json", e
     base = id_and_text(docs, id_col, text_col)
     groups = max(1, -(-base.count() // group))
     end = np.array([end_id], "<u4").tobytes()
+    width = id_width(tokenizer_name, end_id)
 
     def tokens(batch: pa.RecordBatch) -> dict[str, object]:
         coded = [x + end for x in tokenizer(tokenizer_name).encode(texts(batch.column(1)))]
-        # Ids below 2^16 travel as two bytes each; the group is drawn from the row, so equal ids spread as well.
+        # Ids travel in as few bytes as the vocabulary allows; the group is drawn from the row, so equal ids spread as well.
         seeds = [zlib.crc32(x, i) for i, x in enumerate(coded)]
         doc = batch.column(0).fill_null(-1).to_numpy().astype(np.uint64)
         mixed = (doc + np.array(seeds, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
         return {"part": (mixed % np.uint64(groups)).astype(np.int32), "doc_id": batch.column(0), "order": mixed.astype(np.int64),
-                "ids": [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in coded]}
+                "ids": [np.frombuffer(x, "<u4").astype(width).tobytes() for x in coded]}
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("order", "ascending")])
         part = table.column("part")[0].as_py()
         doc_ids = table.column("doc_id").to_pylist()
-        ids = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column("ids").combine_chunks()]
+        ids = [np.frombuffer(x.as_buffer(), width) for x in table.column("ids").combine_chunks()]
         rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
         kept: list[np.ndarray | None] = []
         for number, sequence in enumerate(pack([len(x) for x in ids], length)):

@@ -134,3 +134,12 @@ def test_packing(docs, empty, coded):
     joined = packing.sequences(packing.pack_documents(docs, group=16)).collect()
     assert len(joined) == len(sequences) and all(len(r.ids) == r.length for r in joined)
     assert packing.pack_documents(empty).count() == 0
+
+
+def test_packing_holds_ids_of_more_than_16_bits(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id bigint, text string")
+    rows = packing.pack_documents(docs, end_id=70_000, length=64).collect()
+    ends = [r.ids[-1] for r in rows if r.start + r.length == r.doc_tokens]
+    assert ends == [70_000] * 2
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+    assert packing.id_width("byte_bpe_50k.json", 1) == "<u2"
