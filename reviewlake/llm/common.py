@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 
 from reviewlake.sources.shipping import ship_package
 
+from . import tokens
+
 # Rows of one step inside a task: small enough that very long texts stay far below a worker's memory.
 STEP_ROWS = 512
 
@@ -40,6 +44,14 @@ def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """At a task's end: empty the shared tables and return free memory, since workers wait for the next task."""
+    tokens.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers."""
     ship_package(spark)
@@ -52,9 +64,12 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, object]]
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            columns = step(batch)
-            yield pa.record_batch([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in steps(batches):
+                columns = step(batch)
+                yield pa.record_batch([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -66,8 +81,11 @@ def map_partition(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Itera
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in fields])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in run(steps(batches)):
-            yield pa.record_batch([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for columns in run(steps(batches)):
+                yield pa.record_batch([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            give_back()
 
     return df.mapInArrow(go, schema)
 
@@ -77,8 +95,11 @@ def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) ->
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+        try:
+            for batch in steps(batches):
+                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+        finally:
+            give_back()
 
     return df.mapInArrow(run, df.schema)
 

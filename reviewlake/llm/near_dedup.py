@@ -33,7 +33,7 @@ PERCENT = 80
 ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
 _COUNTER_BITS = 20  # size of the frequency table of the late pairs
-_MOST_WORDS = 500_000  # words in a task's hash table before it starts anew
+_MOST_WORDS = 200_000  # words in a task's hash table before it starts anew
 
 _random = np.random.default_rng(20)
 # Place of bin b in the order in which bin j looks for a filled one: _ORDER[j, b].

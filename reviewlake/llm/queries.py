@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, decontaminate, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import alignment, chat_format, collocations, decontaminate, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 from .common import map_arrow, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Run] = {
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_collocations": op11_collocations,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.pages_sql(), "op11_collocations": collocations.sql()}

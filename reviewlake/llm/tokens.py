@@ -29,7 +29,7 @@ PIECES = {
     "byte_bpe_50k.json": re.compile(rf" ?{_LETTERS}| ?{_MARKS}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"),
 }
 _ONE_CUT = re.compile(rf" ?[{_LETTER}]+|[ ]?[{_MARK}]+")
-MOST_PIECES = 1_200_000  # pieces in the table before it starts anew: below 300 MB
+MOST_PIECES = 300_000  # pieces in the table before it starts anew: below 80 MB
 _LONGEST = 256  # longer pieces are encoded each time
 
 
@@ -43,12 +43,13 @@ def _byte_characters() -> dict[int, str]:
 class PieceTokenizer(dict):
     """piece -> ids as little-endian unsigned 32-bit integers; ``encode`` gives those of whole texts."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, special_as_text: bool = False):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.tokenizer.encode_special_tokens = special_as_text
         self.merge, self.split = self.tokenizer.model.tokenize, PIECES[name].findall
         self.lower, self.alphabet = name.startswith("word"), _byte_characters()
         self.table = str.maketrans(self.alphabet)
@@ -77,11 +78,74 @@ class PieceTokenizer(dict):
         return out
 
 
-_LOADED: dict[str, PieceTokenizer] = {}
+    def token_bytes(self) -> list[bytes]:
+        """The bytes each id stands for (byte-level vocabularies)."""
+        back = {c: b for b, c in self.alphabet.items()}
+        words = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
+        out = [b""] * (words[-1][0] + 1)
+        for i, token in words:
+            out[i] = bytes(back.get(c, ord(c)) if ord(c) < 256 or c in back else 63 for c in token)
+        return out
+
+
+_UNIT = re.compile(r" +[^ ]*")
+
+
+class PieceModel(dict):
+    """A sentencepiece model, unit by unit: unit -> ids as little-endian unsigned 32-bit integers.
+
+    No entry of these vocabularies goes on over a blank after another character, so a text's ids are the
+    joined ids of its units: blanks and what follows up to the next blank. The model puts a blank first.
+    """
+
+    def __init__(self, name: str):
+        super().__init__()
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+        blank = "\u2581"
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(blank in p.lstrip(blank) for p in pieces):
+            raise ValueError("an entry of the vocabulary crosses a blank")
+        self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(blank, " ").encode() for i, p in enumerate(pieces)]
+        self.blank = struct.pack("<I", self.model.piece_to_id(blank))
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.blank if unit == " " else np.array(self.model.encode(unit[1:], num_threads=1), "<u4").tobytes()
+        if len(unit) <= _LONGEST:
+            self[unit] = ids
+        return ids
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that already begin with the model's blank."""
+        if len(self) > MOST_PIECES:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, _UNIT.findall(data.decode("utf-8", "replace")))) for data in texts]
+
+    def token_bytes(self) -> list[bytes]:
+        return self.pieces
+
+
+_LOADED: dict[tuple[str, bool], PieceTokenizer] = {}
+_MODELS: dict[str, PieceModel] = {}
+
+
+def tokenizer(name: str, special_as_text: bool = False) -> PieceTokenizer:
+    """One tokenizer per worker process; its table is given back at the end of a task (:func:`forget`)."""
+    key = name, special_as_text
+    if key not in _LOADED:
+        _LOADED[key] = PieceTokenizer(*key)
+    return _LOADED[key]
+
+
+def piece_model(name: str) -> PieceModel:
+    if name not in _MODELS:
+        _MODELS[name] = PieceModel(name)
+    return _MODELS[name]
 
 
-def tokenizer(name: str) -> PieceTokenizer:
-    """One tokenizer per worker process; its table serves all the tasks that run there."""
-    if name not in _LOADED:
-        _LOADED[name] = PieceTokenizer(name)
-    return _LOADED[name]
+def forget() -> None:
+    """Empty the tables of pieces. Workers outlive their tasks; what a table holds must not add up over them."""
+    for table in (*_LOADED.values(), *_MODELS.values()):
+        table.clear()
