@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat_format, collocations, decontaminate, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import alignment, chat_format, collocations, decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 from .common import map_arrow, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Run] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_collocations": op11_collocations,
     "op12_token_alignment": op12_token_alignment,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.pages_sql(), "op11_collocations": collocations.sql()}
