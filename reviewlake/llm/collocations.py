@@ -27,7 +27,7 @@ LONGEST = 4  # words of a candidate
 TOP = 2000  # phrases reported per language
 COVERED = 80  # per cent of its occurrences inside one longer phrase that make a phrase redundant
 CAPACITY = 1 << 19  # counters of one hash partition's summary
-CHUNK_BYTES = 8 << 20  # text counted at a time in a task
+CHUNK_BYTES = 2 << 20  # text counted at a time in a task: its words and hashes take some 60 MB
 MOST_BITS = 30  # the bit field of survivors never passes 2^30 bits (128 MB)
 
 _END = 0xFF  # no byte of UTF-8
