@@ -132,6 +132,27 @@ def added_numbers(patch: Column) -> Column:
     return let(parsed_patch(patch), lambda p: F.flatten(F.transform(p["hunks"], of_hunk)))
 
 
+def added_runs(patch: Column) -> Column:
+    """The same lines as sorted runs ``(first, last)`` of neighbours: a hunk of added lines is one entry,
+    however long, and runs of adjoining hunks are one. Null for an unsound or absent patch."""
+    def runs(numbers: Column) -> Column:
+        begins = F.filter(numbers, lambda n, i: F.coalesce(F.get(numbers, i - 1) != n - 1, F.lit(True)))
+        ends = F.filter(numbers, lambda n, i: F.coalesce(F.get(numbers, i + 1) != n + 1, F.lit(True)))
+        return F.zip_with(begins, ends, lambda first, last: F.struct(first.alias("first"), last.alias("last")))
+    return let(added_numbers(patch), runs)
+
+
+def in_runs(runs: Column, line: Column) -> Column:
+    """Is the line in one of the runs? Binary search for the last run that does not begin after it.
+
+    The place grows by falling powers of two while the run there begins early enough, so a line costs as
+    many steps as the number of runs has bits. Null where there are no runs to look into.
+    """
+    powers = F.transform(F.sequence(F.ceil(F.log2(F.size(runs) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    place = F.aggregate(powers, F.lit(-1), lambda at, step: F.when(F.get(runs, at + step)["first"] <= line, at + step).otherwise(at))
+    return F.when(runs.isNotNull(), F.coalesce(let(place, lambda at: F.get(runs, at)["last"] >= line), F.lit(False)))
+
+
 def patch_lines(files: DataFrame, patch: str = "patch", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One row per patch line: keys, 0-based ``pos``, ``text``."""
     return files.select(*keys, F.posexplode(split_lines(F.col(patch))).alias("pos", "text"))

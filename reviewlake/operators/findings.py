@@ -13,7 +13,8 @@ from ..functions.binding import let, pin
 from ..functions.text import count_lines, escaped_length
 from ..limits import DEFAULT_LIMITS, Limits
 from ..schemas import FINDING_COLUMNS, SEVERITIES, SOURCES, TEXT_CAPS
-from .diff import added_numbers, parsed_patch
+from ..sources.folders import stored
+from .diff import added_runs, in_runs, parsed_patch
 from .scope import walk_budget
 from .skew import lookup_join
 
@@ -182,29 +183,27 @@ def explode_items(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- locations ------------------------------------------------------------------------
 
 def reviewed_files(files: DataFrame, review: str = "review_id") -> DataFrame:
-    """Per file: ``file_path``, ``line_count``, ``added`` (sorted added line numbers).
+    """Per file: ``file_path``, ``line_count``, ``added`` (sorted runs of added lines).
 
-    One row per file instead of one per line keeps the patch text out of the join and the
-    set of lines inside the row. ``files`` needs ``line_count`` or ``text``.
+    A row per file with a few runs keeps both the patch text and the single lines out of the join.
+    ``files`` needs ``line_count`` or ``text``.
     """
     count = F.col("line_count") if "line_count" in files.columns else count_lines(F.col("text"), "bytes")
     return files.select(review, F.col("filename").alias("file_path"), count.cast("int").alias("line_count"),
-                        added_numbers(F.col("patch")).alias("added"))
+                        added_runs(F.col("patch")).alias("added"))
 
 
 def validate_findings(findings: DataFrame, files: DataFrame, review: str = "review_id") -> DataFrame:
     """Add ``reason`` (null = accepted): the first failing check of each finding.
 
-    ``files`` comes from :func:`reviewed_files`. Siblings of a bad row survive.
+    ``files`` comes from :func:`reviewed_files`. Siblings of a bad row survive. One join brings a file's
+    line count and runs to its findings; a line is looked up in the runs there.
     """
-    known = lookup_join(findings, files.select(review, "file_path", "line_count"), [review, "file_path"])
-    # Places meet as rows: a file with many added lines costs one row per line, not a scan per finding.
-    places = files.select(review, "file_path", F.explode("added").alias("line_number"), F.lit(True).alias("_added"))
-    joined = lookup_join(known, places, [review, "file_path", "line_number"])
+    joined = lookup_join(findings, files.select(review, "file_path", "line_count", "added"), [review, "file_path"])
     reason = (F.when(~row_ok(), "invalid_schema").when(F.col("line_count").isNull(), "unknown_file")
               .when(F.col("line_number") > F.col("line_count"), "invalid_line_number")
-              .when(F.col("_added").isNull(), "outside_reviewed_changes"))
-    return joined.withColumn("reason", reason).drop("line_count", "_added").select(*findings.columns, "reason")
+              .when(~F.coalesce(in_runs(F.col("added"), F.col("line_number")), F.lit(False)), "outside_reviewed_changes"))
+    return joined.withColumn("reason", reason).select(*findings.columns, "reason")
 
 
 def accepted(validated: DataFrame) -> DataFrame:
@@ -232,7 +231,7 @@ def validate_model_responses(responses: DataFrame, files: DataFrame, keys: Seque
     off = F.exists(members, lambda item: ~F.coalesce(
         (V.text(item, "$.source") == "ai") & (V.text(item, "$.file_path") == path)
         & (V.whole(item, "$.line_number") <= F.col("line_count"))
-        & F.array_contains("added", V.whole(item, "$.line_number")), F.lit(False)))
+        & in_runs(F.col("added"), V.whole(item, "$.line_number")), F.lit(False)))
     error = (F.when(F.col("envelope_error") == "ai_incomplete_response", F.col("envelope_error"))
              .when(F.col("envelope_error").isNotNull() | bad_schema, "ai_invalid_response")
              .when(off, "ai_invalid_location"))
@@ -275,7 +274,7 @@ def admit_model_inputs(files: DataFrame, limits: Limits = DEFAULT_LIMITS, review
     """
     reason = (F.when(~F.col("filename").endswith(".py"), "ai_unsupported_file")
               .when(F.col("patch_chars") > limits.ai_max_diff_chars, "ai_diff_limit"))
-    judged = files.select(review, "filename", "cost", "attempts", reason.alias("reason"))
+    judged = stored(files.select(review, "filename", "cost", "attempts", reason.alias("reason")), "judged")
     walked = walk_budget(judged.filter(F.col("reason").isNull()), review, "filename", "cost",
                          F.col("cost") * F.col("attempts"), 1 + limits.ai_max_retries, limits.ai_max_files,
                          limits.ai_max_total_input_chars, ("ai_file_limit", "ai_total_input_limit"))

@@ -58,19 +58,26 @@ def parse_body(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def extract_target(df: DataFrame) -> DataFrame:
-    """Add the target fields and ``target_ok``; a strict integer is neither true nor "7"."""
-    payload = F.col("payload")
+    """Add the target fields and ``target_ok``; a strict integer is neither true nor "7".
+
+    Each object is opened once, outside in; its members are then looked at where they are.
+    """
+    held = pin(df, _payload=V.members(F.col("payload")))
+    opened = pin(held, _repository=V.members(F.col("_payload")["repository"]), _pull=V.members(F.col("_payload")["pull_request"]),
+                 _installation=V.members(F.col("_payload")["installation"]))
+    inner = pin(opened, _head=V.members(F.col("_pull")["head"]), _base=V.members(F.col("_pull")["base"]))
+    base = F.col("_base")["sha"]
     fields = pin(
-        df,
-        action=V.text(payload, "$.action"),
-        repository_id=V.whole(payload, "$.repository.id"),
-        repository_name=V.text(payload, "$.repository.full_name"),
-        pull_request_number=V.whole(payload, "$.pull_request.number"),
-        head_sha=V.text(payload, "$.pull_request.head.sha"),
-        base_sha=V.text(payload, "$.pull_request.base.sha"),
-        installation_id=V.whole(payload, "$.installation.id"),
-        no_base=V.is_absent(V.at(payload, "$.pull_request.base.sha")),
-    )
+        inner,
+        action=V.as_text(F.col("_payload")["action"]),
+        repository_id=V.as_whole(F.col("_repository")["id"]),
+        repository_name=V.as_text(F.col("_repository")["full_name"]),
+        pull_request_number=V.as_whole(F.col("_pull")["number"]),
+        head_sha=V.as_text(F.col("_head")["sha"]),
+        base_sha=V.as_text(base),
+        installation_id=V.as_whole(F.col("_installation")["id"]),
+        no_base=V.is_absent(base),
+    ).drop("_payload", "_repository", "_pull", "_installation", "_head", "_base")
     base_ok = F.col("no_base") | F.coalesce(F.col("base_sha").rlike(COMMIT), F.lit(False))
     return fields.withColumn("target_ok", target_ok() & base_ok).drop("no_base")
 

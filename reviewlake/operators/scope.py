@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.text import file_name, parent_parts, suffix
 from ..limits import DEFAULT_LIMITS, Limits
+from ..sources.folders import stored
 
 # Path and content rules of the exclusion reasons.
 IGNORED_DIRECTORIES = (
@@ -59,10 +60,15 @@ def walk_budget(items: DataFrame, review: str, name: str, size: str, used: Colum
 
     An item fits while fewer than ``max_items`` are taken and ``size * factor`` is within what is left
     of ``max_total``; it then uses up ``used``. A smaller item may fit after one that did not, so this is
-    no running sum. Of a review's items of one size only the first ``max_items`` can ever be taken, since
-    a later one meets no smaller total. Only those are folded: at most ``max_items`` per size, with
-    sizes up to ``max_total``, however many items a review has. Every other item gets its reason from the
-    at most ``max_items`` taken ones.
+    no running sum.
+
+    First phase, candidates: when an item is taken, every earlier one that is no larger met a smaller
+    total and was taken too. So an item with ``max_items`` earlier items that are no larger is out,
+    whatever else the review holds. The least ``max_items`` names of each size pass, and of these the
+    ones that come before the ``max_items``-th name among all smaller sizes, which are told apart by
+    their number of bits. Second phase: one fold over a review's candidates decides. One join hands the
+    at most ``max_items`` taken items to all items, which get their reasons from them. ``items`` is read
+    three times, so callers hand over a narrow table.
     """
     order = ("_name", "_size", "_used")
     rows = items.withColumns({"_name": F.col(name), "_size": F.col(size).cast("bigint"), "_used": used.cast("bigint")})
@@ -70,7 +76,8 @@ def walk_budget(items: DataFrame, review: str, name: str, size: str, used: Colum
     first = F.row_number().over(Window.partitionBy(review, "_size").orderBy(*order))
     able = (distinct.filter(F.col("_size") * factor <= max_total).withColumn("_nth", first)
             .filter(F.col("_nth") <= max_items))
-    lists = able.groupBy(review).agg(F.array_sort(F.collect_list(F.struct(*order, "_copies"))).alias("_items"))
+    lists = (_thinned(able, review, max_items).groupBy(review)
+             .agg(F.array_sort(F.collect_list(F.struct(*order, "_copies"))).alias("_items")))
     none = F.array().cast("array<struct<_name: string, _size: bigint, _used: bigint, taken: bigint>>")
     start = F.struct(F.lit(0).cast("bigint").alias("count"), F.lit(0).cast("bigint").alias("total"), none.alias("taken"))
 
@@ -98,12 +105,34 @@ def walk_budget(items: DataFrame, review: str, name: str, size: str, used: Colum
         F.when(F.col("_copy") > F.col("_kept"), F.col("_refusal")).alias("reason"))
 
 
+def _thinned(able: DataFrame, review: str, max_items: int) -> DataFrame:
+    """Items without ``max_items`` earlier ones in the classes of smaller sizes (sizes of fewer bits).
+
+    A review has at most 64 classes with ``max_items`` names each, so what is handed back is bounded.
+    """
+    bits = F.length(F.bin(F.greatest("_size", F.lit(0))))
+    classed = able.withColumn("_bits", bits)
+    least = F.row_number().over(Window.partitionBy(review, "_bits").orderBy("_name", "_size", "_used"))
+    ladder = (classed.withColumn("_rank", least).filter(F.col("_rank") <= max_items).groupBy(review)
+              .agg(F.array_sort(F.collect_list(F.struct("_name", "_bits"))).alias("_ladder")))
+
+    def limit(ladder: Column, n: Column) -> Column:
+        smaller = F.filter(ladder, lambda e: e["_bits"] < n)
+        return F.struct(n.alias("bits"), F.get(smaller, F.lit(max_items - 1))["_name"].alias("last"))
+
+    classes = F.array_distinct(F.transform("_ladder", lambda e: e["_bits"]))
+    limits = ladder.select(review, F.map_from_entries(F.transform(classes, lambda n: limit(F.col("_ladder"), n))).alias("_limits"))
+    joined = classed.join(limits, review)
+    return joined.filter(F.coalesce(F.col("_name") <= F.col("_limits")[F.col("_bits")], F.lit(True))).drop("_bits", "_limits")
+
+
 def apply_scope_budget(df: DataFrame, limits: Limits = DEFAULT_LIMITS, review: str = "review_id") -> DataFrame:
     """Final ``reason`` per file of :func:`scope_reason` output, without the patch text.
 
     Files with a reason keep it and take no part in the budgets; see :func:`walk_budget` for the others.
     """
-    files = df.select(review, "filename", "reason", "patch_chars")
+    # The rules run over whole patches, so their results are kept: names, reasons and sizes.
+    files = stored(df.select(review, "filename", "reason", "patch_chars"), "scope")
     walked = walk_budget(files.filter(F.col("reason").isNull()), review, "filename", "patch_chars", F.col("patch_chars"), 1,
                          limits.max_files, limits.max_total_patch_chars, ("max_files", "max_total_patch_chars"))
     decided = walked.select(review, "filename", "reason", F.col("patch_chars").cast("int").alias("patch_chars"))

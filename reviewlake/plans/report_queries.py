@@ -138,10 +138,11 @@ _BLOCKED = """SELECT DISTINCT p.review_id FROM printed p LEFT JOIN added a ON CA
     AND a.line = p.start_line WHERE a.line IS NULL"""
 
 
-def to_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+def to_publish(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """What is to be published, as a table of the columns the caller reads more than once."""
     rows = validated(spark, sf_dir).filter("reason IS NULL OR reason = 'outside_reviewed_changes'")
     units = rows.withColumn("review_id", F.concat(F.col("review_id").cast("string"), F.lit("/"), "file_path"))
-    return stored(G.annotations(R.merge_findings(units.drop("reason"))), "annotations")
+    return stored(G.annotations(R.merge_findings(units.drop("reason"))).select(*columns), "annotations")
 
 
 def added_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +151,7 @@ def added_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def located_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(G.annotations(merged_located(spark, sf_dir)), "annotations")
+    return G.annotations(merged_located(spark, sf_dir))
 
 
 _LOC_PRINTED = {**_LOC, "annotated": _ANNOTATED, "printed": _PRINTED}
@@ -165,19 +166,21 @@ def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("publish_block_invalid", "OP-G3", sql=oracle(
     "SELECT review_id, fingerprint FROM printed WHERE review_id NOT IN (SELECT review_id FROM blocked)", **_PUB, blocked=_BLOCKED))
 def _block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.block_invalid(to_publish(spark, sf_dir), added_by_unit(spark, sf_dir)).select("review_id", "fingerprint")
+    rows = to_publish(spark, sf_dir, "review_id", "path", "start_line", "schema_ok", "fingerprint")
+    return G.block_invalid(rows, added_by_unit(spark, sf_dir)).select("review_id", "fingerprint")
 
 
 @query("publish_blocked_reviews", "OP-G3", sql=oracle("SELECT review_id FROM blocked", **_PUB, blocked=_BLOCKED))
 def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.blocked_reviews(to_publish(spark, sf_dir), added_by_unit(spark, sf_dir))
+    return G.blocked_reviews(to_publish(spark, sf_dir, "review_id", "path", "start_line", "schema_ok"), added_by_unit(spark, sf_dir))
 
 
 @query("publish_pending", "OP-G4", sql=oracle(
     """SELECT review_id, path, start_line, category, fingerprint FROM printed p WHERE NOT EXISTS (
          SELECT 1 FROM printed q WHERE q.review_id = p.review_id AND q.fingerprint = p.fingerprint AND q.annotation_level = 'notice')""", **_LOC_PRINTED))
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = located_annotations(spark, sf_dir)
+    keys = ("review_id", "path", "start_line", "category", "fingerprint", "annotation_level")
+    rows = stored(located_annotations(spark, sf_dir).select(*keys), "annotations")
     # The notices went out before the connection broke.
     published = rows.filter("annotation_level = 'notice'")
     return G.pending_annotations(rows, published).select("review_id", "path", "start_line", "category", "fingerprint")
@@ -188,7 +191,9 @@ def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY path, start_line, category, fingerprint) AS rn FROM printed)""",
     **_LOC_PRINTED))
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.batch(located_annotations(spark, sf_dir)).select("review_id", "path", "start_line", "category", "batch", "position")
+    # Keys are numbered; the messages wait where they are.
+    keys = stored(located_annotations(spark, sf_dir).select("review_id", "path", "start_line", "category", "fingerprint"), "annotation-keys")
+    return G.batch(keys).select("review_id", "path", "start_line", "category", "batch", "position")
 
 
 _STATES = """SELECT j.id AS review_id, j.status, coalesce(t.total, 0) AS total_findings, coalesce(t.high, 0) AS high, coalesce(t.medium, 0) AS medium,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions.text import count_lines, escaped_length, split_lines
 from reviewlake.operators import diff as D
 from reviewlake.operators import evaluate as K
+from reviewlake.operators import scope as C
 from reviewlake.operators import stats as L
 from reviewlake.operators.skew import lookup_join, next_within, number_within
 
@@ -75,6 +76,59 @@ def test_diff_round_trip(spark):
                              if not line.startswith("@@") and not line.startswith("\\"))
 
 
+def test_runs_are_the_added_lines(spark):
+    rng = random.Random(12)
+    cases = [edit(rng) for _ in range(300)]
+    cases.append(("@@ -0,0 +1,900 @@\n" + "\n".join(["+x"] * 900), {"added": set(range(1, 901))}))
+    cases.append(("\n".join(f"@@ -{2 * i + 1},1 +{2 * i + 1},2 @@\n+x\n y" for i in range(300)), {"added": {2 * i + 1 for i in range(300)}}))
+    cases.append(("@@ -1,0 +1,2 @@\n+a\n+b\n@@ -1,0 +3,1 @@\n+c", {"added": {1, 2, 3}}))
+    frame = spark.createDataFrame([(i, patch) for i, (patch, _) in enumerate(cases)] + [(-1, None), (-2, "broken")], "i int, patch string")
+    runs = frame.select("i", D.added_runs(F.col("patch")).alias("runs"))
+    for row in runs.collect():
+        if row.i < 0:
+            assert row.runs is None
+            continue
+        lines = [n for first, last in row.runs for n in range(first, last + 1)]
+        assert lines == sorted(cases[row.i][1]["added"])
+        assert all(a.last + 1 < b.first for a, b in zip(row.runs, row.runs[1:]))  # as long as they can be
+    tested = runs.select("i", F.explode(F.sequence(F.lit(-1), F.lit(905))).alias("line"), "runs").select(
+        "i", "line", D.in_runs(F.col("runs"), F.col("line")).alias("hit"))
+    for row in tested.collect():
+        assert row.hit == (None if row.i < 0 else row.line in cases[row.i][1]["added"])
+
+
+def walked(items, most, total, factor):
+    """The walk as the rules say it: by name, taking what fits."""
+    taken, left, out = 0, total, []
+    for name, size, used in sorted(items):
+        reason = "count" if taken >= most else "total" if size * factor > left else None
+        out.append((name, size, reason))
+        if reason is None:
+            taken, left = taken + 1, left - used
+    return Counter(out)
+
+
+def test_two_phase_walk(spark):
+    rng = random.Random(7)
+    reviews = {i: [(f"f{rng.randint(0, 40):02}", rng.choice([0, 1, 2, 5, 9, 30, 60, 100, 300]), 0) for _ in range(rng.randint(1, 60))] for i in range(150)}
+    reviews[500] = [(f"n{i:05}", 4000 - i, 0) for i in range(4000)]  # every file smaller than all before
+    reviews[501] = [(f"n{i:05}", rng.randint(0, 90), 0) for i in range(4000)]
+    for factor, share in ((1, 1.0), (2, 1.0), (2, 0.5)):
+        rows = [(r, n, s, int(s * factor * share)) for r, items in reviews.items() for n, s, _ in items]
+        frame = spark.createDataFrame(rows, "review_id int, filename string, size int, used int")
+        got = {}
+        decided = C.walk_budget(frame, "review_id", "filename", "size", F.col("used"), factor, 5, 200, ("count", "total"))
+        for r in decided.collect():
+            got.setdefault(r.review_id, Counter())[r.filename, r.size, r.reason] += 1
+        assert got == {r: walked([(n, s, int(s * factor * share)) for n, s, _ in items], 5, 200, factor) for r, items in reviews.items()}
+
+
+def test_few_candidates_are_gathered(spark):
+    rng = random.Random(8)
+    able = spark.createDataFrame([(1, f"n{i:06}", rng.randint(1, 50_000), 0) for i in range(50_000)], "review_id int, _name string, _size long, _used long")
+    assert C._thinned(able, "review_id", 20).count() < 5000
+
+
 def test_match_counts_against_counters(spark):
     rng = random.Random(4)
     draw = lambda n: [(f"c{rng.randint(0, 3)}", "f", rng.randint(1, 4), rng.choice("ab")) for _ in range(n)]

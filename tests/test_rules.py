@@ -34,7 +34,8 @@ def findings(spark, *changes):
 
 def lookup(spark):
     """One file of eight lines; the odd ones are added."""
-    return spark.createDataFrame([(1, "pkg/core.py", 8, [1, 3, 5, 7])], "review_id long, file_path string, line_count int, added array<long>")
+    return spark.createDataFrame([(1, "pkg/core.py", 8, [(1, 1), (3, 3), (5, 5), (7, 7)])],
+                                 "review_id long, file_path string, line_count int, added array<struct<first: long, last: long>>")
 
 
 # --- deliveries ---------------------------------------------------------------------------
