@@ -17,9 +17,11 @@ UTF8_NAMES = ("utf-8", "utf8", "utf_8", "u8", "utf-8-sig")
 BOM = "\ufeff"
 
 
-def read_deliveries(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet") -> DataFrame:
-    """Landed raw deliveries: body bytes plus headers."""
+def read_deliveries(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Landed raw deliveries: body bytes plus headers. ``files_per_batch`` bounds a stream's micro-batches."""
     reader = spark.readStream if streaming else spark.read
+    if streaming and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.schema(DELIVERY).format(fmt).load(path)
 
 

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions.policy import safe_error
+from .manifest import BucketTable
 
 # Buckets of a new findings table; a review is always in the same one. The number is stored with the table.
 BUCKETS = 256
 
 
-def bucket_of(review: str = "review_id", buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(review), F.lit(buckets)).cast("int")
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None when there is none yet; any other failure is raised."""
     try:
@@ -28,39 +25,30 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame | None:
+def read_findings(spark: SparkSession, path: str, review: str = "review_id") -> DataFrame | None:
     """The rows of a table that :func:`write_findings` wrote, or None when there is none yet."""
-    table = read_table(spark, path)
-    return None if table is None else table.filter(F.col("stamp").isNull()).drop("stamp", "bucket")
+    return BucketTable(spark, path, [review]).read()
 
 
 def write_findings(findings: DataFrame, reviews: DataFrame, path: str, review: str = "review_id",
                    buckets: int = BUCKETS) -> None:
-    """Replace all findings of ``reviews`` (also with none) in a table partitioned by review bucket.
+    """Replace all findings of ``reviews`` (also with none) in a table bucketed by review.
 
-    Only touched buckets are read, by a literal partition filter, and rewritten: what belongs to other
-    reviews is kept, the rest replaced. Each touched bucket also gets one stamp row with the table's
-    bucket count, so that a bucket left without findings is overwritten too, and a writer with another
-    count is refused. New files are staged and each bucket is swapped in when the job commits; a
-    repeated run writes the same rows again. Spark sizes the files and splits a large bucket.
+    Findings of a review that ``reviews`` does not name are not written: they would stand beside that
+    review's own ones, or for them. Only touched buckets are read and written again, into new folders;
+    the manifest swaps them in together. So a reader sees all of a call or nothing of it, a call that died
+    is repeated as it was, and a repeated call writes the same rows again.
     """
-    spark = findings.sparkSession
-    touched = reviews.select(review).distinct().withColumn("bucket", bucket_of(review, buckets))
-    ids = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    if not ids:
+    table = BucketTable(findings.sparkSession, path, [review], buckets)
+    named = reviews.select(review).distinct()
+    touched = table.touched(named)
+    if not touched:
         return
-    fresh = findings.withColumn("stamp", F.lit(None).cast("int")).withColumn("bucket", bucket_of(review, buckets))
-    current = read_table(spark, path)
+    fresh = findings.join(named, review, "left_semi").select(*findings.columns)
+    current = table.read(touched)
     if current is not None:
-        counts = {r["stamp"] for r in current.filter(F.col("stamp").isNotNull()).select("stamp").distinct().collect()}
-        if counts != {buckets}:
-            raise ValueError(f"the table has {sorted(counts)} buckets, not {buckets}")
-        kept = (current.filter(F.col("bucket").isin(*ids) & F.col("stamp").isNull())
-                .join(touched.select(review), review, "left_anti"))
-        fresh = fresh.unionByName(kept, allowMissingColumns=True)
-    stamps = touched.select("bucket").distinct().withColumn("stamp", F.lit(buckets))
-    rows = fresh.unionByName(stamps, allowMissingColumns=True).hint("rebalance", "bucket")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        fresh = fresh.unionByName(current.join(named, review, "left_anti"), allowMissingColumns=True)
+    table.commit(table.write(fresh, "findings"), touched, fresh.schema)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -19,14 +19,20 @@ OVERDUE = T.StructType([
     T.StructField("started_at", T.TimestampType()),
     T.StructField("overdue_at", T.TimestampType()),
 ])
+_SLICE = T.StructType([T.StructField("slice", T.LongType())])
+# The records of one slice, three numbers each: time, order, is a start.
+_RECORDS = T.StructType([T.StructField("records", T.ArrayType(T.LongType()))])
+_MARK = T.StructType([T.StructField("settled", T.LongType())])
 
 
 class OverdueProcessor(StatefulProcessor):
-    """Records of a job wait in a list until no earlier one can arrive; starts have a timer.
+    """Records of a job wait in a map keyed by time slice, as long as an earlier record may still arrive.
 
-    When the watermark passes a start plus the limit, everything up to that moment is known, so
-    the answer does not depend on how rows were cut into micro-batches. The list holds the
-    records of one limit plus the watermark delay.
+    A slice is as long as the limit, so what follows a start within the limit lies in its own slice or
+    the next. When the watermark passes a start plus the limit, both are known: slices are settled from
+    the oldest on, two at a time, and given up once all their starts are. Nothing ever looks at more
+    than the records of two slices, and the map holds those of the watermark's delay and one limit. The
+    answer does not depend on how rows were cut into micro-batches.
     """
 
     def __init__(self, limit_seconds: int) -> None:
@@ -34,9 +40,8 @@ class OverdueProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.records = handle.getListState("records", T.StructType([
-            T.StructField("micros", T.LongType()), T.StructField("seq", T.LongType()),
-            T.StructField("started", T.BooleanType())]))
+        self.slices = handle.getMapState("slices", _SLICE, _RECORDS)
+        self.mark = handle.getValueState("mark", _MARK)
 
     def _timer(self, micros: int) -> int:
         return -(-(micros + self.limit) // 1000)
@@ -44,29 +49,40 @@ class OverdueProcessor(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         for frame in rows:
             micros = frame["ts"].astype("datetime64[us]").astype("int64")
-            self.records.appendList(list(zip(micros.tolist(), frame["seq"].tolist(), frame["started"].tolist())))
+            for number, part in frame.assign(micros=micros).groupby(micros // self.limit):
+                new = [x for m, s, b in zip(part["micros"], part["seq"], part["started"]) for x in (int(m), int(s), int(b))]
+                self.slices.updateValue((int(number),), (self._held(int(number)) + new,))
             for start in micros[frame["started"]].unique().tolist():
                 self.handle.registerTimer(self._timer(start))
         return iter(())
 
+    def _held(self, number: int) -> list[int]:
+        return list(self.slices.getValue((number,))[0]) if self.slices.containsKey((number,)) else []
+
+    def _records(self, number: int) -> list[tuple[int, int, int]]:
+        held = self._held(number)
+        return sorted(zip(held[::3], held[1::3], held[2::3]))
+
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         # The first of several passed timers settles all that are due; the others find nothing left.
         known = timerValues.getCurrentWatermarkInMs()
-        records = sorted(self.records.get()) if self.records.exists() else []
-        late, settled = [], 0
-        for at, (micros, _, started) in enumerate(records):
-            if not started:
-                continue
-            if self._timer(micros) > known:
+        before = self.mark.get()[0] if self.mark.exists() else None
+        if before is not None and before >= known:
+            return
+        self.mark.update((known,))
+        late = []
+        for number in sorted(k[0] for k in self.slices.keys()):
+            if self._timer(number * self.limit) > known:
                 break
-            settled = at + 1
-            if settled == len(records) or records[settled][0] > micros + self.limit:
-                late.append(micros)
-        if settled:
-            if settled < len(records):
-                self.records.put(records[settled:])
-            else:
-                self.records.clear()
+            own = self._records(number)
+            both = own + self._records(number + 1)
+            for at, (micros, _, started) in enumerate(own):
+                if not started or self._timer(micros) > known or before is not None and self._timer(micros) <= before:
+                    continue
+                if at + 1 == len(both) or both[at + 1][0] > micros + self.limit:
+                    late.append(micros)
+            if self._timer((number + 1) * self.limit - 1) <= known:
+                self.slices.removeKey((number,))
         if late:
             yield pd.DataFrame({
                 "review_id": int(key[0]), "started_at": pd.to_datetime(late, unit="us"),

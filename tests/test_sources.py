@@ -12,6 +12,7 @@ from reviewlake.operators import findings as E
 from reviewlake.schemas import DELIVERY
 from reviewlake.sources import readers, writers
 from reviewlake.sources.folders import shared_folder
+from reviewlake.sources.manifest import Files
 
 
 def test_deliveries_are_read_with_the_given_schema(spark, tmp_path):
@@ -85,6 +86,31 @@ def test_findings_are_replaced_per_review(spark, tmp_path):
         assert table() == [(1, "x"), (2, "c")]
 
 
+def test_findings_of_a_review_nobody_named_are_not_written(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    rows = lambda *pairs: spark.createDataFrame(pairs, "review_id long, title string")
+    first = rows((1, "a"), (2, "b"), (3, "c"), (4, "d"))
+    writers.write_findings(first, first, path, buckets=2)
+    writers.write_findings(rows((1, "new"), (2, "stray"), (9, "stray")), rows((1, "")), path, buckets=2)
+    assert sorted((r.review_id, r.title) for r in writers.read_findings(spark, path).collect()) == [(1, "new"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_a_reader_sees_a_swap_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "findings")
+    rows = lambda *pairs: spark.createDataFrame(pairs, "review_id long, title string")
+    first = rows(*[(i, "old") for i in range(20)])
+    writers.write_findings(first, first, path, buckets=4)
+    planned = writers.read_findings(spark, path)
+    with monkeypatch.context() as broken:
+        broken.setattr(Files, "publish", lambda *a: False)
+        with pytest.raises(RuntimeError):
+            writers.write_findings(rows(*[(i, "new") for i in range(20)]), first, path, buckets=4)
+    assert {r.title for r in writers.read_findings(spark, path).collect()} == {"old"}
+    writers.write_findings(rows(*[(i, "new") for i in range(20)]), first, path, buckets=4)
+    assert {r.title for r in planned.collect()} == {"old"}  # planned before the swap: its folders are still there
+    assert {r.title for r in writers.read_findings(spark, path).collect()} == {"new"}
+
+
 def test_emptied_buckets_lose_their_rows(spark, tmp_path):
     path = str(tmp_path / "findings")
     rows = lambda *pairs: spark.createDataFrame(pairs, "review_id long, title string")

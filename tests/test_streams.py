@@ -1,7 +1,12 @@
 """Streams cut into several micro-batches, and repeated ones."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.sources.manifest import MOST_FOLDERS, BucketTable
 from reviewlake.streaming import streams as M
 
 COMMIT = "repository_name string, pull_request_number long, head_sha string, received_at timestamp, seq long"
@@ -26,7 +31,7 @@ def test_repeated_batches_add_no_jobs(spark, tmp_path):
     second = jobs_input(commits(spark, (1, "a", 70), (1, "c", 71)))
     for batch, number in ((first, 0), (first, 0), (second, 1), (second, 1), (first, 2)):
         write(batch, number)
-    rows = spark.read.parquet(path).collect()
+    rows = M.state_table(spark, path, "review_id").read().collect()
     assert sorted((r.pull_request_number, r.head_sha, r.created_by) for r in rows) == [(1, "a", "d0"), (1, "c", "d71"), (2, "b", "d60")]
 
 
@@ -37,8 +42,8 @@ def test_a_repeat_of_an_old_delivery_makes_no_job(spark, tmp_path):
     late = jobs_input(commits(spark, (3, "c", 900))).withColumn("delivery_id", F.lit("d"))
     for batch, number in ((first, 0), (first, 0), (late, 1), (late, 1)):
         write(batch, number)
-    assert [(r.pull_request_number, r.head_sha) for r in spark.read.parquet(jobs).collect()] == [(1, "a")]
-    assert spark.read.parquet(deliveries).count() == 1
+    assert [(r.pull_request_number, r.head_sha) for r in M.state_table(spark, jobs, "review_id").read().collect()] == [(1, "a")]
+    assert M.state_table(spark, deliveries, "delivery_id").read().count() == 1
 
 
 def test_heads_over_batches_and_a_repeated_one(spark, tmp_path):
@@ -89,3 +94,75 @@ def test_minutes_equal_the_batch_form(spark, tmp_path):
     want = {r.minute: (r.jobs, r.completed) for r in M.per_minute(rows).collect()}
     last = max(want)
     assert got == {minute: value for minute, value in want.items() if minute != last}
+
+
+def test_sketches_of_minutes_merge_within_their_bound(spark):
+    rng = random.Random(5)
+    values = [rng.lognormvariate(0, 3) for _ in range(60_000)]
+    rows = spark.createDataFrame([(i % 600, v) for i, v in enumerate(values)], "at long, wait_seconds double").select(
+        F.timestamp_seconds("at").alias("ts"), F.lit("completed").alias("status"), "wait_seconds")
+    minutes = M.per_minute(rows)
+    for row in minutes.collect():
+        own = sorted(v for i, v in enumerate(values) if i % 600 // 60 == row.minute.timestamp() // 60)
+        rank = sum(v <= row.approx_p95_wait_seconds for v in own)
+        assert row.jobs == len(own) and abs(rank - 0.95 * len(own)) <= len(own) * M.RANK_ERROR + 1
+    (whole,) = M.merged_waits(minutes, F.lit("all")).collect()
+    assert abs(sum(v <= whole.approx_wait_seconds for v in values) - 0.95 * len(values)) <= len(values) * M.RANK_ERROR + 1
+
+
+def bucket_folders(frame):
+    return {re.search(r"/bucket=(\d+)/", f)[1] for f in frame.inputFiles()}
+
+
+def test_a_micro_batch_reads_the_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    write = M.upsert_by_key(path, "review_id", ("created_at",), buckets=16)
+    rows = lambda ids: spark.createDataFrame([(f"r{i}", i) for i in ids], "review_id string, created_at long")
+    for number in range(30):
+        write(rows(range(number * 40, number * 40 + 40)), number)
+        table = M.state_table(spark, path, "review_id")
+        assert all(len(folders) <= MOST_FOLDERS for folders in table.state["folders"].values())
+    table = M.state_table(spark, path, "review_id")
+    few = rows([5, 700])
+    touched = table.touched(few)
+    read = table.read(touched)
+    assert bucket_folders(read) == {str(b) for b in touched} and len(touched) <= 2
+    everything = table.read()
+    assert everything.count() == 1200 and len(bucket_folders(everything)) == 16
+    # One bucket is at most so many folders, and a folder of so few rows is one file.
+    assert len(read.inputFiles()) <= 2 * MOST_FOLDERS
+    write(few, 29)  # a repeat
+    write(few, 30)  # known keys
+    assert M.state_table(spark, path, "review_id").read().count() == 1200
+
+
+def test_a_batch_that_died_before_its_commit_is_repeated_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "jobs")
+    write = M.upsert_by_key(path, "review_id", ("created_at",), buckets=4)
+    rows = lambda *ids: spark.createDataFrame([(f"r{i}", i) for i in ids], "review_id string, created_at long")
+    write(rows(1, 2), 0)
+    with monkeypatch.context() as broken:
+        broken.setattr(BucketTable, "commit", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write(rows(2, 3), 1)
+    assert M.state_table(spark, path, "review_id").read().count() == 2  # what was written is not named
+    write(rows(2, 3), 1)
+    assert sorted(r.review_id for r in M.state_table(spark, path, "review_id").read().collect()) == ["r1", "r2", "r3"]
+
+
+def test_the_least_arrival_counts_in_any_order(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "delivery_id string, seq long, received_at timestamp, authentic boolean, body_ok boolean, headers_ok boolean, handled boolean, target_ok boolean"
+    rows = [(f"d{i % 40}", i, 1000 + (i * 37) % 500) for i in range(200)] + [("end", 999, 10**6)]
+    cuts = [rows[150:200], rows[:50], rows[100:150], rows[50:100], rows[:50], rows[200:]]
+    for cut in cuts:
+        frame = spark.createDataFrame(cut, "delivery_id string, seq long, at long").select(
+            "delivery_id", "seq", F.timestamp_seconds("at").alias("received_at"), *[F.lit(True).alias(c) for c in ("authentic", "body_ok", "headers_ok", "handled", "target_ok")])
+        frame.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    M.replay(M.dedup_stream(stream, "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
+    want = {}
+    for name, seq, at in rows[:200]:
+        want[name] = min(want.get(name, (at, seq)), (at, seq))
+    got = {r.delivery_id: (int(r.received_at.timestamp()), r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == want
