@@ -132,6 +132,15 @@ def added_numbers(patch: Column) -> Column:
     return let(parsed_patch(patch), lambda p: F.flatten(F.transform(p["hunks"], of_hunk)))
 
 
+def added_text(patch: Column) -> Column:
+    """Added lines of a sound patch as ``(line, text)``, in order; null for an unsound or absent one."""
+    def of_hunk(hunk: Column) -> Column:
+        numbered = F.transform(_side(hunk["body"], "added"), lambda e, i: F.struct(
+            e["kind"].alias("kind"), _numbered(hunk["new_start"], i).alias("line"), e["text"].alias("text")))
+        return F.transform(F.filter(numbered, lambda e: e["kind"] == "added"), lambda e: F.struct(e["line"].alias("line"), e["text"].alias("text")))
+    return let(parsed_patch(patch), lambda p: F.flatten(F.transform(p["hunks"], of_hunk)))
+
+
 def added_runs(patch: Column) -> Column:
     """The same lines as sorted runs ``(first, last)`` of neighbours: a hunk of added lines is one entry,
     however long, and runs of adjoining hunks are one. Null for an unsound or absent patch."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..limits import DEFAULT_LIMITS, Limits
 from ..schemas import TERMINAL_STATUSES
+from ..sources.folders import stored
 from .skew import lookup_join, next_within
 
 # Publication states that are swept, and the sweep size.
@@ -71,21 +72,60 @@ def latest_state(jobs: DataFrame, outcomes: DataFrame, review: str = "review_id"
             .drop("_last"))
 
 
-def stage_timeline(log: DataFrame, review: str = "review_id", block: str = "day") -> DataFrame:
+# Widths of the time blocks of a log in microseconds, coarse to fine, and the records one block should not pass.
+BLOCK_WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000)
+BLOCK_ROWS = 20_000
+
+
+def time_blocks(log: DataFrame, stamp: Column, review: str = "review_id", most: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``_block``, the start of a record's time block: a day, or less where a job's day holds too much.
+
+    A block with more than ``most`` records is split into blocks of the next width, down to a thousandth
+    of a second. Only the crowded blocks of each width are looked at again, so an ordinary log costs one
+    count of its days.
+    """
+    at = lambda width: F.floor(stamp / width) * width
+    marked = log.withColumn("_block", at(BLOCK_WIDTHS[0]))
+    for finer in BLOCK_WIDTHS[1:]:
+        crowded = stored(marked.groupBy(review, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+                         .filter(F.col("_rows") > most).select(review, "_block", F.lit(True).alias("_crowded")), "crowded")
+        if crowded.isEmpty():
+            break
+        marked = (marked.join(crowded, [review, "_block"], "left")
+                  .withColumn("_block", F.when(F.col("_crowded"), at(finer)).otherwise(F.col("_block"))).drop("_crowded"))
+    return marked
+
+
+def stage_timeline(log: DataFrame, review: str = "review_id", most: int = BLOCK_ROWS) -> DataFrame:
     """Add ``stage_seconds``, the time until the job's next log record (``ts``, ``seq``, ``stage``).
 
-    A job with a huge log is cut into time blocks; see :func:`next_within`.
+    A job with a huge log is cut into time blocks as fine as it needs; see :func:`next_within`.
     """
     stamp = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = next_within(log, [review], F.date_trunc(block, F.col("ts").cast("timestamp")),
-                        [F.col("ts"), F.col("seq")], stamp, "_next")
-    return timed.withColumn("stage_seconds", (F.col("_next") - stamp) / F.lit(1_000_000.0)).drop("_next")
+    blocks = time_blocks(log, stamp, review, most)
+    timed = next_within(blocks, [review], F.col("_block"), [F.col("ts"), F.col("seq")], stamp, "_next")
+    return timed.withColumn("stage_seconds", (F.col("_next") - stamp) / F.lit(1_000_000.0)).drop("_next", "_block")
 
 
-def stage_durations(log: DataFrame, review: str = "review_id", block: str = "day") -> DataFrame:
+def stage_durations(log: DataFrame, review: str = "review_id", most: int = BLOCK_ROWS) -> DataFrame:
     """Records and micro-exact total seconds per stage over all jobs."""
-    timed = stage_timeline(log, review, block)
+    timed = stage_timeline(log, review, most)
     micros = F.round(F.col("stage_seconds") * 1_000_000).cast("bigint")
     return timed.groupBy("stage").agg(
         F.count(F.lit(1)).alias("records"), F.count("stage_seconds").alias("timed"),
         (F.coalesce(F.sum(micros), F.lit(0)) / F.lit(1_000_000.0)).alias("seconds"))
+
+
+def component_seconds(log: DataFrame, review: str = "review_id") -> DataFrame:
+    """Per job: seconds its last attempt spent on each component, null for one that did not end.
+
+    The first analysis runs from ``started`` to ``static_completed``, the second from there to ``ai_completed``.
+    Two aggregates of one row per job, no window.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    began = log.filter(F.col("stage") == "started").groupBy(review).agg(F.max(at).alias("_began"))
+    ends = log.join(began, review).filter(at >= F.col("_began")).groupBy(review).agg(
+        F.first("_began").alias("_began"), *[F.min(F.when(F.col("stage") == stage, at)).alias(name)
+                                             for stage, name in (("static_completed", "_static"), ("ai_completed", "_ai"))])
+    seconds = lambda a, b: (F.when(F.col(b) >= F.col(a), F.col(b) - F.col(a)) / F.lit(1_000_000.0))
+    return ends.select(review, seconds("_began", "_static").alias("static_analysis_seconds"), seconds("_static", "_ai").alias("ai_analysis_seconds"))

@@ -73,45 +73,80 @@ def report_order(review: str = "review_id") -> tuple[Column, list[Column]]:
     return coarse, [F.col("file_path"), F.col("line_number"), F.col("category")]
 
 
-def build_reports(jobs: DataFrame, merged: DataFrame, rejected: DataFrame, statuses: DataFrame | None = None,
+def merged_entries(accepted: DataFrame, review: str = "review_id", size: int = REPORT_PAGE) -> DataFrame:
+    """Merged findings with their ``original_indices``, ascending; ``part`` 0 is the whole of an ordinary one.
+
+    A finding that more than ``size`` rows were merged into goes on in further parts, so its indices are
+    numbered and collected in blocks, never in one list.
+    """
+    keys = [review, *MERGE_KEY]
+    numbered = number_within(accepted.select(*keys, "idx"), keys, F.floor(F.col("idx") / INDEX_CHUNK), [F.col("idx")], "_nth")
+    parts = (numbered.groupBy(*keys, F.floor((F.col("_nth") - 1) / size).alias("part"))
+             .agg(F.array_sort(F.collect_list("idx")).alias("original_indices")))
+    return parts.join(merge_findings(accepted, review), keys)
+
+
+def build_reports(jobs: DataFrame, checked: DataFrame, statuses: DataFrame | None = None, measured: DataFrame | None = None,
                   review: str = "review_id", page_size: int = REPORT_PAGE) -> DataFrame:
-    """Nested reports; each job has one, also without findings.
+    """Nested reports in pages; each job has one, also without findings.
+
+    ``jobs``: review and ``status``; ``checked``: findings with ``reason``, as :func:`validate_findings` gives
+    them; ``statuses``: ``static_analysis`` and ``ai_analysis``; ``measured``: see :func:`measurements`.
 
-    A report is a document per page of ``page_size`` merged findings. Page 0 carries the
-    whole report of an ordinary review; a huge one continues on further rows, so that no
-    row and no task holds an unbounded list. Original and refused findings stay rows.
+    A page holds up to ``page_size`` merged findings with their original indices, original findings as they
+    came, and refused ones with index and reason, each list in its own order. Page 0 is the whole report of
+    an ordinary review. The three lists are numbered in blocks and meet in one group per (review, page), so
+    neither a row nor a task ever holds a whole review. Totals, statuses, errors and measurements are on every page.
     """
+    accepted = checked.filter(F.col("reason").isNull()).drop("reason")
     coarse, order = report_order(review)
-    numbered = number_within(merged, [review], coarse, order, "rn")
-    entry = F.struct(F.col("rn"), F.struct(*FINDING_COLUMNS, "sources", "merged").alias("finding"))
-    pages = (numbered.groupBy(review, F.floor((F.col("rn") - 1) / page_size).alias("page"))
-             .agg(F.array_sort(F.collect_list(entry)).alias("_entries")))
-    refused = rejected.groupBy(review).agg(F.count(F.lit(1)).alias("rejected"))
-    totals = severity_summary(merged, review)
-    base = jobs.select(review, "status").join(totals, review, "left").join(refused, review, "left")
-    if statuses is not None:
-        base = base.join(statuses, review, "left")
+    entries = number_within(merged_entries(accepted, review, page_size), [review], coarse, [*order, F.col("part")], "rn")
+    block = F.floor(F.col("idx") / INDEX_CHUNK)
+    originals = number_within(checked.select(review, "idx", *FINDING_COLUMNS), [review], block, [F.col("idx")], "rn")
+    refused = number_within(checked.filter(F.col("reason").isNotNull()).select(review, "idx", "reason"), [review], block, [F.col("idx")], "rn")
+    kinds = {"findings": (entries, F.struct("rn", *FINDING_COLUMNS, "original_indices", "part", "sources")),
+             "original_findings": (originals, F.struct(F.col("idx").alias("index"), *FINDING_COLUMNS)),
+             "rejected_findings": (refused, F.struct(F.col("idx").alias("index"), "reason"))}
+    rows = jobs.select(review, F.lit(0).cast("bigint").alias("page"))
+    for name, (listed, entry) in kinds.items():
+        listed = listed.select(review, F.floor((F.col("rn") - 1) / page_size).alias("page"), entry.alias(name))
+        rows = rows.unionByName(listed, allowMissingColumns=True)
+    pages = rows.groupBy(review, "page").agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in kinds])
+    base = jobs.select(review, "status").join(severity_summary(merge_findings(accepted, review), review), review, "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
-    states = [c for c in ("static_analysis", "ai_analysis") if c in base.columns]
-    return base.join(pages, review, "left").select(
-        review, F.coalesce("page", F.lit(0)).alias("page"), "status",
-        F.struct(*[zero(n) for n in ("total_findings", *SEVERITIES)]).alias("summary"),
-        F.coalesce(F.transform("_entries", lambda e: e["finding"]), F.array()).alias("findings"),
-        zero("rejected"),
-        *([F.struct(*states).alias("analysis")] if states else []))
+    fields = [review, "status", F.struct(*[zero(n) for n in ("total_findings", *SEVERITIES)]).alias("summary")]
+    if statuses is not None:
+        base = base.join(statuses.select(review, "static_analysis", "ai_analysis"), review, "left")
+        fields += [F.struct("static_analysis", "ai_analysis").alias("analysis"), component_errors().alias("component_errors")]
+    if measured is not None:
+        columns = [c for c in measured.columns if c != review]
+        base = base.join(measured.select(review, F.struct(*columns).alias("measurements")), review, "left")
+        fields.append("measurements")
+    return base.select(*fields).join(pages, review)
+
+
+def component_errors() -> Column:
+    """Codes of the components that failed, by component; an empty map if none did."""
+    codes = F.array(*[F.when(F.col(name) == "failed", F.struct(F.lit(name), F.lit(f"{name}_failed"))) for name in ("static_analysis", "ai_analysis")])
+    return F.map_from_entries(F.array_compact(codes))
 
 
-def measurements(jobs: DataFrame, findings: DataFrame, review: str = "review_id") -> DataFrame:
-    """Queue wait, creation-to-report seconds and finding counts by source family.
+def measurements(jobs: DataFrame, findings: DataFrame, stages: DataFrame | None = None, review: str = "review_id") -> DataFrame:
+    """Queue wait, creation-to-report and per-stage seconds, and finding counts by source family.
 
-    ``jobs``: review, ``created_at``, ``started_at``, ``reported_at``.
+    ``jobs``: review, ``created_at``, ``started_at``, ``reported_at``; ``stages``: review and seconds of each
+    stage, as :func:`lifecycle.component_seconds` gives them. What was not run or not recorded is null.
     """
     counts = findings.groupBy(review).agg(
         F.count(F.when(F.col("source") != "ai", 1)).alias("static_findings"),
         F.count(F.when(F.col("source") == "ai", 1)).alias("ai_findings"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
-    return jobs.join(counts, review, "left").select(
-        review, seconds_between("created_at", "started_at").alias("queue_wait_seconds"),
+    joined = jobs.join(counts, review, "left")
+    timed = [] if stages is None else [c for c in stages.columns if c != review]
+    if timed:
+        joined = joined.join(stages, review, "left")
+    return joined.select(
+        review, seconds_between("created_at", "started_at").alias("queue_wait_seconds"), *timed,
         seconds_between("created_at", "reported_at").alias("job_to_report_seconds"),
         zero("static_findings"), zero("ai_findings"))
 

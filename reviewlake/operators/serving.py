@@ -8,22 +8,49 @@ from pyspark.sql import functions as F
 from ..schemas import JOB_STATUSES
 from .report import seconds_between
 from .skew import lookup_join
+from .stats import at_ranks
 
 MAX_PAGE = 100
+# Rows before a page that may still be found by a top-k; deeper pages are found by rank.
+SHALLOW = 10_000
 REPORTED_STATUSES = ("completed", "failed")
 
 
 def list_reviews(jobs: DataFrame, page: int = 1, size: int = 20, totals: DataFrame | None = None) -> DataFrame:
     """A page of jobs, newest first, with ``finding_count`` when ``totals`` (id, total_findings) is given.
 
-    The page is cut first, as a top-k, and only its rows are looked up.
+    The page is cut first, as a top-k, and only its rows are looked up. A page behind the first ``SHALLOW``
+    rows does not carry them all to one task: the creation time its first row has is an order statistic,
+    and the page is a top-k from there on.
     """
     if page < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError("page must be >= 1 and size within 1..100")
-    rows = jobs.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * size).limit(size)
+    skipped = (page - 1) * size
+    if skipped > SHALLOW:
+        jobs, skipped = _from_rank(jobs, skipped)
+    rows = jobs.orderBy(F.desc("created_at"), F.desc("id")).offset(skipped).limit(size)
     return rows if totals is None else with_counts(rows, totals)
 
 
+def _from_rank(jobs: DataFrame, skipped: int) -> tuple[DataFrame, int]:
+    """The jobs from the creation time of the row behind ``skipped`` ones on, and how many of them still come before it."""
+    age = -F.unix_micros(F.col("created_at").cast("timestamp"))
+    for key, value in (("created_at", age), ("id", -F.col("id"))):
+        found = at_ranks(jobs.select(value.alias("_key")), [], "_key", {"edge": F.lit(skipped + 1)}).first()
+        if found is None or found["edge"] is None:
+            return jobs.limit(0), 0
+        edge = int(found["edge"])
+        newer = jobs.filter(value < edge).count()
+        tied = jobs.filter(value == edge)
+        if key == "id" or skipped - newer <= SHALLOW:
+            return jobs.filter(value >= edge), skipped - newer
+        # More rows share the creation time than a top-k should carry: the id decides among them.
+        if tied.count() <= skipped - newer + MAX_PAGE:
+            return jobs.filter(value >= edge), skipped - newer
+        jobs, skipped = tied, skipped - newer
+    return jobs, skipped
+
+
 def list_reviews_after(jobs: DataFrame, created_at: Column, last_id: Column, size: int = 20) -> DataFrame:
     """The page behind a known last row; its cost does not grow with the page number."""
     if not 1 <= size <= MAX_PAGE:

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import TERMINAL_STATUSES
+from ..schemas import TERMINAL_STATUSES, TOKEN_COUNTERS
+from ..sources.folders import stored
 from .report import seconds_between
 
 # Steps per factor of two in the coarse histogram of a percentile.
 STEPS = 64
+# Cells a bucket is cut into when too many values hit it, and the number of distinct values one task may order.
+CELLS, SMALL = 1024, 20_000
 
 
 def _bucket(value: Column) -> Column:
@@ -20,35 +23,69 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
-def at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Exact order statistics per group: a column for each 1-based rank given in terms of ``n``.
+def _cell(value: Column, low: Column, high: Column) -> Column:
+    """Place of a value among the equal cells between a bucket's least and largest value."""
+    share = (value / 2 - low / 2) / (high / 2 - low / 2)
+    return F.when(high > low, F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(0)
+
+
+def _hits(members: DataFrame, by: Sequence[str], outer: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
+    """The buckets that hold a wanted rank: where they start, what they hold, their least and largest value.
 
-    Equal values are counted together first, then a coarse histogram finds the buckets that
-    hold the ranks, and only the distinct values of those buckets are ordered. A rank beyond
-    the group, or a group without values, gives null.
+    ``members`` are distinct values ``_v`` with their number ``_c`` and bucket ``_b``; below the first
+    level, also the bucket they were cut from, ``outer``, whose start and ranks are known.
     """
-    known = (df.filter(F.col(value).isNotNull())
-             .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-             .withColumn("_b", _bucket(F.col("_v"))))
-    order = Window.partitionBy(*by).orderBy("_b")
-    whole = Window.partitionBy(*by)
-    buckets = (known.groupBy(*by, "_b").agg(F.sum("_c").alias("_c"))
-               .withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn("n", F.sum("_c").over(whole))
-               .withColumn("_start", F.col("_end") - F.col("_c")))
-    for name, rank in ranks.items():
-        buckets = buckets.withColumn(f"_r_{name}", rank)
-    inside = lambda name: (F.col(f"_r_{name}") > F.col("_start")) & (F.col(f"_r_{name}") <= F.col("_end"))
+    sizes = members.groupBy(*by, *outer, "_b").agg(
+        F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_distinct"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),
+        *([F.first(c).alias(c) for c in ("_from", "n", *[f"_r_{name}" for name in ranks])] if outer else []))
+    order = Window.partitionBy(*by, *outer).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.col("_from") if outer else F.lit(0).cast("bigint")
+    placed = sizes.withColumn("_end", begin + F.sum("_c").over(order)).withColumn("_start", F.col("_end") - F.col("_c"))
+    if not outer:
+        placed = placed.withColumn("n", F.sum("_c").over(Window.partitionBy(*by)))
+        for name, rank in ranks.items():
+            placed = placed.withColumn(f"_r_{name}", rank)
     wanted = F.lit(False)
     for name in ranks:
-        wanted = wanted | inside(name)
-    hits = buckets.filter(wanted).select(*by, "_b", "_start", "n", *[f"_r_{name}" for name in ranks])
+        wanted = wanted | _inside(name)
+    return placed.filter(wanted).select(*by, *outer, "_b", "_start", "_distinct", "_low", "_high", "n", *[f"_r_{name}" for name in ranks])
+
+
+def _inside(name: str) -> Column:
+    return (F.col(f"_r_{name}") > F.col("_start")) & (F.col(f"_r_{name}") <= F.col("_end"))
+
+
+def _narrowed(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """The distinct values of the buckets that hold the wanted ranks, at most ``SMALL`` in each."""
+    known = (df.filter(F.col(value).isNotNull())
+             .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    members, outer = known.withColumn("_b", _bucket(F.col("_v")).cast("bigint")), []
+    while True:
+        hits = stored(_hits(members, by, outer, ranks), "ranks")  # one row per group and rank at most
+        keys = [*by, *outer, "_b"]
+        members = (members.select(*keys, "_v", "_c").join(hits, keys)
+                   .withColumn("_b", F.concat_ws("/", *outer, F.col("_b").cast("string"))).drop(*outer))
+        if (hits.agg(F.max("_distinct")).first()[0] or 0) <= SMALL:
+            return members
+        # Cut every hit bucket between its own least and largest value and look again.
+        members = (members.withColumnsRenamed({"_b": "_outer", "_start": "_from"})
+                   .withColumn("_b", _cell(F.col("_v"), F.col("_low"), F.col("_high")).cast("bigint")).drop("_distinct", "_low", "_high"))
+        outer = ["_outer"]
+
+
+def at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Exact order statistics per group: a column for each 1-based rank given in terms of ``n``.
+
+    Equal values are counted together first, then a coarse histogram finds the buckets that hold the
+    ranks. A bucket hit that holds more than ``SMALL`` distinct values is cut between its own least and
+    largest value, again and again, so however close the values lie, no task orders more than that. A
+    rank beyond the group, or a group without values, gives null.
+    """
     within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = (known.join(hits, [*by, "_b"]) if by else known.join(hits, "_b"))
-    values = (values.withColumn("_end", F.col("_start") + F.sum("_c").over(within))
+    values = (_narrowed(df, by, value, ranks).withColumn("_end", F.col("_start") + F.sum("_c").over(within))
               .withColumn("_start", F.col("_end") - F.col("_c")))
     return values.groupBy(*by).agg(
-        F.max("n").alias("n"), *[F.max(F.when(inside(name), F.col("_v"))).alias(name) for name in ranks])
+        F.max("n").alias("n"), *[F.max(F.when(_inside(name), F.col("_v"))).alias(name) for name in ranks])
 
 
 def nearest_rank(df: DataFrame, value: str, percents: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -92,7 +129,7 @@ def throughput(jobs: DataFrame, start: str = "created_at", end: str = "completed
 
 
 def provider_stats(calls: DataFrame, by: Sequence[str] = (),
-                   counters: Sequence[str] = ("prompt_tokens", "candidate_tokens")) -> DataFrame:
+                   counters: Sequence[str] = TOKEN_COUNTERS) -> DataFrame:
     """Failure rate, averaged median, nearest-rank p95 and mean tokens of provider calls.
 
     ``calls``: ``status``, ``seconds`` and the counters. A mean exists only when every

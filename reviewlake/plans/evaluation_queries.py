@@ -49,12 +49,15 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("eval_combine", "OP-K5", sql=oracle(
     """SELECT case_id, file_path, line_number, category, arg_min(seq, (experiment, seq)) AS seq, min(experiment) AS experiment FROM normal
-       WHERE case_id IN (SELECT case_id FROM case_status WHERE experiment = 'B' AND status = 'completed') GROUP BY ALL""", normal=_NORMAL))
+       WHERE experiment IN ('A', 'B') AND case_id IN (SELECT case_id FROM case_status WHERE experiment = 'B' AND status = 'completed') GROUP BY ALL""", normal=_NORMAL))
 def _combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combined(spark, sf_dir).select("case_id", "file_path", "line_number", "category", "seq", "experiment")
+
+
+def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = normal(spark, sf_dir)
     completed = view(spark, sf_dir, "case_status").filter("experiment = 'B' AND status = 'completed'")
-    both = K.combine(rows.filter("experiment = 'A'"), rows.filter("experiment = 'B'"), completed)
-    return both.select("case_id", "file_path", "line_number", "category", "seq", "experiment")
+    return K.combine(rows.filter("experiment = 'A'"), rows.filter("experiment = 'B'"), completed)
 
 
 @query("eval_blocked_status", "OP-K6", sql=oracle(
@@ -83,6 +86,33 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.experiment_summary(view(spark, sf_dir, "expected_labels"), normal(spark, sf_dir), view(spark, sf_dir, "case_status"))
 
 
+# The combined experiment beside the others: it ran where the second one completed.
+_STATUSES = """SELECT experiment, case_id, status FROM case_status UNION ALL
+    SELECT 'C', case_id, CASE WHEN status = 'completed' THEN 'completed' ELSE 'not_run' END FROM case_status WHERE experiment = 'B'"""
+_BOTH = """SELECT experiment, case_id, file_path, line_number, category, seq FROM normal UNION ALL
+    SELECT 'C', case_id, file_path, line_number, category, min(seq) FROM normal
+    WHERE experiment IN ('A', 'B') AND case_id IN (SELECT case_id FROM case_status WHERE experiment = 'B' AND status = 'completed') GROUP BY ALL"""
+
+
+@query("eval_all_experiments", "OP-K5", "OP-K7", sql=oracle(
+    f"""SELECT s.experiment, s.completed_cases, s.total_cases, {_SCORED} FROM
+          (SELECT experiment, count(*) FILTER (WHERE status = 'completed') AS completed_cases, count(*) AS total_cases FROM statuses GROUP BY 1) s
+          LEFT JOIN (SELECT coalesce(f.experiment, e.experiment) AS experiment, count(*) FILTER (WHERE f.nth IS NOT NULL AND e.nth IS NOT NULL) AS tp,
+              count(*) FILTER (WHERE e.nth IS NULL) AS fp, count(*) FILTER (WHERE f.nth IS NULL) AS fn
+            FROM (SELECT n.* FROM found n JOIN done d USING (experiment, case_id)) f
+            FULL JOIN (SELECT d.experiment, x.* FROM expected x JOIN done d USING (case_id)) e ON e.experiment = f.experiment AND e.case_id = f.case_id
+              AND e.file = f.file_path AND e.line = f.line_number AND e.category = f.category AND e.nth = f.nth GROUP BY 1) c ON c.experiment = s.experiment""",
+    normal=_NORMAL, statuses=_STATUSES, gathered=_BOTH, found=_NUMBERED_FOUND.replace("FROM normal", "FROM gathered"), expected=_NUMBERED_EXPECTED,
+    done="SELECT experiment, case_id FROM statuses WHERE status = 'completed'"))
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = view(spark, sf_dir, "case_status")
+    third = status.filter("experiment = 'B'").select(
+        F.lit("C").alias("experiment"), "case_id", F.when(F.col("status") == "completed", "completed").otherwise("not_run").alias("status"))
+    columns = ["experiment", "case_id", "file_path", "line_number", "category"]
+    found = normal(spark, sf_dir).select(*columns).unionByName(combined(spark, sf_dir).withColumn("experiment", F.lit("C")).select(*columns))
+    return K.experiment_summary(view(spark, sf_dir, "expected_labels"), found, status.unionByName(third))
+
+
 _WORDS = ", ".join(f"CAST(CAST(sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT)) AS HUGEINT) AS VARCHAR) AS w{i}" for i in range(K.WORDS))
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import diff as D
 from ..operators import findings as E
-from ..operators.reviewer import deterministic_reviewer, review_files
-from ..schemas import FINDING_COLUMNS
+from ..operators.reviewer import review_files, rule_reviewer
+from ..schemas import FINDING_COLUMNS, TOKEN_COUNTERS
 from .fixtures import oracle, view
-from .patch_queries import DIFF
+from .patch_queries import DIFF, RULES
 from .registry import query
 
 ROW_OK = """coalesce(line_number > 0 AND source IN ('ruff', 'bandit', 'ai') AND severity IN ('high', 'medium', 'low')
@@ -162,10 +162,9 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("finding_usage", "OP-E13", sql=oracle(
-    """SELECT review_id, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
-         CAST(sum(candidate_tokens) AS BIGINT) AS candidate_tokens FROM model_responses GROUP BY review_id"""))
+    "SELECT review_id, count(*) AS calls, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in TOKEN_COUNTERS) + " FROM model_responses GROUP BY review_id"))
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.usage(view(spark, sf_dir, "model_responses"), ["review_id"], ["prompt_tokens", "candidate_tokens"])
+    return E.usage(view(spark, sf_dir, "model_responses"), ["review_id"], TOKEN_COUNTERS)
 
 
 # Each answer with the error its call ended with, if any.
@@ -253,14 +252,19 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.component_status(joined).select("review_id", "ai_status", "retry_ai", "final_status")
 
 
+_REVIEWED = "\nUNION ALL\n".join(
+    f"""SELECT review_id, filename, CAST(new_line AS INTEGER) AS line_number, '{r.id}' AS category, '{r.severity}' AS severity FROM numbered
+        WHERE kind = 'added' AND filename LIKE '%{r.suffix}' AND regexp_matches(text, '{r.pattern}')""" for r in RULES)
+
+
 @query("finding_pluggable_reviewer", "OP-N1", sql=oracle(
-    """SELECT c.review_id, c.filename, CASE WHEN c.filename LIKE '%7.py' THEN 'failed' ELSE 'reviewed' END AS outcome,
-         CASE WHEN c.filename LIKE '%7.py' THEN 'ai_http_503' END AS error, c.filename LIKE '%7.py' AS retryable,
-         CASE WHEN c.filename NOT LIKE '%7.py' THEN CAST(a.line AS INTEGER) END AS line_number
-       FROM changed_files c LEFT JOIN (SELECT review_id, filename, max(line) AS line FROM added GROUP BY ALL) a
-         ON a.review_id = c.review_id AND a.filename = c.filename""", **DIFF, added=ADDED))
+    """SELECT c.review_id, c.filename, CASE WHEN e.error IS NULL THEN 'reviewed' ELSE 'failed' END AS outcome, e.error, false AS retryable,
+         h.line_number, h.category, h.severity
+       FROM changed_files c LEFT JOIN errors e ON e.review_id = c.review_id AND e.filename = c.filename
+       LEFT JOIN hits h ON h.review_id = c.review_id AND h.filename = c.filename""", **DIFF, hits=_REVIEWED))
 def _reviewer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = view(spark, sf_dir, "changed_files").select(
-        "review_id", "filename", D.added_numbers(F.col("patch")).alias("added"), F.col("filename").endswith("7.py").alias("unavailable"))
-    reviewed_rows = review_files(files, deterministic_reviewer)
-    return reviewed_rows.select("review_id", "filename", "outcome", "error", "retryable", "line_number")
+    # Added lines come from the diff operators; a file whose patch is unsound is refused before the reviewer sees it.
+    files = view(spark, sf_dir, "changed_files").select("review_id", "filename", D.added_text(F.col("patch")).alias("added"),
+                                                        D.parsed_patch(F.col("patch"))["error"].alias("refused"))
+    rows = review_files(files, rule_reviewer(RULES))
+    return rows.select("review_id", "filename", "outcome", "error", "retryable", "line_number", "category", "severity")

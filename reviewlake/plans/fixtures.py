@@ -105,12 +105,13 @@ SELECT doc_id, CAST(floor(doc_id / 20) AS BIGINT) AS review_id,
 FROM (SELECT doc_id, text, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS STRING) AS n FROM $documents) AS d"""
 
 # Findings on those files; all rejection reasons and acceptance fire. The number of reviews
-# grows with the tables. ``idx`` is unique and ordered within a review.
+# grows with the tables. ``idx`` is the position in the review, with gaps: 20 files, 15 lists a file, below 32 findings a list.
 VIEWS["review_findings"] = """
 SELECT c.review_id, CASE WHEN l.l_suppkey % 17 = 0 THEN 'missing.py' ELSE c.filename END AS file_path,
        CASE WHEN l.line_number > 6 THEN l.line_number + 5000 ELSE l.line_number END AS line_number, l.source,
        CASE l.l_partkey % 3 WHEN 0 THEN 'security' WHEN 1 THEN 'correctness' ELSE 'quality' END AS category,
-       l.severity, l.title, l.description, l.suggestion, l.review_id * 1000 + l.idx AS idx
+       l.severity, l.title, l.description, l.suggestion,
+       CAST(((c.doc_id % 20) * 15 + l.review_id % 15) * 32 + l.idx AS BIGINT) AS idx
 FROM raw_findings AS l JOIN changed_files AS c ON c.doc_id = CAST(floor(l.review_id / 15) AS BIGINT)"""
 
 # Truncated finishes, text that is no JSON, wrong envelopes, boolean lines, unknown severities.
@@ -124,7 +125,9 @@ SELECT review_id, idx, CASE WHEN review_id % 11 = 0 THEN 'MAX_TOKENS' ELSE 'STOP
          || '","description":' || CASE WHEN idx % 5 = 4 THEN '5' ELSE '"' || description || '"' END
          || CASE WHEN idx % 4 = 3 THEN ',"suggestion":null' ELSE ',"suggestion":"s"' END
          || CASE WHEN l_suppkey % 9 = 8 THEN ',"extra":1' ELSE '' END || '}]}' END AS raw,
-       length(title) * 10 AS prompt_tokens, CASE WHEN review_id % 9 = 0 THEN NULL ELSE length(description) END AS candidate_tokens
+       length(title) * 10 AS prompt_tokens, CASE WHEN review_id % 9 = 0 THEN NULL ELSE length(description) END AS candidate_tokens,
+       CASE WHEN idx % 3 = 0 THEN NULL ELSE length(file_path) END AS thought_tokens,
+       CASE WHEN review_id % 8 = 0 THEN NULL ELSE length(title) * 10 + length(description) END AS total_tokens
 FROM raw_findings"""
 
 # Answers of two findings about one file of ``changed_files`` each.
@@ -145,21 +148,22 @@ SELECT 'case' || CAST(l_orderkey % 200 AS STRING) AS case_id, 'f' || CAST(l_part
        l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 'security' WHEN 'N' THEN 'correctness' ELSE 'quality' END AS category
 FROM $lineitem WHERE l_linestatus = 'F'"""
 
-# Two experiments with raw rule ids. ``seq`` is unique and gives the input order.
+# Three experiments with raw rule ids. ``seq`` is unique and gives the input order.
 VIEWS["experiment_findings"] = """
-SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'A' ELSE 'B' END AS experiment,
+SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'ungrounded' WHEN l_shipdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'A' ELSE 'B' END AS experiment,
        'case' || CAST(l_orderkey % 200 AS STRING) AS case_id, 'f' || CAST(l_partkey % 3 AS STRING) || '.py' AS file_path,
        l_linenumber AS line_number, CASE l_returnflag WHEN 'A' THEN 'ai' WHEN 'N' THEN 'ruff' ELSE 'bandit' END AS source,
        CASE l_returnflag WHEN 'A' THEN 'security' WHEN 'N' THEN CASE WHEN l_partkey % 2 = 0 THEN 'F401' ELSE 'E722' END
             ELSE CASE WHEN l_partkey % 2 = 0 THEN 'B110' ELSE 'B605' END END AS category,
        l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
                                               l_extendedprice, l_shipdate) AS seq
-FROM $lineitem WHERE l_linestatus = 'O'"""
+FROM $lineitem"""
 
 # One status per experiment and case, taken from the orders of that case.
 VIEWS["case_status"] = """
-SELECT experiment, case_id, CASE WHEN bad > 0 AND experiment = 'B' THEN 'failed' ELSE 'completed' END AS status
-FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'A' ELSE 'B' END AS experiment,
+SELECT experiment, case_id, CASE WHEN bad > 0 AND experiment = 'B' THEN 'failed' WHEN bad > 0 AND experiment = 'ungrounded' THEN 'not_run'
+                                 ELSE 'completed' END AS status
+FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN 'ungrounded' WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'A' ELSE 'B' END AS experiment,
              'case' || CAST(o_orderkey % 200 AS STRING) AS case_id,
              sum(CASE WHEN o_orderkey % 400 < 60 AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS bad
       FROM $orders GROUP BY 1, 2) AS c"""

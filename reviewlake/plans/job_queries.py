@@ -11,6 +11,7 @@ from ..operators import serving as J
 from ..operators import report as R
 from ..operators import stats as L
 from ..operators.skew import lookup_join
+from ..schemas import TOKEN_COUNTERS
 from ..sources.writers import stage_log
 from .fixtures import oracle, view
 from .registry import query
@@ -129,6 +130,12 @@ def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.with_counts(page, totals).select("id", "created_at", "status", "finding_count")
 
 
+@query("serve_deep_page", "OP-J1", sql=oracle(
+    """SELECT id, created_at, status FROM review_jobs ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 12000"""))
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.list_reviews(jobs(spark, sf_dir), page=121, size=100).select("id", "created_at", "status")
+
+
 @query("serve_list_after", "OP-J1", sql=oracle(
     f"""SELECT id, created_at, status FROM review_jobs WHERE created_at < {NOW} OR (created_at = {NOW} AND id < 500)
         ORDER BY created_at DESC, id DESC LIMIT 100"""))
@@ -208,6 +215,16 @@ def _overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.nearest_rank(view(spark, sf_dir, "events"), "value", {"p50": 0.5, "p99": 0.99})
 
 
+@query("stats_nearest_rank_epoch", "OP-L1", sql=oracle(
+    """SELECT max(n) AS n, max(CASE WHEN rn = greatest(ceil(n * 0.5::DOUBLE), 1) THEN micros END) AS p50,
+         max(CASE WHEN rn = greatest(ceil(n * 0.99::DOUBLE), 1) THEN micros END) AS p99 FROM ranked""",
+    stamps="SELECT CAST(epoch_us(ts) AS DOUBLE) AS micros FROM events", ranked=_rank_sql("micros", "", "stamps")))
+def _epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Large values close together: all of them lie in one bucket of the first histogram.
+    stamps = view(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    return L.nearest_rank(stamps, "micros", {"p50": 0.5, "p99": 0.99})
+
+
 @query("stats_job_timings", "OP-L2", sql=oracle("SELECT id, queue_wait_seconds, processing_seconds FROM timed", timed=_TIMED))
 def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.job_timings(jobs(spark, sf_dir)).select("id", "queue_wait_seconds", "processing_seconds")
@@ -238,24 +255,22 @@ def _throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROVIDER = """SELECT review_id % 40 AS run, CASE WHEN finish_reason = 'STOP' THEN 'completed' ELSE 'failed' END AS status,
-    CAST(prompt_tokens AS DOUBLE) / 7 AS seconds, prompt_tokens, candidate_tokens FROM model_responses"""
+    CAST(prompt_tokens AS DOUBLE) / 7 AS seconds, prompt_tokens, candidate_tokens, thought_tokens, total_tokens FROM model_responses"""
+_AVERAGES = ", ".join(f"""CASE WHEN count({c}) FILTER (WHERE status = 'completed') = count(*) FILTER (WHERE status = 'completed')
+    THEN avg({c}) FILTER (WHERE status = 'completed') END AS average_{c}""" for c in TOKEN_COUNTERS)
 
 
 @query("stats_provider", "OP-L6", sql=oracle(
-    """SELECT a.run, a.attempted, a.completed, 1 - a.completed / a.attempted AS failure_rate, m.median AS successful_median_seconds,
-         m.p95 AS successful_p95_seconds, a.average_prompt_tokens, a.average_candidate_tokens
+    f"""SELECT a.*, m.median AS successful_median_seconds, m.p95 AS successful_p95_seconds
        FROM (SELECT run, count(*) AS attempted, count(*) FILTER (WHERE status = 'completed') AS completed,
-               CASE WHEN count(prompt_tokens) FILTER (WHERE status = 'completed') = count(*) FILTER (WHERE status = 'completed')
-                 THEN avg(prompt_tokens) FILTER (WHERE status = 'completed') END AS average_prompt_tokens,
-               CASE WHEN count(candidate_tokens) FILTER (WHERE status = 'completed') = count(*) FILTER (WHERE status = 'completed')
-                 THEN avg(candidate_tokens) FILTER (WHERE status = 'completed') END AS average_candidate_tokens FROM calls GROUP BY run) a
+               1 - count(*) FILTER (WHERE status = 'completed') / count(*) AS failure_rate, {_AVERAGES} FROM calls GROUP BY run) a
        LEFT JOIN (SELECT run, median(seconds) AS median, max(CASE WHEN rn = greatest(ceil(n * 0.95::DOUBLE), 1) THEN seconds END) AS p95
                   FROM ranked GROUP BY run) m ON m.run = a.run""",
     calls=_PROVIDER, good="SELECT * FROM calls WHERE status = 'completed'", ranked=_rank_sql("seconds", "run", "good")))
 def _provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = view(spark, sf_dir, "model_responses").select(
         (F.col("review_id") % 40).alias("run"), F.when(F.col("finish_reason") == "STOP", "completed").otherwise("failed").alias("status"),
-        (F.col("prompt_tokens").cast("double") / 7).alias("seconds"), "prompt_tokens", "candidate_tokens")
+        (F.col("prompt_tokens").cast("double") / 7).alias("seconds"), *TOKEN_COUNTERS)
     return L.provider_stats(calls, ["run"])
 
 

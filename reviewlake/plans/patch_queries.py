@@ -20,8 +20,10 @@ _PARENTS = "list_filter(list_slice(string_split(lower(filename), '/'), 1, -2), l
 
 
 def _reason(limits: Limits) -> str:
-    dirs = ", ".join(f"'{d}'" for d in C.IGNORED_DIRECTORIES)
-    marks = " OR ".join(f"contains(lower(coalesce(patch, '')), '{m}')" for m in C.GENERATED_MARKERS)
+    dirs = ", ".join(f"'{d}'" for d in ("vendor", "vendored", "third_party", "third-party", "node_modules", ".venv", "venv", "__pycache__",
+                                        "generated", "_generated", "build", "dist"))
+    marks = " OR ".join(f"contains(lower(coalesce(patch, '')), '{m}')" for m in (
+        "@generated", "automatically generated", "auto-generated", "autogenerated", "do not edit"))
     return f"""SELECT *, length(coalesce(patch, '')) AS patch_chars,
       CASE WHEN list_has_any({_PARENTS}, [{dirs}]) THEN 'ignored_directory'
            WHEN base LIKE '%.lock' OR base LIKE '%.lock.py' OR base IN ('poetry.lock', 'pipfile.lock') THEN 'lock_file'
@@ -129,6 +131,21 @@ def _scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.array_join(skipped, ";").alias("skipped"))
 
 
+@query("scope_document", "OP-C4", sql=oracle(
+    f"""SELECT review_id, 0 AS page, 1 AS pages, bool_or(reason IS NOT NULL) AS limited, count(*) AS total_files,
+         count(*) FILTER (WHERE reason IS NULL) AS selected_files,
+         CAST(coalesce(sum(patch_chars) FILTER (WHERE reason IS NULL), 0) AS BIGINT) AS total_patch_chars,
+         coalesce('[' || string_agg('{{"filename":"' || filename || '","reason":"' || reason || '","patch_chars":' || CAST(patch_chars AS VARCHAR) || '}}', ',' ORDER BY filename)
+                  FILTER (WHERE reason IS NOT NULL) || ']', '[]') AS skipped_files,
+         {LIMITS.max_files} AS max_files, {LIMITS.max_patch_chars_per_file} AS max_patch_chars_per_file, {LIMITS.max_total_patch_chars} AS max_total_patch_chars
+       FROM decided GROUP BY review_id""", **_SCOPE))
+def _scope_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document = C.scope_document(C.apply_scope_budget(scoped(spark, sf_dir), LIMITS), LIMITS)
+    return document.select(
+        "review_id", F.col("page").cast("int").alias("page"), F.col("pages").cast("int").alias("pages"), "limited", "total_files", "selected_files",
+        "total_patch_chars", F.to_json("skipped_files").alias("skipped_files"), "max_files", "max_patch_chars_per_file", "max_total_patch_chars")
+
+
 _HEADERS = """SELECT review_id, md5(CAST(review_id AS VARCHAR)) AS expected_head,
       CASE WHEN review_id % 7 = 1 THEN 'moved' ELSE md5(CAST(review_id AS VARCHAR)) END AS head_sha,
       'base' || CAST(review_id AS VARCHAR) AS base_sha, CAST(CASE WHEN review_id % 11 = 2 THEN 3001 ELSE n END AS BIGINT) AS changed_files,

@@ -36,6 +36,6 @@ def load_all() -> dict[str, Query]:
     """Import every query module and return the registry."""
     from . import (  # noqa: F401
         evaluation_queries, finding_queries, ingest_queries, job_queries, patch_queries, report_queries,
-        stream_queries,
+        store_queries, stream_queries,
     )
     return REGISTRY

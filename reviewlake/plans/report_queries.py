@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import diff as D
 from ..operators import findings as E
+from ..operators import lifecycle as H
 from ..operators import publish as G
 from ..operators import report as R
+from ..schemas import FINDING_COLUMNS
 from ..sources.folders import stored
 from . import ingest_queries as IQ
 from .finding_queries import LOCATED, ROW_OK, validated
@@ -86,37 +88,78 @@ def _rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("review_id", "chunk", F.array_join(text, ",").alias("rejected"))
 
 
+_PAGE = 300  # a small page here, so that reviews need several
+_DOCUMENT = {
+    **_LOC,
+    "parts": f"""SELECT review_id, file_path, line_number, category, part, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indices
+        FROM (SELECT *, floor((row_number() OVER (PARTITION BY review_id, file_path, line_number, category ORDER BY idx) - 1) / {_PAGE}) AS part FROM fine)
+        GROUP BY ALL""",
+    "origins": "SELECT review_id, file_path, line_number, category, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM fine GROUP BY ALL",
+    "listed": f"""SELECT review_id, floor((row_number() OVER (PARTITION BY review_id ORDER BY file_path, line_number, category, part) - 1) / {_PAGE}) AS page,
+          0 AS kind, row_number() OVER (PARTITION BY review_id ORDER BY file_path, line_number, category, part) AS place,
+          concat_ws('|', file_path, line_number, source, category, severity, title, description, coalesce(suggestion, '-'), indices, sources) AS entry
+        FROM merged JOIN parts USING (review_id, file_path, line_number, category) JOIN origins USING (review_id, file_path, line_number, category)
+        UNION ALL
+        SELECT review_id, floor((row_number() OVER (PARTITION BY review_id ORDER BY idx) - 1) / {_PAGE}), 1, idx,
+          concat_ws('|', idx, file_path, line_number, source, category, severity, title, description, coalesce(suggestion, '-')) FROM located
+        UNION ALL
+        SELECT review_id, floor((row_number() OVER (PARTITION BY review_id ORDER BY idx) - 1) / {_PAGE}), 2, idx, concat_ws('|', idx, reason)
+        FROM located WHERE reason IS NOT NULL""",
+    "sheets": """SELECT review_id, page, coalesce(string_agg(entry, ';' ORDER BY place) FILTER (WHERE kind = 0), '') AS findings,
+          coalesce(string_agg(entry, ';' ORDER BY place) FILTER (WHERE kind = 1), '') AS originals,
+          coalesce(string_agg(entry, ';' ORDER BY place) FILTER (WHERE kind = 2), '') AS rejected FROM listed GROUP BY review_id, page""",
+    "reviews": """SELECT review_id, CASE WHEN review_id % 7 = 2 THEN 'failed' ELSE 'completed' END AS static_analysis,
+          CASE WHEN review_id % 5 = 1 THEN 'failed' WHEN review_id % 5 = 3 THEN 'disabled' ELSE 'completed' END AS ai_analysis
+        FROM (SELECT DISTINCT review_id FROM changed_files)"""}
+
+
 @query("report_documents", "OP-F5", headline=True, sql=oracle(
-    """SELECT j.review_id, CAST(coalesce(p.page, 0) AS BIGINT) AS page, CAST(coalesce(t.total, 0) AS BIGINT) AS total_findings,
-         coalesce(p.findings, '') AS findings, CAST(coalesce(x.rejected, 0) AS BIGINT) AS rejected
-       FROM (SELECT DISTINCT review_id FROM changed_files) j
-       LEFT JOIN (SELECT review_id, count(*) AS total FROM merged GROUP BY review_id) t ON t.review_id = j.review_id
-       LEFT JOIN (SELECT review_id, page, string_agg(file_path || ':' || CAST(line_number AS VARCHAR) || ':' || category || ':' || title, ';' ORDER BY rn) AS findings
-                  FROM (SELECT *, floor((rn - 1) / 7) AS page FROM (SELECT *, row_number() OVER (PARTITION BY review_id
-                        ORDER BY file_path, line_number, category) AS rn FROM merged)) GROUP BY review_id, page) p ON p.review_id = j.review_id
-       LEFT JOIN (SELECT review_id, count(*) AS rejected FROM located WHERE reason IS NOT NULL GROUP BY review_id) x ON x.review_id = j.review_id""",
-    **_LOC))
+    """SELECT r.review_id, CAST(coalesce(s.page, 0) AS BIGINT) AS page, CAST(coalesce(t.total, 0) AS BIGINT) AS total_findings, coalesce(t.high, 0) AS high,
+         coalesce(t.medium, 0) AS medium, coalesce(t.low, 0) AS low, r.static_analysis, r.ai_analysis,
+         CASE WHEN static_analysis = 'failed' OR ai_analysis = 'failed' THEN 'failed' ELSE 'completed' END AS status,
+         concat_ws(',', CASE WHEN static_analysis = 'failed' THEN 'static_analysis=static_analysis_failed' END,
+                   CASE WHEN ai_analysis = 'failed' THEN 'ai_analysis=ai_analysis_failed' END) AS errors,
+         coalesce(s.findings, '') AS findings, coalesce(s.originals, '') AS originals, coalesce(s.rejected, '') AS rejected
+       FROM reviews r LEFT JOIN sheets s ON s.review_id = r.review_id
+       LEFT JOIN (SELECT review_id, count(*) AS total, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+                    count(*) FILTER (WHERE severity = 'low') AS low FROM merged GROUP BY review_id) t ON t.review_id = r.review_id""", **_DOCUMENT))
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = stored(validated(spark, sf_dir), "validated")
-    jobs = view(spark, sf_dir, "changed_files").select("review_id").distinct().withColumn("status", F.lit("completed"))
-    # A small page here, so that most reviews need several.
-    reports = R.build_reports(jobs, R.merge_findings(E.accepted(checked)), E.rejected(checked), page_size=7)
-    text = F.transform("findings", lambda f: F.concat_ws(
-        ":", f["file_path"], f["line_number"].cast("string"), f["category"], f["title"]))
-    return reports.select("review_id", "page", F.col("summary.total_findings").alias("total_findings"),
-                          F.array_join(text, ";").alias("findings"), "rejected")
+    checked = stored(validated(spark, sf_dir).select("review_id", "idx", *FINDING_COLUMNS, "reason"), "validated")
+    review = F.col("review_id")
+    states = view(spark, sf_dir, "changed_files").select("review_id").distinct().select(
+        "review_id", F.when(review % 7 == 2, "failed").otherwise("completed").alias("static_analysis"),
+        F.when(review % 5 == 1, "failed").when(review % 5 == 3, "disabled").otherwise("completed").alias("ai_analysis"))
+    broken = (F.col("static_analysis") == "failed") | (F.col("ai_analysis") == "failed")
+    jobs = states.select("review_id", F.when(broken, "failed").otherwise("completed").alias("status"))
+    reports = R.build_reports(jobs, checked, states, page_size=_PAGE)
+    text = lambda entry, *names: F.concat_ws("|", *[F.coalesce(entry[n].cast("string"), F.lit("-")) for n in names])
+    joined = lambda column, entry: F.array_join(F.transform(column, entry), ";")
+    return reports.select(
+        "review_id", "page", *[F.col(f"summary.{n}").alias(n) for n in ("total_findings", "high", "medium", "low")], "analysis.*", "status",
+        F.concat_ws(",", F.transform(F.map_entries("component_errors"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("errors"),
+        joined("findings", lambda e: F.concat_ws("|", text(e, *FINDING_COLUMNS), F.concat_ws(",", F.transform(e["original_indices"], lambda i: i.cast("string"))),
+                                                 F.concat_ws("+", e["sources"]))).alias("findings"),
+        joined("original_findings", lambda e: text(e, "index", *FINDING_COLUMNS)).alias("originals"),
+        joined("rejected_findings", lambda e: text(e, "index", "reason")).alias("rejected"))
+
+
+_COMPONENTS = """SELECT l.review_id, b.began, min(epoch_us(l.ts)) FILTER (WHERE stage = 'static_completed') AS s, min(epoch_us(l.ts)) FILTER (WHERE stage = 'ai_completed') AS a
+    FROM stage_log l JOIN (SELECT review_id, max(epoch_us(ts)) AS began FROM stage_log WHERE stage = 'started' GROUP BY 1) b ON b.review_id = l.review_id AND epoch_us(l.ts) >= b.began
+    GROUP BY ALL"""
 
 
 @query("report_measurements", "OP-F6", sql=oracle(
     """SELECT j.id AS review_id, (epoch_us(j.started_at) - epoch_us(j.created_at)) / 1000000.0::DOUBLE AS queue_wait_seconds,
+         CASE WHEN c.s >= c.began THEN (c.s - c.began) / 1000000.0::DOUBLE END AS static_analysis_seconds,
+         CASE WHEN c.a >= c.s THEN (c.a - c.s) / 1000000.0::DOUBLE END AS ai_analysis_seconds,
          (epoch_us(j.completed_at) - epoch_us(j.created_at)) / 1000000.0::DOUBLE AS job_to_report_seconds,
          coalesce(f.static_findings, 0) AS static_findings, coalesce(f.ai_findings, 0) AS ai_findings
-       FROM review_jobs j LEFT JOIN (SELECT review_id, count(*) FILTER (WHERE source <> 'ai') AS static_findings,
-         count(*) FILTER (WHERE source = 'ai') AS ai_findings FROM raw_findings GROUP BY review_id) f ON f.review_id = j.id"""))
+       FROM review_jobs j LEFT JOIN components c ON c.review_id = j.id LEFT JOIN (SELECT review_id, count(*) FILTER (WHERE source <> 'ai') AS static_findings,
+         count(*) FILTER (WHERE source = 'ai') AS ai_findings FROM raw_findings GROUP BY review_id) f ON f.review_id = j.id""", components=_COMPONENTS))
 def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = view(spark, sf_dir, "review_jobs").select(
         F.col("id").alias("review_id"), "created_at", "started_at", F.col("completed_at").alias("reported_at"))
-    return R.measurements(jobs, view(spark, sf_dir, "raw_findings"))
+    return R.measurements(jobs, view(spark, sf_dir, "raw_findings"), H.component_seconds(view(spark, sf_dir, "stage_log")))
 
 
 # --- publication ----------------------------------------------------------------------------

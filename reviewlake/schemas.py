@@ -75,6 +75,7 @@ CASE_LABELS = T.StructType([
 SOURCES = ("ruff", "bandit", "ai")
 SEVERITIES = ("high", "medium", "low")  # most severe first
 JOB_STATUSES = ("queued", "processing", "completed", "failed", "superseded")
+TOKEN_COUNTERS = ("prompt_tokens", "candidate_tokens", "thought_tokens", "total_tokens")
 TERMINAL_STATUSES = ("completed", "failed", "superseded")
 
 # Length caps of a strict finding.

@@ -54,6 +54,11 @@ class Files:
         self._fs.delete(draft, False)
         return False
 
+    def move(self, source: str, target: str) -> None:
+        self._fs.mkdirs(self._path(target).getParent())
+        if not self._fs.rename(self._path(source), self._path(target)):
+            raise OSError(f"{source} could not be moved to {target}")
+
     def delete(self, names: Iterable[str]) -> None:
         for name in names:
             self._fs.delete(self._path(name), True)
