@@ -36,7 +36,7 @@ def brute_suffix(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 4])
+@pytest.mark.parametrize("batches", [1, 2, 4, 8])
 def test_suffix_dedup(docs, rows, empty, batches):
     found = suffix_dedup.digest(suffix_dedup.removed_spans(docs, batches=batches)).collect()
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
@@ -58,6 +58,53 @@ def test_suffix_dedup_of_cut_passages(spark):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_suffix(data)
 
 
+def removed(found):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(found).collect())
+
+
+def test_suffix_dedup_over_many_blocks(spark, monkeypatch):
+    """One passage between other words in every text: its edges are one anchor each, in more windows than a block holds."""
+    monkeypatch.setattr(suffix_dedup, "_WINDOWS", 300)
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(40))
+    data = []
+    for i in range(120):
+        begin, end = rng.randint(0, 60), rng.randint(0, 60)
+        data.append((i, " ".join(word() for _ in range(12)) + passage[begin:len(passage) - end] + " ".join(word() for _ in range(12))))
+    frame = spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)
+    assert removed(suffix_dedup.removed_spans(frame)) == brute_suffix(data)
+
+
+def test_suffix_dedup_tells_texts_under_one_id_apart(spark):
+    """Two texts of equal checksum under one id, and thousands of rows without an id."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    other = passage + " and a tail"
+    wanted, unlike = suffix_dedup.text_tag(other.encode()), None
+    body = "".join(rng.choice("ijklmnop ") for _ in range(390))
+    for k in range(1 << 26):
+        if suffix_dedup.text_tag(f"{body}{k}".encode()) == wanted:
+            unlike = f"{body}{k}"
+            break
+    data = [(1, passage), (2, other), (2, unlike)]
+    found = removed(suffix_dedup.removed_spans(spark.createDataFrame(data, "doc_id bigint, text string")))
+    assert found == brute_suffix(data) and found[(2, len(unlike), 0, 0, hashlib.sha256(unlike.encode()).hexdigest())] == 1
+    nameless = [(None, passage[:150] + f" row {i} " + "".join(rng.choice("qrstuv ") for _ in range(120))) for i in range(3000)]
+    nameless += [(5, nameless[7][1]), (6, passage), *[(None, passage)] * 40]
+    got = removed(suffix_dedup.removed_spans(spark.createDataFrame(nameless, "doc_id bigint, text string").repartition(8)))
+    assert got == brute_suffix(nameless)
+
+
+def test_suffix_batches_grow_with_the_text(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, "x" * 1000) for i in range(64)], "doc bigint, text string")
+    assert suffix_dedup._sizes(frame, None)[1] == 4 and suffix_dedup._sizes(frame, 8)[1] == 8
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1000)
+    parts, batches = suffix_dedup._sizes(frame, None)
+    assert parts == 64 and batches == 32  # whatever the session's number of partitions
+
+
 def test_suffix_dedup_keeps_spans_that_agree_in_32_bits_only(spark):
     """Different spans around one anchor gram whose span hashes have the same upper half."""
     halves = [("15f5875cb631429da0a6b31c79856f94587d63d42aebf0bb40ad5e75028b", "b564729f0b11a097e1b2e6f12369d22e1c7a8eb83cb88ac68094f6d5a563"),
@@ -72,7 +119,7 @@ def test_suffix_dedup_keeps_spans_that_agree_in_32_bits_only(spark):
 
 def test_suffix_scan_asks_both_fingerprints(spark):
     place = 1 << suffix_dedup._TAG
-    rows = [(0, 0, 5, 9, doc, place, second) for doc, second in ((1, 7), (2, 8), (3, 7))]
+    rows = [(0, 0, 5, 9, doc, 11, place, second) for doc, second in ((1, 7), (2, 8), (3, 7))]
     found = suffix_dedup._merge_scan(spark.createDataFrame(rows, suffix_dedup._ROWS), 2, False).collect()
     assert sorted((r.doc, r.b) for r in found if r.kind == 0) == [(1, 7), (2, 8)]
     assert [r.doc for r in found if r.kind == 1] == [3]
