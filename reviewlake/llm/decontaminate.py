@@ -13,7 +13,6 @@ documents never move. More items mean more blocks, and each block is one more na
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,9 @@ from .common import filter_rows, id_and_text, map_arrow, map_partition, plain_wo
 
 WINDOW = 10
 SHINGLE = 5
-BLOCK_WORDS = 2_000_000  # words of the items sent to the tasks at once: about 200 MB as an index, at most
+# Words of the items sent to the tasks at once. As flat arrays and a vocabulary they take 60 to 200 MB in a worker,
+# the more the fewer words repeat.
+BLOCK_WORDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -44,31 +45,69 @@ def shingle_codes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Windows:
-    """Vocabulary and windows of one block of items, and their shingles by length."""
+    """Vocabulary and distinct windows of one block of items in flat arrays, and their shingles by length."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        self.window, self.shingle = window, shingle
+        rows, owners = [np.empty((0, window), np.int32)], [np.empty(0, np.int64)]
+        names = sorted({item for item, _ in items if item is not None})
+        self.names = np.array(names, np.int64)
+        number = {item: i for i, item in enumerate(names)}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words((text or "").encode())]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owner = owners[tuple(ids[at:at + window])]
-                if item is not None:
-                    owner.add(item)
-        self.windows = [np.array(w, np.int32) for w in owners]
-        self.owners = [sorted(x) for x in owners.values()]
-        self.codes = [shingle_codes(w, min(shingle, len(w))) for w in self.windows]
-        self.sizes = [min(shingle, len(w)) for w in self.windows]
-        self.by_size = {s: np.unique(np.concatenate([c for c, n in zip(self.codes, self.sizes) if n == s])) for s in set(self.sizes)}
-        self.prefix: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Choose each window's rarest shingle; ``counts`` are over all documents, by (length, code)."""
-        chosen: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for w, (codes, size) in enumerate(zip(self.codes, self.sizes)):
-            offset = min(range(len(codes)), key=lambda i: (counts.get((size, int(codes[i])), 0), int(codes[i]), i))
-            chosen[size][int(codes[offset])].append((offset, w))
-        self.prefix = {size: (np.array(sorted(x), np.uint64), [x[c] for c in sorted(x)]) for size, x in chosen.items()}
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words((text or "").encode())], np.int32)
+            if len(ids):
+                cut = np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else \
+                    np.append(ids, np.full(window - len(ids), -1, np.int32))[None, :]
+                rows.append(cut)
+                owners.append(np.full(len(cut), number.get(item, -1), np.int64))
+        every, owner = np.ascontiguousarray(np.concatenate(rows)), np.concatenate(owners)
+        _, first, which = np.unique(every.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+        self.words = every[first]
+        self.lengths = (self.words >= 0).sum(axis=1).astype(np.int32)
+        pairs = np.unique(np.stack([which, owner])[:, owner >= 0], axis=1)
+        self.owner_of, self.owner_first = pairs[1].astype(np.int32), np.searchsorted(pairs[0], np.arange(len(self.words) + 1))
+        self.sizes = np.minimum(self.lengths, shingle)
+        self.by_size = {int(s): np.unique(np.concatenate([c[ok] for c, ok in self._shingles(int(s))])) for s in np.unique(self.sizes)}
+        self.prefix: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def _shingles(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each offset: the codes of the windows of this shingle length there, and which windows reach so far."""
+        mine = self.words[self.sizes == size]
+        lengths = self.lengths[self.sizes == size]
+        for offset in range(int(lengths.max()) - size + 1):
+            code = np.zeros(len(mine), np.uint64)
+            for k in range(size):
+                code += (mine[:, offset + k].astype(np.int64) + 1).astype(np.uint64) * _MIX[k]
+                code ^= code >> np.uint64(29)
+                code *= np.uint64(0xBF58476D1CE4E5B9)
+            yield code, offset + size <= lengths
+
+    def order(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Choose each window's rarest shingle; ``counts`` holds codes, ascending, and their numbers over all documents, by length."""
+        self.prefix = {}
+        for size in self.by_size:
+            codes, numbers = counts.get(size, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+            best: tuple[np.ndarray, ...] | None = None
+            for offset, (code, reaches) in enumerate(self._shingles(size)):
+                at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+                n = np.where(codes[at] == code, numbers[at], 0) if len(codes) else np.zeros(len(code), np.int64)
+                if best is None:
+                    best = n, code, np.zeros(len(code), np.int8)
+                else:  # of equally rare ones the least code, then the first
+                    better = reaches & ((n < best[0]) | (n == best[0]) & (code < best[1]))
+                    best = tuple(np.where(better, new, old) for new, old in zip((n, code, np.int8(offset)), best))
+            order = np.argsort(best[1], kind="stable")
+            code = best[1][order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            users = np.flatnonzero(self.sizes == size)[order].astype(np.int32)
+            self.prefix[size] = code[first], np.append(first, len(code)), best[2][order], users
+
+    def owners(self, window: int) -> list[int]:
+        return self.names[self.owner_of[self.owner_first[window]:self.owner_first[window + 1]]].tolist()
 
     def word_ids(self, text: bytes) -> np.ndarray:
         words = plain_words(text)
@@ -96,11 +135,12 @@ class Windows:
 
     def find(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(start, window) of every occurrence."""
-        for size, (codes, users) in self.prefix.items():
+        for size, (codes, first, offsets, users) in self.prefix.items():
             for at, which in zip(*(x.tolist() for x in self.places(ids, size, codes))):
-                for offset, w in users[which]:
-                    start, words = at - offset, self.windows[w]
-                    if start >= 0 and start + len(words) <= len(ids) and np.array_equal(ids[start:start + len(words)], words):
+                for user in range(first[which], first[which + 1]):
+                    w = int(users[user])
+                    start, n = at - int(offsets[user]), int(self.lengths[w])
+                    if start >= 0 and start + n <= len(ids) and np.array_equal(ids[start:start + n], self.words[w, :n]):
                         yield start, w
 
 
@@ -114,7 +154,7 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int | Non
         yield [(r[0], r[1]) for r in mine.collect()]
 
 
-def _rarity(docs: DataFrame, shared: object) -> dict[tuple[int, int], int]:
+def _rarity(docs: DataFrame, shared: object) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Occurrences of the block's shingles in all documents; at most one row per item shingle comes back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
@@ -131,8 +171,14 @@ def _rarity(docs: DataFrame, shared: object) -> dict[tuple[int, int], int]:
             at = np.flatnonzero(n)
             yield {"size": np.full(len(at), size, np.int32), "code": windows.by_size[size][at].view(np.int64), "n": n[at]}
 
-    rows = map_partition(docs, count, "size int, code bigint, n bigint").groupBy("size", "code").agg(F.sum("n").alias("n")).collect()
-    return {(r["size"], r["code"] % 2**64): r["n"] for r in rows}
+    rows = map_partition(docs, count, "size int, code bigint, n bigint").groupBy("size", "code").agg(F.sum("n").alias("n")).toArrow()
+    sizes, codes, n = (rows.column(k).to_numpy() for k in ("size", "code", "n"))
+    out = {}
+    for size in np.unique(sizes).tolist():
+        mine = codes[sizes == size].view(np.uint64)
+        order = np.argsort(mine)
+        out[size] = mine[order], n[sizes == size][order]
+    return out
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -149,7 +195,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     frame = base.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("runs"), F.lit(None).cast("array<bigint>").alias("items"))
     for items_block in _blocks(id_and_text(items, item_col, item_text_col), block_words):
         windows = Windows(items_block, window, shingle)
-        if not windows.windows:
+        if not len(windows):
             continue
         windows.order(_rarity(base, spark.sparkContext.broadcast(windows)))
         frame = _mark(frame, spark.sparkContext.broadcast(windows))
@@ -182,8 +228,8 @@ def _mark(frame: DataFrame, shared: object) -> DataFrame:
             places: dict[int, int] = {}
             owners: set[int] = set()
             for start, w in windows.find(windows.word_ids(text)):
-                places[start] = max(places.get(start, 0), start + len(windows.windows[w]) - 1)
-                owners.update(windows.owners[w])
+                places[start] = max(places.get(start, 0), start + int(windows.lengths[w]) - 1)
+                owners.update(windows.owners(w))
             if places:
                 runs[i] = (runs[i] or []) + [x for pair in sorted(places.items()) for x in pair]
                 items[i] = (items[i] or []) + sorted(owners)
@@ -206,7 +252,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     base = docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     for items_block in _blocks(id_and_text(items, item_col, item_text_col), block_words):
         windows = Windows(items_block, window, shingle)
-        if not windows.windows:
+        if not len(windows):
             continue
         windows.order(_rarity(base, spark.sparkContext.broadcast(windows)))
         kept = filter_rows(kept, _Clean(spark.sparkContext.broadcast(windows), place))

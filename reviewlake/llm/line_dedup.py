@@ -5,8 +5,8 @@ of the site. Lines above a ratio are boilerplate and go from all pages of that s
 
 Lines are counted as 128 hash bits per (site, line), combined before the shuffle, so a line on a third of
 all pages is one row per task. Only lines that pass the ratio are kept: a site has at most
-(mean lines of a page / ratio) of them, and they travel as one row per site to its pages. The joins are
-on the site with plain equality, so the engine splits a hot site or broadcasts a small side by size.
+(mean lines of a page / ratio) of them, one row per site in a written table. By that table's size the
+engine broadcasts it, and the pages are not moved, or moves both sides and splits a hot site's pages.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.sources.folders import stored
+
 RATIO = 0.1
 MIN_PAGES = 5  # a line must also stand on this many pages: a site of two pages has no boilerplate
 
@@ -39,13 +41,18 @@ def split_pages(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     Lines without a visible character are neither counted nor dropped. ``site`` must not be null; see
     the callers for what stands in for a null. Null ``lines`` give null ``kept`` and 0 dropped.
     """
-    found = boilerplate(pages.select("site", "lines"), ratio, min_pages)
+    # A written table has a known size: a small one is broadcast and the pages stay where they are.
+    found = stored(boilerplate(pages.select("site", "lines"), ratio, min_pages), "boilerplate")
     none = F.array().cast("array<struct<a: bigint, b: bigint>>")
     joined = pages.join(found, "site", "left").withColumn("boilerplate", F.coalesce("boilerplate", none))
+    # First hashes are intersected by hashing, so a page costs its lines plus the site's boilerplate, not their product;
+    # what is left is compared on both hashes.
+    firsts = F.array_intersect(F.transform("lines", lambda x: _key(x)["a"]), F.transform("boilerplate", lambda k: k["a"]))
+    joined = joined.withColumn("hits", firsts).withColumn("boilerplate", F.filter("boilerplate", lambda k: F.array_contains("hits", k["a"])))
     kept = F.when(F.size("boilerplate") == 0, F.col("lines")).otherwise(
         F.filter("lines", lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains("boilerplate", _key(x))))
     return (joined.withColumn("kept", kept)
-            .withColumn("n_dropped", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("bigint")).drop("boilerplate"))
+            .withColumn("n_dropped", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("bigint")).drop("boilerplate", "hits"))
 
 
 def dedup_documents(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO,

@@ -152,3 +152,30 @@ def test_spans_of_many_broken_copies_do_not_overlap():
 
 def test_a_stray_opening_piece_does_not_hide_a_chain():
     assert licenses.chain_spans([(0, 0, 5), (25, 5, 8), (42, 13, 7)], 20, 0.75) == [(25, 48, 0.75)]
+
+
+def test_index_of_many_items_is_small():
+    """A block at its limit: every word distinct, the most an index can hold, and what it finds."""
+    import pickle
+    import tracemalloc
+
+    n = decontaminate.BLOCK_WORDS
+    items = [(i, " ".join(f"w{k}" for k in range(i * 1000, i * 1000 + 1000))) for i in range(n // 1000)]
+    tracemalloc.start()
+    windows = decontaminate.Windows(items, decontaminate.WINDOW, decontaminate.SHINGLE)
+    windows.order({})
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(windows) == (n // 1000) * 991
+    assert held < 300 << 20 and len(pickle.dumps(windows, 5)) < 200 << 20
+    text = " ".join(f"w{k}" for k in range(5995, 6020)).encode()
+    assert sorted(start for start, _ in windows.find(windows.word_ids(text))) == list(range(5, 16))
+
+
+def test_two_blocks_of_items(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{k}" for k in rng.integers(0, 50_000, 1000)) for _ in range(2000)]  # two million words
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(texts[i * 97].split()[i:i + 30])) for i in range(20)] + [(99, " ".join(texts[5].split()[:9]))], "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_hit, r.item_ids) for r in decontaminate.find_contamination(docs, items).collect()}
+    assert found == {**{i: (30, [i * 97]) for i in range(20)}, 99: (0, [])}
