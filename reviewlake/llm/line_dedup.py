@@ -5,8 +5,8 @@ of the site. Lines above a ratio are boilerplate and go from all pages of that s
 
 Lines are counted as 128 hash bits per (site, line), combined before the shuffle, so a line on a third of
 all pages is one row per task. Only lines that pass the ratio are kept: a site has at most
-(mean lines of a page / ratio) of them, one row per site in a written table. By that table's size the
-engine broadcasts it, and the pages are not moved, or moves both sides and splits a hot site's pages.
+(mean lines of a page / ratio) of them, one row per site in a written table. Up to ``MOST_KEYS`` lines in all they are broadcast, and
+the pages are not moved; beyond, both sides are and the engine splits a hot site's pages.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from reviewlake.sources.folders import stored
 
 RATIO = 0.1
+MOST_KEYS = 1_000_000  # boilerplate lines of all sites that may be broadcast: 16 bytes each
 MIN_PAGES = 5  # a line must also stand on this many pages: a site of two pages has no boilerplate
 
 
@@ -41,8 +42,10 @@ def split_pages(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     Lines without a visible character are neither counted nor dropped. ``site`` must not be null; see
     the callers for what stands in for a null. Null ``lines`` give null ``kept`` and 0 dropped.
     """
-    # A written table has a known size: a small one is broadcast and the pages stay where they are.
+    # Where all boilerplate is small, checked on the written table, it goes to the pages and they stay where they are.
     found = stored(boilerplate(pages.select("site", "lines"), ratio, min_pages), "boilerplate")
+    keys = found.agg(F.coalesce(F.sum(F.size("boilerplate")), F.lit(0))).first()[0]
+    found = F.broadcast(found) if keys <= MOST_KEYS else found
     none = F.array().cast("array<struct<a: bigint, b: bigint>>")
     joined = pages.join(found, "site", "left").withColumn("boilerplate", F.coalesce("boilerplate", none))
     # First hashes are intersected by hashing, so a page costs its lines plus the site's boilerplate, not their product;

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow, ship, texts
+from .common import give_back, id_and_text, map_arrow, ship, texts
 from .tokens import tokenizer
 
 LENGTH = 2048
@@ -122,18 +122,20 @@ def pack_documents(docs: DataFrame, tokenizer_name: str = "byte_bpe_50k.json", e
 
     ``sequence_id`` is the group in the upper bits and the number inside the group below. A sequence
     shorter than ``length`` is a power of two long and needs no padding. Null texts are empty and give
-    the end id alone; null ids stay; repeated rows are packed each; an empty table gives no rows.
+    the end id alone; null ids stay; repeated rows are packed each; an empty table gives no rows. A row's group
+    is drawn from its id, its ids and its number in the input. Files give the same numbers to a repeated task;
+    what comes out of a shuffle should be written first, as the pipeline does.
     """
     spark = docs.sparkSession
-    base = id_and_text(docs, id_col, text_col)
+    base = id_and_text(docs, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
     groups = max(1, -(-base.count() // group))
     end = np.array([end_id], "<u4").tobytes()
     width = id_width(tokenizer_name, end_id)
 
     def tokens(batch: pa.RecordBatch) -> dict[str, object]:
         coded = [x + end for x in tokenizer(tokenizer_name).encode(texts(batch.column(1)))]
-        # Ids travel in as few bytes as the vocabulary allows; the group is drawn from the row, so equal ids spread as well.
-        seeds = [zlib.crc32(x, i) for i, x in enumerate(coded)]
+        # Ids travel in as few bytes as the vocabulary allows; the group is drawn from the row's id, content and stored number.
+        seeds = [zlib.crc32(x, i & 0xFFFFFFFF) for i, x in zip(batch.column("number").to_pylist(), coded)]
         doc = batch.column(0).fill_null(-1).to_numpy().astype(np.uint64)
         mixed = (doc + np.array(seeds, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
         return {"part": (mixed % np.uint64(groups)).astype(np.int32), "doc_id": batch.column(0), "order": mixed.astype(np.int64),
@@ -155,7 +157,10 @@ def pack_documents(docs: DataFrame, tokenizer_name: str = "byte_bpe_50k.json", e
                     column.append(value)
                 kept.append(piece.astype(np.int32) if with_ids else None)
                 offset += size
-        return pa.table({**{k: pa.array(v, pa.int64()) for k, v in rows.items()}, "ids": pa.array(kept, pa.list_(pa.int32()))})
+        packed = pa.table({**{k: pa.array(v, pa.int64()) for k, v in rows.items()}, "ids": pa.array(kept, pa.list_(pa.int32()))})
+        del rows, kept, ids, table
+        give_back()  # the next group comes to the same worker
+        return packed
 
     ship(spark)
     dealt = map_arrow(base, tokens, "part int, doc_id bigint, order bigint, ids binary")

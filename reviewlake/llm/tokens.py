@@ -29,7 +29,7 @@ PIECES = {
     "byte_bpe_50k.json": re.compile(rf" ?{_LETTERS}| ?{_MARKS}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"),
 }
 _ONE_CUT = re.compile(rf" ?[{_LETTER}]+|[ ]?[{_MARK}]+")
-MOST_PIECES = 300_000  # pieces in the table before it starts anew: below 80 MB
+MOST_PIECES = 60_000  # pieces in each of a table's two generations: below 30 MB together
 _LONGEST = 256  # longer pieces are encoded each time
 
 
@@ -40,8 +40,38 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class PieceTokenizer(dict):
-    """piece -> ids as little-endian unsigned 32-bit integers; ``encode`` gives those of whole texts."""
+class Pieces(dict):
+    """piece -> ids as little-endian unsigned 32-bit integers, in two generations.
+
+    When the young one is full it becomes the old one, and what is asked for again comes back from there.
+    So the table stays small and what is frequent stays in it.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.code(piece)
+        if len(piece) <= _LONGEST:
+            if len(self) >= MOST_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def code(self, piece: str) -> bytes:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+class PieceTokenizer(Pieces):
+    """A tokenizer by its cut pieces; ``encode`` gives the ids of whole texts."""
 
     def __init__(self, name: str, special_as_text: bool = False):
         super().__init__()
@@ -57,20 +87,14 @@ class PieceTokenizer(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
+    def code(self, piece: str) -> bytes:
         if not _ONE_CUT.fullmatch(piece) or len(piece) > _LONGEST:
-            ids = self.whole(piece)
-        else:
-            spelt = piece.lower() if self.lower else piece
-            spelt = spelt.replace(" ", self.alphabet[32]) if spelt.isascii() else spelt.encode().decode("latin-1").translate(self.table)
-            ids = struct.pack(f"<{len(tokens := self.merge(spelt))}I", *[t.id for t in tokens])
-        if len(piece) <= _LONGEST:
-            self[piece] = ids
-        return ids
+            return self.whole(piece)
+        spelt = piece.lower() if self.lower else piece
+        spelt = spelt.replace(" ", self.alphabet[32]) if spelt.isascii() else spelt.encode().decode("latin-1").translate(self.table)
+        return struct.pack(f"<{len(tokens := self.merge(spelt))}I", *[t.id for t in tokens])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > MOST_PIECES:
-            self.clear()
         get, out = self.__getitem__, []
         for data in texts:
             text = data.decode("utf-8", "replace")
@@ -91,8 +115,8 @@ class PieceTokenizer(dict):
 _UNIT = re.compile(r" +[^ ]*")
 
 
-class PieceModel(dict):
-    """A sentencepiece model, unit by unit: unit -> ids as little-endian unsigned 32-bit integers.
+class PieceModel(Pieces):
+    """A sentencepiece model, unit by unit.
 
     No entry of these vocabularies goes on over a blank after another character, so a text's ids are the
     joined ids of its units: blanks and what follows up to the next blank. The model puts a blank first.
@@ -110,16 +134,11 @@ class PieceModel(dict):
         self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(blank, " ").encode() for i, p in enumerate(pieces)]
         self.blank = struct.pack("<I", self.model.piece_to_id(blank))
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.blank if unit == " " else np.array(self.model.encode(unit[1:], num_threads=1), "<u4").tobytes()
-        if len(unit) <= _LONGEST:
-            self[unit] = ids
-        return ids
+    def code(self, unit: str) -> bytes:
+        return self.blank if unit == " " else np.array(self.model.encode(unit[1:], num_threads=1), "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts that already begin with the model's blank."""
-        if len(self) > MOST_PIECES:
-            self.clear()
         get = self.__getitem__
         return [b"".join(map(get, _UNIT.findall(data.decode("utf-8", "replace")))) for data in texts]
 
@@ -148,4 +167,4 @@ def piece_model(name: str) -> PieceModel:
 def forget() -> None:
     """Empty the tables of pieces. Workers outlive their tasks; what a table holds must not add up over them."""
     for table in (*_LOADED.values(), *_MODELS.values()):
-        table.clear()
+        table.forget()
