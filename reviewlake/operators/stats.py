@@ -18,8 +18,11 @@ CELLS, SMALL = 1024, 20_000
 
 
 def _bucket(value: Column) -> Column:
-    """A step function that never falls: fine near zero, coarse far out, bounded in number."""
-    size = F.floor(F.log2(F.abs(value) + 1.0) * STEPS)
+    """A step function that never falls: ``STEPS`` steps per factor of two at any size, bounded in number.
+
+    1075 is the number of halvings from 1 to the least positive double.
+    """
+    size = F.when(value == 0, 0).otherwise(F.floor((F.log2(F.abs(value)) + 1075) * STEPS) + 1)
     return F.when(value < 0, -size).otherwise(size)
 
 

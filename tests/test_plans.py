@@ -13,7 +13,7 @@ from reviewlake.operators import serving as J
 BATCH = {name: query for name, query in load_all().items() if not name.startswith("stream_")}
 PYTHON = {"finding_pluggable_reviewer"}
 # Its windows run over a histogram of a bounded number of buckets, not over rows.
-UNPARTITIONED = {"stats_nearest_rank_overall"}
+UNPARTITIONED = {"stats_nearest_rank_overall", "stats_nearest_rank_epoch"}
 
 
 def plan_of(frame):

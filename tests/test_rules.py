@@ -76,14 +76,19 @@ def test_missing_secret_fails_closed(spark):
         I.verify_signature(spark.range(1), "")
 
 
-@pytest.mark.parametrize("signature", ["", "sha1=abc", "sha256=" + "0" * 64])
-def test_bad_signature_comes_before_parsing(spark, signature):
-    assert dispositions(deliver(spark, ("d", "pull_request", b"not json", signature))) == ["unauthenticated"]
+def test_signature_is_the_first_check(spark):
+    """Every other fault may be there too: without the right header the answer is the same."""
+    whole, torn = json.dumps(PAYLOAD).encode(), b'{"action":'
+    digest = hmac.new(b"s", whole, hashlib.sha256).hexdigest()
+    headers = [digest, f"SHA256={digest}", f"sha256={digest.upper()}", f"sha256={digest[:-1]}", f" sha256={digest}"]
+    rows = [(f"d{i}", "pull_request", body, header) for i, (header, body) in enumerate((h, b) for h in headers for b in (whole, torn))]
+    rows += [("", "", torn, "none"), ("ok", "pull_request", whole, f"sha256={digest}")]
+    assert dispositions(deliver(spark, *rows)) == ["unauthenticated"] * (len(rows) - 1) + ["accepted"]
 
 
-@pytest.mark.parametrize("body", [b"not json", b"[]", b"null", b"\xff\xfe", b'{"a":1,"a":2}', b"5"])
-def test_body_must_be_an_object(spark, body):
-    assert dispositions(deliver(spark, ("d", "ping", body, None))) == ["invalid"]
+@pytest.mark.parametrize("body", [b"", b"   ", b"[{}]", b'"text"', b"true", b"17", b"{}{}", b'{"x": }', b'{"k": 0, "k": 0}', "{\"é\": 1}".encode("latin-1"), b"\xef\xbb\xbf{}"])
+def test_only_one_utf8_object_is_a_body(spark, body):
+    assert dispositions(deliver(spark, ("d", "ping", body, None), ("e", "ping", b" \n{ }\t", None))) == ["invalid", "ignored"]
 
 
 @pytest.mark.parametrize("change", [
@@ -159,13 +164,22 @@ def test_strict_items(spark, change, general, ai):
         assert direct.ok == ai
 
 
-@pytest.mark.parametrize("raw,finish,error", [
-    ('{"findings":[]}', "STOP", None), ("not json", "STOP", "invalid_json"), ("[]", "STOP", "invalid_response_envelope"),
-    ("{}", "STOP", "invalid_response_envelope"), ('{"findings":{}}', "STOP", "invalid_response_envelope"),
-    ('{"findings":[],"x":1}', "STOP", "invalid_response_envelope"), ('{"findings":[]}', "MAX_TOKENS", "ai_incomplete_response"),
-    ('```json\n{"findings": []}\n```', "STOP", "invalid_json"), ('{"findings":[' + ",".join(["1"] * 51) + "]}", "STOP", "ai_invalid_response"),
-    ('{"findings":[]}', None, "ai_incomplete_response")])
-def test_envelopes(spark, raw, finish, error):
+def answer(*items, **more):
+    return json.dumps({"findings": list(items), **more})
+
+
+@pytest.mark.parametrize("raw, finish, error", [
+    # how the call ended is asked before anything is read
+    *[(text, end, "ai_incomplete_response") for text in (answer(1), "no json") for end in ("SAFETY", "stop", "", None)],
+    # what is around the one object makes it no JSON
+    *[(text, "STOP", "invalid_json") for text in ("", answer() + ";", "Sure: " + answer(), "```\n" + answer() + "\n```", answer()[:-1], "{'findings': []}")],
+    # one key, and that a list
+    *[(text, "STOP", "invalid_response_envelope") for text in (json.dumps([answer()]), "null", "3", '"findings"', answer(note=None), '{"Findings": []}',
+                                                                *[json.dumps({"findings": x}) for x in (None, 0, "[]", {"0": {}})])],
+    # any items will do here, as long as there are not too many
+    *[(answer(*[None] * n), "STOP", None if n <= Limits().max_findings_per_response else "ai_invalid_response")
+      for n in (0, 1, Limits().max_findings_per_response, Limits().max_findings_per_response + 1, 400)]])
+def test_what_an_answer_must_look_like(spark, raw, finish, error):
     row = spark.createDataFrame([(raw, finish)], "raw string, finish_reason string")
     assert E.check_envelope(row).first().envelope_error == error
 
@@ -182,19 +196,47 @@ def test_one_bad_item_voids_the_answer(spark, second, error):
 
 def test_report_without_findings(spark):
     jobs = spark.createDataFrame([(1, "completed"), (2, "failed")], "review_id long, status string")
-    none = findings(spark, {}).limit(0)
-    reports = R.build_reports(jobs, R.merge_findings(none), E.rejected(E.validate_findings(none, lookup(spark)))).collect()
-    assert sorted((r.review_id, r.page, r.summary.total_findings, r.findings) for r in reports) == [(1, 0, 0, []), (2, 0, 0, [])]
+    none = E.validate_findings(findings(spark, {}).limit(0), lookup(spark))
+    states = spark.createDataFrame([(1, "completed", "disabled"), (2, "failed", "failed")], "review_id long, static_analysis string, ai_analysis string")
+    reports = R.build_reports(jobs, none, states).collect()
+    assert sorted((r.review_id, r.page, r.summary.total_findings, r.findings, r.original_findings, r.rejected_findings) for r in reports) == [
+        (1, 0, 0, [], [], []), (2, 0, 0, [], [], [])]
+    assert {r.review_id: r.component_errors for r in reports} == {
+        1: {}, 2: {"static_analysis": "static_analysis_failed", "ai_analysis": "ai_analysis_failed"}}
+
+
+def test_reports_hold_everything_in_pages(spark):
+    """Many rows merged into one finding, refused ones between them, and pages far smaller than the lists."""
+    rows = [{"line_number": 5, "title": f"t{i:03}", "source": "ai" if i % 2 else "ruff"} for i in range(25)]
+    rows += [{"line_number": 3, "category": f"c{i % 4}", "severity": "high"} for i in range(8)] + [{"line_number": 2}, {"line_number": 99}, {"file_path": "no.py"}]
+    checked = E.validate_findings(findings(spark, *rows), lookup(spark))
+    jobs = spark.createDataFrame([(1, "completed")], "review_id long, status string")
+    pages = sorted(R.build_reports(jobs, checked, page_size=4).collect(), key=lambda r: r.page)
+    assert [r.page for r in pages] == list(range(9)) and all(max(map(len, (r.findings, r.original_findings, r.rejected_findings))) <= 4 for r in pages)
+    originals = [f for r in pages for f in r.original_findings]
+    assert [f["index"] for f in originals] == list(range(36)) and [f["title"] for f in originals[:25]] == [f"t{i:03}" for i in range(25)]
+    assert [(f["index"], f["reason"]) for r in pages for f in r.rejected_findings] == [(33, "outside_reviewed_changes"), (34, "invalid_line_number"), (35, "unknown_file")]
+    found = [f for r in pages for f in r.findings]
+    assert [(f.line_number, f.category, f.part) for f in found] == [(3, f"c{i}", 0) for i in range(4)] + [(5, "k", i) for i in range(7)]
+    indices = {}
+    for f in found:
+        indices.setdefault((f.line_number, f.category), []).extend(f.original_indices)
+    assert indices == {(5, "k"): list(range(25)), **{(3, f"c{i}"): [25 + i, 29 + i] for i in range(4)}}
+    assert {f.title for f in found if f.line_number == 5} == {"t001"} and all(f.sources == ["ai", "ruff"] for f in found if f.line_number == 5)
+    assert (pages[0].summary.total_findings, pages[0].summary.high, pages[0].summary.medium) == (5, 4, 1)
 
 
 # --- publication ---------------------------------------------------------------------------------------
 
-def test_batches_of_fifty_and_no_repeats(spark):
-    rows = G.annotations(R.merge_findings(findings(spark, *[{"line_number": i + 1} for i in range(101)])))
-    sizes = G.batch(rows).groupBy("batch").count().orderBy("batch").collect()
-    assert [r["count"] for r in sizes] == [50, 50, 1]
-    assert G.pending_annotations(rows, rows).count() == 0
-    assert G.pending_annotations(rows, rows.filter("start_line <= 100")).count() == 1
+@pytest.mark.parametrize("found, size", [(1, 50), (50, 50), (51, 50), (137, 50), (9, 4)])
+def test_batches_are_full_but_the_last(spark, found, size):
+    rows = G.annotations(R.merge_findings(findings(spark, *[{"line_number": 3 * i + 1, "category": f"c{i % 2}"} for i in range(found)])))
+    batched = G.batch(rows, size).orderBy("batch", "position").collect()
+    assert [(r.batch, r.position) for r in batched] == [(i // size, i % size) for i in range(found)]
+    assert [r.start_line for r in batched] == sorted(3 * i + 1 for i in range(found))
+    published = rows.filter("start_line % 2 = 0")  # what came through before the connection broke
+    left = G.pending_annotations(rows, published)
+    assert {r.start_line for r in left.collect()} == {3 * i + 1 for i in range(found) if (3 * i + 1) % 2}
 
 
 def test_bad_location_blocks_the_review(spark):
