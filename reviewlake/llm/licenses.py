@@ -1,6 +1,7 @@
 """License scan: a generalised suffix automaton of licence wording, matching statistics, chained spans.
 
-The words of all templates form one automaton, built once on the driver (a few hundred states).
+The words of all templates, notices, paragraphs and whole licences, form one automaton, built once on the
+driver (some thousand states).
 A task streams the words of each text through it; the length of the longest template piece that
 ends at each word is its matching statistic. Maximal pieces of at least ``min_match`` words are
 chained per template in text order, and a chain that covers enough of a template is a span of it.
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_arrow, plain_words, texts
+from .license_texts import LICENSES
 
 # Phrases whose every place counts, with their labels.
 BASE_PHRASES = {
@@ -43,6 +45,15 @@ TEMPLATES = {
 }
 
 
+def every_template() -> list[tuple[str, str]]:
+    """(label, wording): the short notices, each paragraph of the licences, and each licence as a whole."""
+    found = list(TEMPLATES.items())
+    for label, paragraphs in LICENSES.items():
+        found += [(label, p) for p in paragraphs]
+        found += [(label, " ".join(paragraphs))] if len(paragraphs) > 2 else []
+    return found
+
+
 class SuffixAutomaton:
     """Generalised suffix automaton over word ids; ``ends`` lists where each state's string ends in the templates."""
 
@@ -158,7 +169,7 @@ def chain_spans(pieces: list[tuple[int, int, int]], size: int, coverage: float)
 class Scanner:
     """Vocabulary, base phrases and automaton; made on the driver, used in the tasks."""
 
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str], min_match: int, coverage: float):
+    def __init__(self, templates: dict[str, str] | list[tuple[str, str]], phrases: dict[str, str], min_match: int, coverage: float):
         self.min_match, self.coverage = min_match, coverage
         self.vocabulary: dict[bytes, int] = {}
 
@@ -166,8 +177,9 @@ class Scanner:
             return [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words(phrase.encode())]
 
         self.phrases = [(ids(p), label) for p, label in phrases.items()]
-        self.labels = list(templates)
-        self.sequences = [ids(x) for x in templates.values()]
+        pairs = list(templates.items() if isinstance(templates, dict) else templates)
+        self.labels = [label for label, _ in pairs]
+        self.sequences = [ids(x) for _, x in pairs]
         self.automaton = SuffixAutomaton(self.sequences)
 
     def scan(self, text: bytes) -> dict[str, object]:
@@ -212,7 +224,7 @@ SCHEMA = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last
           "score double, spans array<struct<label: string, first_word: bigint, last_word: bigint, coverage: double>>")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES,
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
                   phrases: dict[str, str] = BASE_PHRASES, min_match: int = 4, coverage: float = 0.75) -> DataFrame:
     """One row per input row: base phrase counts, labels, score and template spans (words from 0).
 
@@ -220,7 +232,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null, repeated rows give repeated rows, an empty table an empty result; other columns are not read.
     The score is 1 with a base phrase, else the best covered share of a template.
     """
-    scanner = Scanner(templates, phrases, min_match, coverage)
+    scanner = Scanner(every_template() if templates is None else templates, phrases, min_match, coverage)
 
     def step(batch: pa.RecordBatch) -> dict[str, object]:
         rows = [scanner.scan(t) for t in texts(batch.column(1))]
