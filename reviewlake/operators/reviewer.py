@@ -78,7 +78,7 @@ def review_files(files: DataFrame, factory: Callable[[], Review], review: str =
             rows = pa.concat_tables([found, empty]).combine_chunks()
             at = rows["file"].to_pylist()
             columns = [batch.column(review).take(rows["file"].combine_chunks()), batch.column("filename").take(rows["file"].combine_chunks()),
-                       pa.array(["failed" if i in failures else "reviewed" for i in at]), pa.array([failures.get(i, (None, False))[0] for i in at], pa.string()),
+                       pa.array(["failed" if i in failures else "reviewed" for i in at], pa.string()), pa.array([failures.get(i, (None, False))[0] for i in at], pa.string()),
                        pa.array([failures.get(i, (None, False))[1] for i in at], pa.bool_()), *[rows[n].combine_chunks() for n in _FINDINGS.names[1:]]]
             yield pa.record_batch(columns, names=schema.names)
 

@@ -206,10 +206,23 @@ def _with(sql: str, tables: dict[str, str], ctes: dict[str, str] | None = None)
     return Template(text).safe_substitute(tables)
 
 
+# Views written as tables beforehand, by folder and name; only the benchmark does that.
+_PREPARED: dict[tuple[str, str], str] = {}
+
+
+def prepare(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write every view as a table, so that what is timed afterwards starts from tables of this domain."""
+    for name in VIEWS:
+        view(spark, sf_dir, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        _PREPARED[sf_dir, name] = f"{folder}/{name}"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view, or a plain table, as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if (sf_dir, name) in _PREPARED:
+        return spark.read.parquet(_PREPARED[sf_dir, name])
     paths = {table: f"parquet.`{sf_dir}/{table}.parquet`" for table in TABLES}
     return spark.sql(_with(f"SELECT * FROM {name}", paths))
 

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 # know the data size; skewed join partitions are split even if that costs a shuffle.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.shuffle.partitions": "2000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

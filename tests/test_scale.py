@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,8 +75,8 @@ def failing_reviewer():
         if any("crash" in t for t in texts):
             raise ReviewFailure("ai_http_503", retryable=True)
         hit = [i for i, t in enumerate(texts) if "bug" in t]
-        found = lines.take(hit).to_pylist()
-        return _FINDINGS.empty_table().from_pylist([dict(file=f["file"], file_path=f["filename"], line_number=f["line"], source="ai", category="bug",
+        found = lines.take(pa.array(hit, pa.int64())).to_pylist()
+        return pa.Table.from_pylist([dict(file=f["file"], file_path=f["filename"], line_number=f["line"], source="ai", category="bug",
                                                          severity="low", title="t", description=f["text"], suggestion=None) for f in found], schema=_FINDINGS)
     return review
 
