@@ -24,7 +24,7 @@ from .common import filter_rows, id_and_text, map_arrow, map_partition, plain_wo
 
 WINDOW = 10
 SHINGLE = 5
-# Words of the items sent to the tasks at once. As flat arrays and a vocabulary they take 60 to 200 MB in a worker,
+# Words of the items sent to the tasks at once. As flat arrays and a vocabulary they take 80 to 180 MB in a worker,
 # the more the fewer words repeat.
 BLOCK_WORDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)

@@ -156,7 +156,9 @@ def fold() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, vectors: object, target: str = "quality", rows: int = TRAIN_ROWS) -> Network:
     """Fit on at most ``rows`` labelled documents of the training fold, chosen by a hash of the id.
 
-    ``docs`` has doc_id and text, ``vectors`` is the broadcast table of :func:`word_vectors`.
+    ``docs`` has doc_id and text, ``vectors`` is the broadcast table of :func:`word_vectors`. An id with
+    several texts gives them all; beyond 2 * ``rows`` texts, which only repeated ids can make, those of the
+    highest ids are left out.
     """
     wanted = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{target}`").cast("int").alias("y"))
               .filter("doc_id is not null and y is not null").filter(fold() != 1).groupBy("doc_id").agg(F.max("y").alias("y"))

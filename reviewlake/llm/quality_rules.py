@@ -181,7 +181,11 @@ def _flat(nodes: list[list[float]], roots: list[int], depth: int, start: float)
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text",
           rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on at most ``rows`` labelled documents, chosen by a hash of the id; without labels every margin is good."""
+    """Fit on at most ``rows`` labelled ids, chosen by a hash of the id; without labels every margin is good.
+
+    An id with several texts gives them all, but of ids that repeat so often that there are more than
+    2 * ``rows`` texts, those of the highest ids are left out: the fit never takes more than that.
+    """
     wanted = (labels.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{target}`").cast("int").alias("y"))
               .filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
               .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows))

@@ -269,3 +269,13 @@ def test_lines_of_hot_site_are_combined_before_the_shuffle(spark):
     assert "partial_count" in plan and "CartesianProduct" not in plan
     done = line_dedup.dedup_documents(docs)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in done and "Exchange hashpartitioning" not in done  # the pages are not moved
+
+
+def test_pages_of_any_size(spark):
+    assert line_dedup.dedup_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    same = "<p>home</p><p>imprint</p>"
+    rows = [(i, "http://a.example/x", f"{same}<p>{'word ' * 40_000 if i == 3 else i}</p>", "clash", 1) for i in range(8)]
+    rows += [(20, None, same, None, 2), (21, "http://a.example", None, None, 3), (22, "http://a.example", "", None, 4), (None, "nothing", "<p>x", None, 5)]
+    found = {r.page_id: r for r in line_dedup.dedup_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, site string, kept int")).collect()}
+    assert all((found[i].n_lines, found[i].n_dropped) == (3, 2) for i in range(8)) and len(found[3].text) == 5 * 40_000 - 1
+    assert [(found[i].n_lines, found[i].n_dropped, found[i].text) for i in (20, 21, 22, None)] == [(2, 0, "home\nimprint"), (0, 0, ""), (0, 0, ""), (1, 0, "x")]
