@@ -147,6 +147,7 @@ def render(step: Step, text: str, first: bool, last: bool) -> str:
 
 
 _SORTED = "conv_id bigint, turn bigint, role string, text string"
+RANGE_TURNS = 100_000  # turns a range should hold, since a task holds one
 SCHEMA = "conv_id bigint, turn bigint, position bigint, role string, new_role string, action string, inserted string, price bigint, rendered string"
 
 
@@ -161,7 +162,8 @@ def _ranges(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "chat"))
     order = ["conv_id", "turn", "tie"]
-    return (df.withColumn("tie", F.xxhash64("role", "text")).repartitionByRange(*order).sortWithinPartitions(*order, "role", "text")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_TURNS))
+    return (df.withColumn("tie", F.xxhash64("role", "text")).repartitionByRange(ranges, *order).sortWithinPartitions(*order, "role", "text")
             .select("conv_id", "turn", "role", "text").checkpoint())
 
 
