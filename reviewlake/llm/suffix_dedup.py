@@ -21,6 +21,7 @@ and then the span's fingerprints (two of 64 bits, both must agree for a match):
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -310,6 +311,12 @@ def _sizes(docs: DataFrame, batches: int | None) -> tuple[int, int]:
     return parts, batches or max(BATCHES, 1 << (total // BATCH_BYTES).bit_length())
 
 
+def _release(docs: DataFrame) -> None:
+    """A level is a table now. Spark deletes the files of the shuffle that made it once the driver has seen that nothing uses it."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _family(docs: DataFrame, parts: int, batches: int) -> tuple[DataFrame, DataFrame]:
     """(bytes to remove as doc, name, tag, start, end; spans to compare as doc, name, g, place) over all batches."""
     if batches & (batches - 1) or batches < 1:
@@ -331,6 +338,8 @@ def _family(docs: DataFrame, parts: int, batches: int) -> tuple[DataFrame, DataF
             rows = rows.union(levels.pop()[1])
         # Levels that stay are scanned as well. They are larger, so they are not written again.
         scanned = stored(_merge_scan(rows, parts, i == batches - 1), "suffix-level")
+        del rows
+        _release(docs)
         gone = scanned.filter("kind = 1").select("doc", "name", F.col("g").alias("tag"), F.col("place").alias("start"), F.col("b").alias("end"))
         removed = gone if removed is None else removed.union(gone)
         if levels:
