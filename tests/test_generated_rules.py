@@ -48,10 +48,22 @@ def expected_reason(row):
     return None if row["line_number"] in added else "outside_reviewed_changes"
 
 
+def runs(lines):
+    """The lines as sorted runs of neighbours."""
+    out = []
+    for line in sorted(lines or ()):
+        if out and out[-1][1] == line - 1:
+            out[-1] = (out[-1][0], line)
+        else:
+            out.append((line, line))
+    return out
+
+
 @pytest.fixture(scope="module")
 def checked(spark):
     rows = drawn_findings(random.Random(31), 600)
-    files = spark.createDataFrame([(r, f, n, a) for (r, f), (n, a) in FILES.items()], "review_id long, file_path string, line_count int, added array<long>")
+    files = spark.createDataFrame([(r, f, n, runs(a)) for (r, f), (n, a) in FILES.items()],
+                                  "review_id long, file_path string, line_count int, added array<struct<first: long, last: long>>")
     return rows, E.validate_findings(spark.createDataFrame(rows, REVIEW_FINDING), files).cache()
 
 
