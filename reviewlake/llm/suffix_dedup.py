@@ -21,7 +21,6 @@ and then the span's fingerprints (two of 64 bits, both must agree for a match):
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -31,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.sources.folders import stored
+from reviewlake.sources.folders import shared_folder, stored
+from reviewlake.sources.manifest import Files
 
 from .common import id_and_text, map_arrow, map_partition, texts
 
@@ -311,10 +311,13 @@ def _sizes(docs: DataFrame, batches: int | None) -> tuple[int, int]:
     return parts, batches or max(BATCHES, 1 << (total // BATCH_BYTES).bit_length())
 
 
-def _release(docs: DataFrame) -> None:
-    """A level is a table now. Spark deletes the files of the shuffle that made it once the driver has seen that nothing uses it."""
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+def _write_level(rows: DataFrame) -> tuple[str, DataFrame]:
+    """A level as a table whose suffixes (kind 0) and matches (kind 1) lie in folders of their own."""
+    spark = rows.sparkSession
+    path = shared_folder(spark, "suffix-level")
+    rows.write.partitionBy("kind").parquet(path)
+    columns = [c.split()[0] for c in _ROWS.split(", ")]
+    return path, spark.read.schema(_ROWS).parquet(path).select(*columns)
 
 
 def _family(docs: DataFrame, parts: int, batches: int) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +327,7 @@ def _family(docs: DataFrame, parts: int, batches: int) -> tuple[DataFrame, DataF
     bounds = _bounds(docs, parts)
     cuts = docs.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     cuts = [int(c) for c in cuts]
-    levels: list[tuple[int, DataFrame]] = []  # (batches inside, table), largest first
+    levels: list[tuple[int, DataFrame, str]] = []  # (batches inside, suffixes, folder), largest first
     removed: DataFrame | None = None
     for i in range(batches):
         mine = docs
@@ -332,20 +335,22 @@ def _family(docs: DataFrame, parts: int, batches: int) -> tuple[DataFrame, DataF
             mine = mine.filter(F.col("doc") > cuts[i - 1])
         if i < len(cuts):
             mine = mine.filter(F.col("doc") <= cuts[i])
-        rows, size = _batch_array(mine, bounds, parts), 1
+        rows, size, merged = _batch_array(mine, bounds, parts), 1, []
         while levels and levels[-1][0] == size:  # equal sizes merge; the others are larger
             size *= 2
-            rows = rows.union(levels.pop()[1])
+            _, level, folder = levels.pop()
+            rows = rows.union(level)
+            merged.append(folder)
         # Levels that stay are scanned as well. They are larger, so they are not written again.
-        scanned = stored(_merge_scan(rows, parts, i == batches - 1), "suffix-level")
-        del rows
-        _release(docs)
+        path, scanned = _write_level(_merge_scan(rows, parts, i == batches - 1))
         gone = scanned.filter("kind = 1").select("doc", "name", F.col("g").alias("tag"), F.col("place").alias("start"), F.col("b").alias("end"))
         removed = gone if removed is None else removed.union(gone)
         if levels:
-            removed = removed.union(_against(scanned, [t for _, t in levels], i))
+            removed = removed.union(stored(_against(scanned, [t for _, t, _ in levels], i), "suffix-matches"))
+        for folder in merged:  # their suffixes are in the new level; their matches stay
+            Files(docs.sparkSession, folder).delete(["kind=0"])
         part = _part_column(bounds)
-        levels.append((size, scanned.filter("kind = 0").withColumn("part", part("g", "f"))))
+        levels.append((size, scanned.filter("kind = 0").withColumn("part", part("g", "f")), path))
         if not cuts:
             break
     return removed, levels[-1][1].select("doc", "name", "g", "place")
