@@ -17,7 +17,7 @@ import time
 from reviewlake.plans.fixtures import prepare, view
 from reviewlake.plans.registry import load_all
 from reviewlake.session import local_session
-from reviewlake.sources.folders import shared_folder
+from reviewlake.sources.folders import release, shared_folder
 
 
 def main() -> None:
@@ -47,6 +47,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "views": "inside" if inside else "prepared", "reviews_with_findings": findings,
         "reviews_summarised_per_minute": round(findings / report * 60) if report else None}))
+    release(spark)
     spark.stop()
 
 

@@ -44,6 +44,11 @@ def _remove(spark: SparkSession, application: str) -> None:
             folder.getFileSystem(configuration).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the folders made so far; for a program that stops its session before it ends."""
+    _remove(spark, spark.sparkContext.applicationId)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows as a written table in the shared folder.
 
