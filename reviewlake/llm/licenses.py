@@ -27,6 +27,13 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
+# The contract's phrases of op1_license_scan; its query takes these as base phrases.
+CONTRACT_PHRASES = {
+    "under the mit license": "mit",
+    "apache license version 2": "apache-2",
+    "cc by nc": "cc-by-nc",
+}
+
 # Opening or notice wording of public licences, by label.
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -166,10 +173,22 @@ def chain_spans(pieces: list[tuple[int, int, int]], size: int, coverage: float)
     return spans
 
 
+def places_of(ids: np.ndarray, phrase: list[int]) -> np.ndarray:
+    """First words of all places where the phrase's words stand one after the other."""
+    n = len(ids) - len(phrase) + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    hit = ids[:n] == phrase[0]
+    for k in range(1, len(phrase)):
+        hit &= ids[k:n + k] == phrase[k]
+    return np.flatnonzero(hit)
+
+
 class Scanner:
     """Vocabulary, base phrases and automaton; made on the driver, used in the tasks."""
 
-    def __init__(self, templates: dict[str, str] | list[tuple[str, str]], phrases: dict[str, str], min_match: int, coverage: float):
+    def __init__(self, templates: dict[str, str] | list[tuple[str, str]], phrases: dict[str, str], min_match: int, coverage: float,
+                 names: dict[str, str] | None = None):
         self.min_match, self.coverage = min_match, coverage
         self.vocabulary: dict[bytes, int] = {}
 
@@ -177,6 +196,7 @@ class Scanner:
             return [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words(phrase.encode())]
 
         self.phrases = [(ids(p), label) for p, label in phrases.items()]
+        self.names = [(ids(p), label) for p, label in (names or {}).items()]
         pairs = list(templates.items() if isinstance(templates, dict) else templates)
         self.labels = [label for label, _ in pairs]
         self.sequences = [ids(x) for _, x in pairs]
@@ -187,21 +207,17 @@ class Scanner:
         ids = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int32, len(words))
         starts, base = [], set()
         for phrase, label in self.phrases:
-            n = len(phrase)
-            if len(ids) < n:
-                continue
-            hit = ids[:len(ids) - n + 1] == phrase[0]
-            for k in range(1, n):
-                hit &= ids[k:len(ids) - n + 1 + k] == phrase[k]
-            if hit.any():
-                starts.append(np.flatnonzero(hit))
+            at = places_of(ids, phrase)
+            if len(at):
+                starts.append(at)
                 base.add(label)
+        named = base | {label for phrase, label in self.names if len(places_of(ids, phrase))}
         spans = self.spans(ids)
         places = np.concatenate(starts) if starts else np.empty(0, np.int64)
-        found = base | {label for label, *_ in spans}
+        found = named | {label for label, *_ in spans}
         return {"n_words": len(words), "n_base": len(places), "first_word": int(places.min()) if len(places) else None,
                 "last_word": int(places.max()) if len(places) else None, "base_labels": ",".join(sorted(base)),
-                "labels": ",".join(sorted(found)), "score": max([1.0 if base else 0.0, *(s for *_, s in spans)]),
+                "labels": ",".join(sorted(found)), "score": max([1.0 if named else 0.0, *(s for *_, s in spans)]),
                 "spans": [dict(zip(("label", "first_word", "last_word", "coverage"), s)) for s in spans]}
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
@@ -225,14 +241,16 @@ SCHEMA = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
-                  phrases: dict[str, str] = BASE_PHRASES, min_match: int = 4, coverage: float = 0.75) -> DataFrame:
+                  phrases: dict[str, str] = BASE_PHRASES, min_match: int = 4, coverage: float = 0.75,
+                  names: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: base phrase counts, labels, score and template spans (words from 0).
 
     Null or empty text: zero words, null first and last word, empty labels, score 0. A null id stays
     null, repeated rows give repeated rows, an empty table an empty result; other columns are not read.
-    The score is 1 with a base phrase, else the best covered share of a template.
+    ``names`` are further phrases that give their label, but are no base places.
+    The score is 1 with a base phrase or a name, else the best covered share of a template.
     """
-    scanner = Scanner(every_template() if templates is None else templates, phrases, min_match, coverage)
+    scanner = Scanner(every_template() if templates is None else templates, phrases, min_match, coverage, names)
 
     def step(batch: pa.RecordBatch) -> dict[str, object]:
         rows = [scanner.scan(t) for t in texts(batch.column(1))]

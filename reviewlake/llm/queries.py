@@ -15,7 +15,8 @@ Run = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    # The names the operator knows stay labels; base places are those of the contract's phrases.
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), phrases=licenses.CONTRACT_PHRASES, names=licenses.BASE_PHRASES)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from reviewlake.llm import decontaminate, licenses, quality_rules
+from reviewlake.llm import decontaminate, licenses, quality_rules, queries
 
 from .conftest import plain_words, solid_words
 
@@ -107,6 +107,14 @@ def test_wording_that_is_often_met(text, label):
     assert licenses.Scanner(licenses.every_template(), licenses.BASE_PHRASES, 4, 0.75).scan(b"use of the file and the software as is")["labels"] == ""
 
 
+def test_license_query_counts_the_phrases_of_the_contract(spark, tmp_path):
+    texts = ["Released under the MIT License.", "The MIT License", "Under, the MIT-license; under the mit license", "apache license version 2 under the", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in queries.op1_license_scan(spark, str(tmp_path)).collect()}
+    got = [(found[i].n_words, found[i].n_base, found[i].first_word, found[i].last_word, found[i].base_labels, found[i].labels) for i in range(len(texts))]
+    assert got == [(5, 1, 1, 1, "mit", "mit"), (3, 0, None, None, "", "mit"), (8, 2, 0, 4, "mit", "mit"), (6, 1, 0, 0, "apache-2", "apache-2"), (0, 0, None, None, "", "")]
+
+
 def test_license_empty(empty):
     assert licenses.scan_licenses(empty).count() == 0
 
