@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.binding import let
 from ..operators import ingest as I
 from ..operators.skew import next_within
 from ..schemas import JOB_STATUSES
 from ..sources.readers import read_deliveries
 from ..sources.manifest import BucketTable
-from .overdue import OVERDUE, OverdueProcessor
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -165,11 +165,25 @@ def track_heads(heads_path: str, events_path: str, run: str = "main", buckets: i
 def overdue_stream(log: DataFrame, limit_seconds: int, delay: str = "1 hour", review: str = "review_id") -> DataFrame:
     """Starts that saw no further record of their job within the limit.
 
-    ``log``: job, ``ts`` (TIMESTAMP), ``seq``, ``started``. Needs the RocksDB state store.
+    ``log``: job, ``ts`` (TIMESTAMP), ``seq``, ``started``. Time is cut into slices as long as the limit, so
+    what follows a start within it lies in the start's slice or the next one. Each two neighbouring slices are
+    a window; when the watermark has passed one, the starts of its first slice are settled. A group holds the
+    records of two slices of one job. Best with the RocksDB state store, which keeps groups off the heap.
     """
-    return (log.withWatermark("ts", delay).groupBy(review).transformWithStateInPandas(
-        statefulProcessor=OverdueProcessor(limit_seconds), outputStructType=OVERDUE, outputMode="Append",
-        timeMode="EventTime"))
+    limit = limit_seconds * 1_000_000
+    record = F.struct(F.unix_micros("ts").alias("at"), "seq", "started")
+    slices = F.window("ts", f"{2 * limit_seconds} seconds", f"{limit_seconds} seconds")
+    groups = log.withWatermark("ts", delay).groupBy(review, slices).agg(F.collect_list(record).alias("records"))
+    middle = F.unix_micros("window.start") + limit
+
+    def late(records: Column) -> Column:
+        judged = F.transform(records, lambda r, i: F.struct(r["at"].alias("at"), (
+            r["started"] & (r["at"] < middle) & F.coalesce(F.get(records, i + 1)["at"] > r["at"] + limit, F.lit(True))).alias("late")))
+        return F.filter(judged, lambda r: r["late"])
+
+    starts = groups.select(review, F.explode(let(F.sort_array("records"), late)).alias("start"))
+    return starts.select(review, F.timestamp_micros("start.at").alias("started_at"),
+                         F.timestamp_micros(F.col("start.at") + limit).alias("overdue_at"))
 
 
 def overdue_batch(log: DataFrame, limit_seconds: int, review: str = "review_id") -> DataFrame:

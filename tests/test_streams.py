@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.plans import stream_queries
 from reviewlake.sources.manifest import MOST_FOLDERS, BucketTable
 from reviewlake.streaming import streams as M
 
@@ -83,6 +84,34 @@ def test_overdue_does_not_depend_on_micro_batches(spark, tmp_path):
     assert got == want and want
 
 
+def test_overdue_stream_takes_any_job_key_and_starts_at_one_time(spark, tmp_path):
+    rows = [("a", 0, 1, True), ("a", 60, 2, True), ("a", 121, 3, False), (None, 5, 4, True), ("b", 59, 5, True), ("b", 59, 6, True), ("b", 59, 7, False)]
+    log = spark.createDataFrame([*rows, ("end", 10_000, 9, False)], "job string, at long, seq long, started boolean").select(
+        "job", F.timestamp_seconds("at").alias("ts"), "seq", "started")
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    log.coalesce(1).write.parquet(source)
+    M.replay(M.overdue_stream(folder_stream(spark, source, log.schema), 60, "2000 seconds", "job"), out, str(tmp_path / "state"))
+    found = spark.read.parquet(out).select("job", F.unix_seconds("started_at"), F.unix_seconds("overdue_at")).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([("a", 60, 120), (None, 5, 65)], key=str)
+
+
+def test_a_load_is_written_and_read_as_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 20)
+    rows = spark.range(200).withColumn("load", F.col("id") % 2)
+    path, files = str(tmp_path / "in"), stream_queries.load_files(rows)
+    assert files == 4
+    for number in (0, 1, 7):  # the last load has no rows, and as many files
+        stream_queries.land(rows.filter(F.col("load") == number), path, files)
+    assert len(spark.read.parquet(path).inputFiles()) == 12
+    batches = {}
+
+    def note(batch, number):
+        batches[number] = (sorted(r.load for r in batch.select("load").distinct().collect()), batch.rdd.getNumPartitions())
+
+    M.replay(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path), str(tmp_path / "out"), str(tmp_path / "state"), note)
+    assert {k: loads for k, (loads, _) in batches.items()} == {0: [0], 1: [1], 2: []} and batches[0][1] > 1
+
+
 def test_minutes_equal_the_batch_form(spark, tmp_path):
     rows = spark.range(400).select(F.timestamp_seconds(F.col("id") * 7).alias("ts"),
                                    F.when(F.col("id") % 3 == 0, "completed").otherwise("failed").alias("status"),
