@@ -294,3 +294,31 @@ def test_experiment_without_completed_case(spark):
     rows = {r.experiment: r for r in K.experiment_summary(label, found, status).collect()}
     assert (rows["B"].completed_cases, rows["B"].total_cases, rows["B"].tp, rows["B"].f1) == (0, 1, None, None)
     assert (rows["A"].fn, rows["A"].precision, rows["A"].recall) == (1, None, 0.0)
+
+
+def test_summary_of_rows_is_that_of_merged_rows_and_texts_stay_behind(spark):
+    levels = ["high", "medium", "low", "odd", None]
+    rows = [(i % 3, "a.py", i % 4, "x", levels[i % 5], "ruff", f"t{i % 2}", "d", None if i % 2 else "s", i) for i in range(40)]
+    found = spark.createDataFrame(rows, "review_id long, file_path string, line_number int, category string, severity string, source string, title string, description string, suggestion string, idx long")
+    merged = R.merge_findings(found)
+    assert sorted(R.accepted_summary(found).collect()) == sorted(R.severity_summary(merged).collect())
+    rank = lambda r: (levels.index(r.severity) if r.severity in levels[:3] else 3, r.source, r.title, r.description, r.suggestion or "", r.idx)
+    for row in merged.collect():
+        best = min((r for r in found.collect() if (r.review_id, r.line_number) == (row.review_id, row.line_number)), key=rank)
+        assert (row.severity, row.title, row.suggestion) == (best.severity, best.title, best.suggestion)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan  # the representative and its order would both carry the texts
+    files = spark.createDataFrame([("a.py", 9, [(1, 3)], 0)], "file_path string, line_count int, added array<struct<first: int, last: int>>, review_id long")
+    judged = E.validate_findings(found, files).select("review_id", "idx", "reason")
+    joined = judged._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "title" not in joined and judged.filter("reason IS NULL").count() == sum(r.review_id == 0 and r.line_number > 0 and r.severity in levels[:3] for r in found.collect())
+
+
+def test_schema_test_of_typed_columns_is_that_of_the_item(spark):
+    items = ['{"file_path":"a","line_number":1,"source":"ai","category":"c","severity":"low","title":"t","description":"d","suggestion":"s"}',
+             '{"file_path":"a","line_number":1,"source":"ai","category":"c","severity":"low","title":"t","description":"d"}',
+             '{"file_path":"a","line_number":99999999999,"source":"ai","category":"c","severity":"low","title":"t","description":"d","suggestion":"s"}',
+             '{"file_path":"a","line_number":0,"source":"ai","category":"c","severity":"low","title":"t","description":"d","suggestion":"s"}', '[]', 'null']
+    rows = E.strict_schema(spark.createDataFrame([(i,) for i in items], "raw string").select(F.parse_json("raw").alias("item")))
+    found = rows.select("ai_schema_ok", E.item_ok(F.col("item")).alias("own")).collect()
+    assert [r.ai_schema_ok for r in found] == [r.own for r in found] == [True, False, True, False, False, False]
