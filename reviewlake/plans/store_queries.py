@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_folder
+from ..sources.folders import shared_folder, stored
 from ..sources.manifest import Files
 from ..sources.readers import read_cases
 from ..sources.writers import read_findings, write_findings, write_json
@@ -48,7 +48,8 @@ _ROWS = "SELECT review_id, idx, file_path, line_number, title FROM raw_findings"
         UNION ALL SELECT review_id, idx, file_path, line_number, 'again ' || title FROM ({_ROWS}) WHERE review_id % 3 = 0 AND review_id % 9 <> 0"""))
 def _replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "findings")
-    first = view(spark, sf_dir, "raw_findings").select("review_id", "idx", "file_path", "line_number", "title")
+    # All three calls read these rows; the view numbers and shuffles them, so it is evaluated once.
+    first = stored(view(spark, sf_dir, "raw_findings").select("review_id", "idx", "file_path", "line_number", "title"), "raw-findings")
     write_findings(first, first.select("review_id"), path, buckets=16)
     # Every third review is analysed again, and every ninth then has no finding; the rows handed over also hold strays.
     named = first.filter("review_id % 3 = 0").select("review_id")

@@ -4,6 +4,9 @@ Rows live in folders per bucket, written once and never changed. A manifest is a
 lists, per bucket, the folders that hold its rows, so no reader has to list what has piled up, and one
 rename makes any number of changed buckets visible together. A job that dies before that leaves folders
 nobody names. Folders a commit replaces stay until the commit after it, for readers that already planned.
+
+Keys can be removed without touching their rows: a folder of keys is named together with the number of
+row folders its bucket had by then, and a reader leaves those keys out of them until the bucket is merged.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +80,7 @@ class BucketTable:
         versions = [n for n in self.files.names("_manifest") if n.endswith(".json")]
         self.state = json.loads(self.files.read(f"_manifest/{versions[-1]}")) if versions else \
             {"version": 0, "buckets": buckets, "schema": None, "folders": {}, "old": [], "done": {}}
+        self.state.setdefault("removed", {})  # by bucket: [number of its first row folders meant, folder of keys]
         if buckets not in (None, self.state["buckets"]):
             raise ValueError(f"the table has {self.state['buckets']} buckets, not {buckets}")
         self.buckets = self.state["buckets"]
@@ -93,8 +98,30 @@ class BucketTable:
             return None
         schema = T.StructType.fromJson(self.state["schema"])
         wanted = self.state["folders"] if buckets is None else [str(b) for b in buckets if str(b) in self.state["folders"]]
-        paths = [f"{self.files.root}/{folder}" for b in wanted for folder in self.state["folders"][b]]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        removed = self._removed(wanted, schema)
+        last = max((n for b in wanted for n, _ in self.state["removed"].get(b, [])), default=0)
+        ages: dict[int, list[str]] = {}  # row folders by their place in their bucket; from the last removal on that does not matter
+        for b in wanted:
+            for n, folder in enumerate(self.state["folders"][b]):
+                ages.setdefault(min(n, last), []).append(f"{self.files.root}/{folder}")
+        if removed is None:
+            return self.spark.read.schema(schema).parquet(*ages[0]) if ages else self.spark.createDataFrame([], schema)
+        aged = [self.spark.read.schema(schema).parquet(*paths).withColumn("_age", F.lit(n)) for n, paths in ages.items() if n < last]
+        held = reduce(DataFrame.union, aged).join(removed, self.key, "left").filter(F.col("_before").isNull() | (F.col("_age") >= F.col("_before")))
+        held = held.select(*schema.names)
+        return held.union(self.spark.read.schema(schema).parquet(*ages[last])) if last in ages else held
+
+    def _removed(self, buckets: Iterable[str], schema: T.StructType) -> DataFrame | None:
+        """Removed keys, each with the number of first row folders it is gone from; None if there are none."""
+        paths: dict[int, list[str]] = {}
+        for b in buckets:
+            for n, folder in self.state["removed"].get(b, []):
+                paths.setdefault(n, []).append(f"{self.files.root}/{folder}")
+        if not paths:
+            return None
+        keys = T.StructType([schema[name] for name in self.key])
+        found = [self.spark.read.schema(keys).parquet(*p).withColumn("_before", F.lit(n)) for n, p in paths.items()]
+        return reduce(DataFrame.union, found).groupBy(*self.key).agg(F.max("_before").alias("_before"))
 
     def write(self, rows: DataFrame, purpose: str) -> list[tuple[int, str]]:
         """Write rows into new folders, one per bucket, that no manifest names yet. Spark sizes the files."""
@@ -104,13 +131,20 @@ class BucketTable:
         found = [n for n in self.files.names(name) if n.startswith(f"{BUCKET}=")]
         return [(int(n.partition("=")[2]), f"{name}/{n}") for n in found]
 
-    def commit(self, added: Iterable[tuple[int, str]], replaced: Iterable[int] = (), schema: T.StructType | None = None, **done: object) -> None:
-        """Name the new folders in one step; in ``replaced`` buckets they take the place of all others."""
+    def commit(self, added: Iterable[tuple[int, str]], replaced: Iterable[int] = (), schema: T.StructType | None = None,
+               removed: Iterable[tuple[int, str]] = (), **done: object) -> None:
+        """Name the new folders in one step; in ``replaced`` buckets they take the place of all others.
+
+        The keys in the folders ``removed`` are gone from the rows their buckets had before.
+        """
         folders = {b: list(f) for b, f in self.state["folders"].items()}
-        old = [f for b in replaced for f in folders.pop(str(b), [])]
+        gone = {b: list(f) for b, f in self.state["removed"].items()}
+        old = [f for b in replaced for f in folders.pop(str(b), []) + [f for _, f in gone.pop(str(b), [])]]
+        for b, folder in removed:
+            gone.setdefault(str(b), []).append([len(folders[str(b)]), folder])
         for b, folder in added:
             folders.setdefault(str(b), []).append(folder)
-        state = {"version": self.state["version"] + 1, "buckets": self.buckets, "folders": folders, "old": old,
+        state = {"version": self.state["version"] + 1, "buckets": self.buckets, "folders": folders, "removed": gone, "old": old,
                  "schema": json.loads(schema.json()) if schema is not None else self.state["schema"], "done": {**self.state["done"], **done}}
         if not self.files.publish(f"_manifest/{state['version']:012d}.json", json.dumps(state)):
             raise RuntimeError("another writer has changed the table")
@@ -120,4 +154,5 @@ class BucketTable:
 
     def crowded(self, buckets: Iterable[int]) -> list[int]:
         """Those of these buckets that have gathered too many folders."""
-        return [b for b in buckets if len(self.state["folders"].get(str(b), [])) >= MOST_FOLDERS]
+        held = lambda b: len(self.state["folders"].get(str(b), [])) + len(self.state["removed"].get(str(b), []))
+        return [b for b in buckets if held(b) >= MOST_FOLDERS]

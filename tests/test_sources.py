@@ -12,7 +12,7 @@ from reviewlake.operators import findings as E
 from reviewlake.schemas import DELIVERY
 from reviewlake.sources import readers, writers
 from reviewlake.sources.folders import shared_folder
-from reviewlake.sources.manifest import Files
+from reviewlake.sources.manifest import MOST_FOLDERS, BucketTable, Files
 
 
 def test_deliveries_are_read_with_the_given_schema(spark, tmp_path):
@@ -126,6 +126,30 @@ def test_emptied_buckets_lose_their_rows(spark, tmp_path):
     assert writers.read_findings(spark, path).count() == 26
 
 
+def test_replacing_writes_what_is_new_and_not_the_table(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    rows = lambda *pairs: spark.createDataFrame(pairs, "review_id long, title string")
+    many = rows(*[(i % 40, f"t{i}") for i in range(400)], (None, "nobody's"))
+    writers.write_findings(many, many, path, buckets=2)
+    data = tmp_path / "findings" / "data"
+    before = set(data.iterdir())
+    writers.write_findings(rows((3, "x"), (4, "y"), (5, "stray")), rows((3, ""), (4, ""), (None, "")), path, buckets=2)
+    assert sum(spark.read.parquet(str(folder)).count() for folder in set(data.iterdir()) - before) <= 2 + 3  # findings, names
+    want = {i: sorted(f"t{j}" for j in range(i, 400, 40)) for i in range(40)} | {3: ["x"], 4: ["y"]}
+    for k in range(12):  # further calls, some of which merge what has gathered
+        writers.write_findings(rows((k, f"again {k}"), (20, f"last {k}")), rows((k, ""), (20, ""), (30, "")), path, buckets=2)
+        want |= {k: [f"again {k}"], 20: [f"last {k}"], 30: []}
+        found = {i: [] for i in range(40)}
+        for r in writers.read_findings(spark, path).collect():
+            found[r.review_id].append(r.title)
+        assert {i: sorted(titles) for i, titles in found.items()} == want
+        state = BucketTable(spark, path, ["review_id"]).state
+        assert all(len(state[kind].get(b, [])) <= MOST_FOLDERS for kind in ("folders", "removed") for b in ("0", "1"))
+    wider = spark.createDataFrame([(1, "w", 2)], "review_id long, title string, line int")
+    writers.write_findings(wider, wider, path, buckets=2)
+    assert {r.title: r.line for r in writers.read_findings(spark, path).collect() if r.review_id in (1, 3)} == {"w": 2, "again 3": None}
+
+
 def test_only_a_missing_path_is_no_table(spark, tmp_path):
     assert writers.read_table(spark, str(tmp_path / "none")) is None
     (tmp_path / "empty").mkdir()
