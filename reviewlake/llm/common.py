@@ -44,9 +44,10 @@ def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[
             yield batch.slice(at, rows)
 
 
-def give_back() -> None:
+def give_back(keep_pieces: bool = False) -> None:
     """At a task's end: empty the shared tables and return free memory, since workers wait for the next task."""
-    tokens.forget()
+    if not keep_pieces:
+        tokens.forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -74,8 +75,13 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, object]]
     return df.mapInArrow(run, schema)
 
 
-def map_partition(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]], schema: str) -> DataFrame:
-    """Like :func:`map_arrow` for steps that keep state over the batches of a task."""
+def map_partition(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]], schema: str,
+                  keep_pieces: bool = False) -> DataFrame:
+    """Like :func:`map_arrow` for steps that keep state over the batches of a task.
+
+    With ``keep_pieces`` a worker's next task finds the table of token pieces, of bounded size, as this one left it;
+    the first task of another kind empties it.
+    """
     ship(df.sparkSession)
     fields = T.StructType.fromDDL(schema)
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in fields])
@@ -85,7 +91,7 @@ def map_partition(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Itera
             for columns in run(steps(batches)):
                 yield pa.record_batch([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
         finally:
-            give_back()
+            give_back(keep_pieces)
 
     return df.mapInArrow(go, schema)
 

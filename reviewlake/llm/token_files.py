@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from reviewlake.sources.folders import shared_folder
 
 from .common import id_and_text, map_partition, texts
-from .tokens import tokenizer
+from .tokens import TOGETHER, tokenizer
 
 BLOCK = 1024
 SEGMENT = 1 << 22
@@ -47,10 +47,13 @@ _LEAST, _MOST = 512, 57344  # bounds of a weight, of 65536
 
 
 class _Models:
-    """The models of ``n`` blocks side by side, the same for coding and decoding; all numbers fit 32 bits."""
+    """The models of ``n`` blocks side by side, the same for coding and decoding; all numbers fit 32 bits.
 
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n, dtype=np.int32)
+    Places are 64-bit integers and results go to given arrays: numpy takes and puts these without a copy.
+    """
+
+    def __init__(self, n: int, decoding: bool):
+        self.n, self.lane, self.decoding = n, np.arange(n), decoding
         self.slot, self.row, self.mixed = self.lane * _SLOTS, self.lane * (_BUCKETS + 1), self.lane * 8
         self.tables = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]  # (rank + 1) << 3 | confidence, 0 for an empty place
         self.weights = [np.full(n * 8, w, np.int32) for w in (16384, 9830)]  # chance of a hit by confidence, of 65536
@@ -59,6 +62,9 @@ class _Models:
         self.counts = np.ones(n * (_BUCKETS + 1), np.int32)
         self.counts[_BUCKETS::_BUCKETS + 1] = 0
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.hash = [np.empty(n, np.int32) for _ in range(3)]
+        self.places = [np.empty(n, np.int64) for _ in range(5)]
+        self.values = [np.empty(n, np.int32) for _ in range(13)]
         self.refresh()
 
     def refresh(self) -> None:
@@ -68,55 +74,106 @@ class _Models:
         starts = np.zeros((self.n, _BUCKETS + 1), np.int32)
         np.cumsum(share, axis=1, out=starts[:, 1:])
         self.starts = starts.ravel()
-        self.bucket_of = np.repeat(np.tile(np.arange(_BUCKETS, dtype=np.int32), self.n), share.ravel())  # 256 per block
+        if self.decoding:
+            self.bucket_of = np.repeat(np.tile(np.arange(_BUCKETS, dtype=np.int32), self.n), share.ravel())  # 256 per block
         counts -= counts >> 2
 
     def predict(self, m: int) -> None:
         """Predictions and mixture weights for the next id of the first ``m`` blocks."""
         a, b = self.last[:m], self.before[:m]
-        self.place = [self.slot[:m] + ((a * 24593 + b * 30013 + (b >> 3)) & (_SLOTS - 1)), self.slot[:m] + ((a * 24593 + (a >> 5)) & (_SLOTS - 1))]
-        self.packed = [t[p] for t, p in zip(self.tables, self.place)]
-        two, one = self.packed
-        self.guess = [two >> 3, one >> 3]  # rank + 1
-        self.sure = [self.mixed[:m] + (two & 7), self.mixed[:m] + (one & 7)]
-        self.weight = [w[s] for w, s in zip(self.weights, self.sure)]
-        first = self.weight[0] << (_CLASS_BITS - 16)
-        second = (((1 << _CLASS_BITS) - first) * (self.weight[1] >> 6)) >> 10
+        one, two, more = (h[:m] for h in self.hash)
+        two_at, one_at, two_sure, one_sure, _ = self.place = [p[:m] for p in self.places]
+        values = [v[:m] for v in self.values]
+        np.multiply(a, 24593, out=one)
+        np.multiply(b, 30013, out=two)
+        two += one
+        two += np.right_shift(b, 3, out=more)
+        one += np.right_shift(a, 5, out=more)
+        two &= _SLOTS - 1
+        one &= _SLOTS - 1
+        np.add(two, self.slot[:m], out=two_at)
+        np.add(one, self.slot[:m], out=one_at)
+        self.guess, self.sure, self.weight = values[0:2], values[2:4], values[4:6]  # rank + 1, confidence, chance of a hit
+        for k, (at, sure_at) in enumerate(((two_at, two_sure), (one_at, one_sure))):
+            packed = self.tables[k].take(at, out=self.guess[k], mode="clip")
+            np.bitwise_and(packed, 7, out=self.sure[k])
+            packed >>= 3
+            np.add(self.sure[k], self.mixed[:m], out=sure_at)
+            self.weights[k].take(sure_at, out=self.weight[k], mode="clip")
+        self.first, self.second, self.both, self.rest = values[6:10]
+        first = np.left_shift(self.weight[0], _CLASS_BITS - 16, out=self.first)
+        second = np.right_shift(self.weight[1], 6, out=self.second)
+        second *= np.subtract(1 << _CLASS_BITS, first, out=more)
+        second >>= 10
+        np.add(first, second, out=self.both)
+        np.subtract(1 << _CLASS_BITS, self.both, out=self.rest)
         same = self.guess[0] == self.guess[1]
-        self.first = first + second * same
-        self.second = second * ~same
-        self.both = first + second
-        self.rest = (1 << _CLASS_BITS) - self.both
+        first += np.multiply(second, same, out=more)
+        second -= more
 
     def interval(self, m: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of a magnitude's part of the mixture."""
-        self.at = self.row[:m] + bucket
-        low = self.rest * self.starts[self.at] >> 8
-        return self.both + low, (self.rest * self.starts[self.at + 1] >> 8) - low
+        at, (low, size) = self.place[4], (v[:m] for v in self.values[10:12])
+        np.add(self.row[:m], bucket, out=at)
+        self.starts.take(at, out=low, mode="clip")
+        at += 1
+        self.starts.take(at, out=size, mode="clip")
+        at -= 1
+        for x in (low, size):
+            x *= self.rest
+            x >>= 8
+        size -= low
+        low += self.both
+        return low, size
 
     def learn(self, m: int, rank1: np.ndarray, missed: np.ndarray) -> None:
-        """Take the coded rank + 1 into all models; :meth:`interval` was last asked for its magnitude."""
-        fresh = (rank1 << 3) | 1
+        """Take the coded rank + 1 into all models; :meth:`interval` was last asked for the magnitude of those that were missed."""
+        fresh, more = self.hash[0][:m], self.hash[1][:m]
+        np.left_shift(rank1, 3, out=fresh)
+        fresh |= 1
         for k in range(2):
             right = self.guess[k] == rank1
-            weight = self.weight[k]
-            self.weights[k][self.sure[k]] = weight + ((right * np.int32(_MOST - _LEAST) + np.int32(_LEAST) - weight) >> 5)
-            self.tables[k][self.place[k]] = np.where(right, np.minimum(self.packed[k] + 1, fresh + 3), fresh)
-        self.counts[self.at] += missed * np.int32(24)
+            weight, sure = self.weight[k], self.sure[k]
+            np.multiply(right, np.int32(_MOST - _LEAST), out=more)
+            more += np.int32(_LEAST)
+            more -= weight
+            more >>= 5
+            weight += more
+            self.weights[k][self.place[2 + k]] = weight
+            np.minimum(sure, 3, out=sure)
+            sure *= right
+            sure += fresh
+            self.tables[k][self.place[k]] = sure
+        counts = self.counts.take(self.place[4], out=more, mode="clip")
+        counts += np.multiply(missed, np.int32(24), out=fresh)
+        self.counts[self.place[4]] = counts
         self.before[:m] = self.last[:m]
         self.last[:m] = rank1
 
 
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float32))[1]  # exact below 2^24
+def _magnitude(x: np.ndarray) -> np.ndarray:
+    """Bits of a number above 0, less 1: the exponent of a float, exact below 2^24."""
+    exponent = x.astype(np.float32).view(np.int32)
+    exponent >>= 23
+    exponent -= 127
+    return exponent
+
+
+def _chosen(other: np.ndarray, missed: np.ndarray, *choices: tuple[np.ndarray, np.ndarray]) -> None:
+    """In place: ``other`` where all missed, else the value whose condition holds; at most one does. Faster than ``np.where``."""
+    other *= missed
+    for value, where in choices:
+        other += value * where
 
 
 def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """16-bit words of each block. ``ranks``: one row per block; only the last block may be shorter."""
     n, steps = ranks.shape
-    models, columns = _Models(n), np.ascontiguousarray(ranks.T, dtype=np.int32)
-    low, size = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
-    out, filled = np.zeros((n, 2 * steps + 16), np.int32), np.zeros(n, np.int64)
+    models, columns = _Models(n, False), np.array(ranks.T, dtype=np.int32, order="C")
+    width = 2 * steps + 16
+    lows, sizes = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
+    # Words, and where the next one of each block goes; equal places of all blocks lie side by side, since blocks fill alike.
+    out, ats = np.zeros(n * width, np.int32), np.arange(n)
     for i in range(steps):
         m = n if i < lengths[-1] else n - 1
         if not m:
@@ -124,29 +181,47 @@ def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         if i and i % _REFRESH == 0:
             models.refresh()
         models.predict(m)
-        rank1 = columns[i, :m] + np.int32(1)
-        bucket = _bit_length(rank1) - np.int32(1)
+        low, size, at = lows[:m], sizes[:m], ats[:m]
+        rank1 = columns[i, :m]
+        rank1 += 1
+        bucket = _magnitude(rank1)
         two = models.guess[0] == rank1
-        one = (models.guess[1] == rank1) & ~two
+        one = models.guess[1] == rank1
+        one &= ~two
         missed = ~(two | one)
         start, part = models.interval(m, bucket)
-        start = np.where(missed, start, models.first * one)
-        part = np.where(missed, part, np.where(two, models.first, models.second))
-        unit = size[:m] >> _U(_CLASS_BITS)
-        fine = (unit * part.astype(_U)) >> (bucket * missed).astype(_U)
-        new = low[:m] + unit * start.astype(_U) + fine * ((rank1 - (np.int32(1) << bucket)) * missed).astype(_U)
-        carry = np.flatnonzero(new < low[:m])
+        _chosen(start, missed, (models.first, one))
+        _chosen(part, missed, (models.first, two), (models.second, one))
+        bucket *= missed
+        size >>= _U(_CLASS_BITS)
+        new = start.astype(_U)
+        new *= size
+        size *= part.astype(_U)
+        size >>= bucket.astype(_U)
+        inside = rank1 - np.left_shift(1, bucket, out=bucket)
+        inside *= missed
+        new += size * inside.astype(_U)
+        new += low
+        carry = np.flatnonzero(new < low)
         if len(carry):
-            out[carry, filled[carry] - 1] += 1
-        low[:m], size[:m] = new, fine
-        thin = np.flatnonzero(fine < _TOP)
+            out[at[carry] - n] += 1
+        low[:] = new
+        out[at] = (new >> _U(48)).astype(np.int32)  # counts where the range is thin; elsewhere the next word takes its place
+        thin = size < _TOP
+        shift = thin.astype(_U)
+        shift <<= _U(4)
+        at += thin * n
+        low <<= shift
+        size <<= shift
+        thin = np.flatnonzero(size < _TOP)
         while len(thin):
-            out[thin, filled[thin]] = (low[thin] >> _U(48)).astype(np.int32)
-            filled[thin] += 1
+            out[at[thin]] = (low[thin] >> _U(48)).astype(np.int32)
+            at[thin] += n
             low[thin] <<= _U(16)
             size[thin] <<= _U(16)
             thin = thin[size[thin] < _TOP]
         models.learn(m, rank1, missed)
+    low, out, filled = lows, np.ascontiguousarray(out.reshape(width, n)[:int(ats.max(initial=0)) // n + 1].T), ats // n
     end = low + (_TOP - _U(1))  # one word reaches into the last range; what follows reads as zeros
     carry = np.flatnonzero(end < low)
     out[carry, filled[carry] - 1] += 1
@@ -161,16 +236,18 @@ def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
 def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
     """The ranks that :func:`code_blocks` coded, one row per block."""
     n, steps = len(words), int(lengths.max())
-    models = _Models(n)
-    table = np.zeros((n, max(map(len, words)) + 8), _U)
+    models = _Models(n, True)
+    table = np.zeros((n, max(map(len, words)) + 8), np.uint16)
     for j, w in enumerate(words):
         table[j, :len(w)] = w
-    width_of, table = table.shape[1], table.ravel()
-    at = np.arange(n) * width_of
-    code = table[at] << _U(48) | table[at + 1] << _U(32) | table[at + 2] << _U(16) | table[at + 3]
-    last = at + width_of - 1
-    at, size = at + 4, np.full(n, 2**64 - 1, _U)
+    ats, table = np.arange(n), np.ascontiguousarray(table.T).ravel()
+    codes, sizes = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
+    for _ in range(4):
+        codes <<= _U(16)
+        codes |= table[ats]
+        ats += n
     ranks = np.zeros((steps, n), np.int32)
+    cell = models.lane << 8
     for i in range(steps):
         m = n if i < lengths[-1] else n - 1
         if not m:
@@ -178,30 +255,52 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
         if i and i % _REFRESH == 0:
             models.refresh()
         models.predict(m)
-        unit = size[:m] >> _U(_CLASS_BITS)
-        target = np.minimum(code[:m] // unit, _ONE - _U(1)).astype(np.int32)
+        code, size, at = codes[:m], sizes[:m], ats[:m]
+        size >>= _U(_CLASS_BITS)
+        target = code // size
+        target = np.minimum(target, _ONE - _U(1), out=target).astype(np.int32)
         two = target < models.first
         missed = target >= models.both
-        one = ~(two | missed)
-        beyond = np.maximum(target - models.both, 0)
-        bucket = models.bucket_of[(models.lane[:m] << 8) + np.minimum((((beyond + 1) << 8) - 1) // models.rest, 255)]
+        one = two | missed
+        np.logical_not(one, out=one)
+        target -= models.both
+        np.maximum(target, 0, out=target)
+        target += 1
+        target <<= 8
+        target -= 1
+        target //= models.rest
+        np.minimum(target, 255, out=target)
+        bucket = models.bucket_of.take(target + cell[:m], mode="clip")
         start, part = models.interval(m, bucket)
-        start = np.where(missed, start, models.first * one)
-        part = np.where(missed, part, np.where(two, models.first, models.second))
-        extra = (bucket * missed).astype(_U)
-        left = code[:m] - unit * start.astype(_U)
-        fine = (unit * part.astype(_U)) >> extra
-        offset = np.minimum(left // fine, (_U(1) << extra) - _U(1))
-        code[:m], size[:m] = left - fine * offset, fine
-        thin = np.flatnonzero(fine < _TOP)
+        _chosen(start, missed, (models.first, one))
+        _chosen(part, missed, (models.first, two), (models.second, one))
+        bucket *= missed
+        extra = bucket.astype(_U)
+        code -= size * start.astype(_U)
+        size *= part.astype(_U)
+        size >>= extra
+        offset = code // size
+        np.minimum(offset, (_U(1) << extra) - _U(1), out=offset)
+        code -= size * offset
+        thin = size < _TOP
+        shift = thin.astype(_U)
+        shift <<= _U(4)
+        word = table.take(at, mode="clip").astype(_U)
+        word *= thin
+        code <<= shift
+        code |= word
+        size <<= shift
+        at += thin * n
+        thin = np.flatnonzero(size < _TOP)
         while len(thin):
-            code[thin] = code[thin] << _U(16) | table[np.minimum(at[thin], last[thin])]
-            at[thin] += 1
+            code[thin] = code[thin] << _U(16) | table.take(at[thin], mode="clip")
+            at[thin] += n
             size[thin] <<= _U(16)
             thin = thin[size[thin] < _TOP]
-        rank1 = np.where(missed, (np.int32(1) << bucket) + offset.astype(np.int32), np.where(two, models.guess[0], models.guess[1]))
-        ranks[i, :m] = rank1 - np.int32(1)
-        models.interval(m, _bit_length(rank1) - np.int32(1))
+        rank1 = np.left_shift(1, bucket, out=bucket)
+        rank1 += offset.astype(np.int32)
+        _chosen(rank1, missed, (models.guess[0], two), (models.guess[1], one))
+        np.subtract(rank1, 1, out=ranks[i, :m])
         models.learn(m, rank1, missed)
     return ranks.T
 
@@ -267,6 +366,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_name: str = "word_bp
     ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     end = np.array([end_id], "<u4").tobytes()
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+        """Some megabytes of texts at a time, so that a piece is looked up once in them."""
+        docs: list[int | None] = []
+        found: list[bytes] = []
+        size = 0
+        for batch in batches:
+            docs += batch.column(0).to_pylist()
+            found += texts(batch.column(1))
+            size += batch.column(1).nbytes
+            if size >= TOGETHER:
+                yield docs, found
+                docs, found, size = [], [], 0
+        yield docs, found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         shard, segment, pending = TaskContext.get().partitionId(), 0, 0
         held: list[int | None] = []
@@ -275,8 +388,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_name: str = "word_bp
         def flush() -> dict[str, object]:
             return {"shard": [shard], "segment": [segment], "n_docs": [len(held)], "n_tokens": [pending], "payload": [write_segment(held, ids)]}
 
-        for batch in batches:
-            for doc, coded in zip(batch.column(0).to_pylist(), tokenizer(tokenizer_name).encode(texts(batch.column(1)))):
+        for docs, found in together(batches):
+            for doc, coded in zip(docs, tokenizer(tokenizer_name).encode(found)):
                 held.append(doc)
                 ids.append(coded + end)
                 pending += len(ids[-1]) // 4
@@ -286,7 +399,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_name: str = "word_bp
         if held:
             yield flush()
 
-    map_partition(ordered, run, "shard int, segment int, n_docs bigint, n_tokens bigint, payload binary").write.parquet(path)
+    map_partition(ordered, run, "shard int, segment int, n_docs bigint, n_tokens bigint, payload binary", keep_pieces=True).write.parquet(path)
 
 
 def read_token_files(df: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from reviewlake.llm import packing, token_files
+from reviewlake.llm import packing, token_files, tokens
 from reviewlake.llm.tokens import PIECES, PieceTokenizer
 
 ODD = ["a  b", "a \n b\n\n c", " \t x", "x<|endoftext|> y  <|endoftext|>z", "\xa0  b", "don't  's 12 3.5", "", " ", "\n\n", "É é x", "  a  b\x1c c",
@@ -28,6 +28,32 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+UPPER = ["THE The the", "DON'T Don't 'S x'S", "H\u0331 h\u0331 J\u030c j\u030c I\u0307 KİT \u212a", "E\u0301.E\u0301 A=\u0338B", "a,B;c 3.5X x9Y", ""]
+
+
+def test_words_are_looked_up_once_for_many_texts(monkeypatch):
+    texts = ODD + UPPER + ["".join(random.Random(i).choices("aBcHJ '.,9é\u0331\u030c\u2019\u2003\x1dΣ\n", k=i % 60)) for i in range(3000)]
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ours = PieceTokenizer("word_bpe_49k.json")
+    for most in (1 << 22, 50):
+        monkeypatch.setattr(tokens, "TOGETHER", most)
+        for text, ids in zip(texts, ours.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(tokens, "TOGETHER", 1 << 22)
+    ours.forget()
+    asked = []
+    monkeypatch.setattr(PieceTokenizer, "__getitem__", lambda self, piece: asked.append(piece) or self.__missing__(piece), raising=False)
+    ours.encode([b"one two, One TWO"] * 100)
+    assert sorted(asked) == [b",", b"one", b"two"]
+
+
+def test_an_interval_is_asked_for_once_an_id(monkeypatch):
+    stream = np.random.default_rng(3).integers(0, 500, 3 * token_files.BLOCK).astype("<u4")
+    data, asked, interval = token_files.write_segment([1], [stream.tobytes()]), [], token_files._Models.interval
+    monkeypatch.setattr(token_files._Models, "interval", lambda *a: asked.append(1) or interval(*a))
+    assert (token_files.read_segment(data)[1] == stream).all() and len(asked) == token_files.BLOCK
+
+
 @pytest.mark.parametrize("size", [0, 1, 2, 1023, 1024, 1025, 5000, 200_000])
 @pytest.mark.parametrize("most", [1, 40, 65_536])
 def test_segment_round_trip(size, most):
