@@ -54,7 +54,7 @@ class _Models:
 
     def __init__(self, n: int, decoding: bool):
         self.n, self.lane, self.decoding = n, np.arange(n), decoding
-        self.slot, self.row, self.mixed = self.lane * _SLOTS, self.lane * (_BUCKETS + 1), self.lane * 8
+        self.slot, self.row, self.mixed = self.lane, self.lane * (_BUCKETS + 1), self.lane * 8
         self.tables = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]  # (rank + 1) << 3 | confidence, 0 for an empty place
         self.weights = [np.full(n * 8, w, np.int32) for w in (16384, 9830)]  # chance of a hit by confidence, of 65536
         for weights in self.weights:
@@ -89,8 +89,8 @@ class _Models:
         two += one
         two += np.right_shift(b, 3, out=more)
         one += np.right_shift(a, 5, out=more)
-        two &= _SLOTS - 1
-        one &= _SLOTS - 1
+        two &= _SLOTS - 1; two *= self.n
+        one &= _SLOTS - 1; one *= self.n
         np.add(two, self.slot[:m], out=two_at)
         np.add(one, self.slot[:m], out=one_at)
         self.guess, self.sure, self.weight = values[0:2], values[2:4], values[4:6]  # rank + 1, confidence, chance of a hit

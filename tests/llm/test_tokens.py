@@ -28,11 +28,11 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
-UPPER = ["THE The the", "DON'T Don't 'S x'S", "H\u0331 h\u0331 J\u030c j\u030c I\u0307 KİT \u212a", "E\u0301.E\u0301 A=\u0338B", "a,B;c 3.5X x9Y", ""]
+UPPER = ["THE The the", "DON'T Don't 'S x'S", "H\u0331 h\u0331 J\u030c j\u030c I\u0307 KİT \u212a", "E\u0301.E\u0301 A=\u0338B", "a,B;c 3.5X x9Y", "", "Ó,ó Ñandú. ×a÷ ÿ;Ÿ ßS À\u0301.É"]
 
 
 def test_words_are_looked_up_once_for_many_texts(monkeypatch):
-    texts = ODD + UPPER + ["".join(random.Random(i).choices("aBcHJ '.,9é\u0331\u030c\u2019\u2003\x1dΣ\n", k=i % 60)) for i in range(3000)]
+    texts = ODD + UPPER + ["".join(random.Random(i).choices("aBcHJ '.,9éÉ×\u0331\u030c\u2019\u2003\x1dΣ\n", k=i % 60)) for i in range(3000)]
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ours = PieceTokenizer("word_bpe_49k.json")
     for most in (1 << 22, 50):
