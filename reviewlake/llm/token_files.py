@@ -64,9 +64,18 @@ class _Models:
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.hash = [np.empty(n, np.int32) for _ in range(3)]
         self.places = [np.empty(n, np.int64) for _ in range(5)]
-        self.values = [np.empty(n, np.int32) for _ in range(13)]
+        self.values = [np.empty(n, np.int32) for _ in range(12)]
+        self.use(n)
         self.refresh()
 
+    def use(self, m: int) -> None:
+        """The arrays that results go to, for the first ``m`` blocks."""
+        values = [v[:m] for v in self.values]
+        self.m, self.hashes, self.place = m, [h[:m] for h in self.hash], [p[:m] for p in self.places]
+        self.guess, self.sure, self.weight = values[0:2], values[2:4], values[4:6]  # rank + 1, confidence, chance of a hit
+        self.first, self.second, self.both, self.rest = values[6:10]
+        self.low, self.size = values[10:12]
+
     def refresh(self) -> None:
         counts = self.counts.reshape(self.n, _BUCKETS + 1)[:, :_BUCKETS]
         share = 1 + counts * (256 - _BUCKETS) // counts.sum(axis=1, keepdims=True, dtype=np.int32)
@@ -80,10 +89,11 @@ class _Models:
 
     def predict(self, m: int) -> None:
         """Predictions and mixture weights for the next id of the first ``m`` blocks."""
+        if m != self.m:
+            self.use(m)
         a, b = self.last[:m], self.before[:m]
-        one, two, more = (h[:m] for h in self.hash)
-        two_at, one_at, two_sure, one_sure, _ = self.place = [p[:m] for p in self.places]
-        values = [v[:m] for v in self.values]
+        one, two, more = self.hashes
+        two_at, one_at, two_sure, one_sure, _ = self.place
         np.multiply(a, 24593, out=one)
         np.multiply(b, 30013, out=two)
         two += one
@@ -93,14 +103,12 @@ class _Models:
         one &= _SLOTS - 1; one *= self.n
         np.add(two, self.slot[:m], out=two_at)
         np.add(one, self.slot[:m], out=one_at)
-        self.guess, self.sure, self.weight = values[0:2], values[2:4], values[4:6]  # rank + 1, confidence, chance of a hit
         for k, (at, sure_at) in enumerate(((two_at, two_sure), (one_at, one_sure))):
             packed = self.tables[k].take(at, out=self.guess[k], mode="clip")
             np.bitwise_and(packed, 7, out=self.sure[k])
             packed >>= 3
             np.add(self.sure[k], self.mixed[:m], out=sure_at)
             self.weights[k].take(sure_at, out=self.weight[k], mode="clip")
-        self.first, self.second, self.both, self.rest = values[6:10]
         first = np.left_shift(self.weight[0], _CLASS_BITS - 16, out=self.first)
         second = np.right_shift(self.weight[1], 6, out=self.second)
         second *= np.subtract(1 << _CLASS_BITS, first, out=more)
@@ -113,7 +121,7 @@ class _Models:
 
     def interval(self, m: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of a magnitude's part of the mixture."""
-        at, (low, size) = self.place[4], (v[:m] for v in self.values[10:12])
+        at, low, size = self.place[4], self.low, self.size
         np.add(self.row[:m], bucket, out=at)
         self.starts.take(at, out=low, mode="clip")
         at += 1
@@ -128,7 +136,7 @@ class _Models:
 
     def learn(self, m: int, rank1: np.ndarray, missed: np.ndarray) -> None:
         """Take the coded rank + 1 into all models; :meth:`interval` was last asked for the magnitude of those that were missed."""
-        fresh, more = self.hash[0][:m], self.hash[1][:m]
+        fresh, more, _ = self.hashes
         np.left_shift(rank1, 3, out=fresh)
         fresh |= 1
         for k in range(2):
