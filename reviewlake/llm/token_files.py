@@ -33,7 +33,7 @@ from .common import id_and_text, map_partition, texts
 from .tokens import TOGETHER, tokenizer
 
 BLOCK = 1024
-SEGMENT = 1 << 22
+SEGMENT = 1 << 23
 MAGIC = b"CMRC0001"
 
 _U = np.uint64
@@ -49,114 +49,108 @@ _LEAST, _MOST = 512, 57344  # bounds of a weight, of 65536
 class _Models:
     """The models of ``n`` blocks side by side, the same for coding and decoding; all numbers fit 32 bits.
 
-    Places are 64-bit integers and results go to given arrays: numpy takes and puts these without a copy.
+    Both context orders lie in one array (order 2, then order 1), so that a call serves both. Places are
+    64-bit integers and results go to given arrays: numpy takes and puts these without a copy.
     """
 
     def __init__(self, n: int, decoding: bool):
         self.n, self.lane, self.decoding = n, np.arange(n), decoding
-        self.slot, self.row, self.mixed = self.lane, self.lane * (_BUCKETS + 1), self.lane * 8
-        self.tables = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]  # (rank + 1) << 3 | confidence, 0 for an empty place
-        self.weights = [np.full(n * 8, w, np.int32) for w in (16384, 9830)]  # chance of a hit by confidence, of 65536
-        for weights in self.weights:
-            weights[::8] = _LEAST
-        self.counts = np.ones(n * (_BUCKETS + 1), np.int32)
-        self.counts[_BUCKETS::_BUCKETS + 1] = 0
+        self.slot = np.stack([self.lane, self.lane + n * _SLOTS]).astype(np.int32)
+        self.mixed = np.stack([self.lane * 8, (self.lane + n) * 8]).astype(np.int32)
+        self.row = (self.lane * _BUCKETS).astype(np.int32)
+        self.table = np.zeros(2 * n * _SLOTS, np.int32)  # (rank + 1) << 3 | confidence, 0 for an empty place
+        self.weights = np.repeat(np.array([16384, 9830], np.int32), n * 8)  # chance of a hit by confidence, of 65536
+        self.weights[::8] = _LEAST
+        self.counts = np.ones(n * _BUCKETS, np.int32)
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.hash = [np.empty(n, np.int32) for _ in range(3)]
-        self.places = [np.empty(n, np.int64) for _ in range(5)]
-        self.values = [np.empty(n, np.int32) for _ in range(12)]
         self.use(n)
         self.refresh()
 
     def use(self, m: int) -> None:
         """The arrays that results go to, for the first ``m`` blocks."""
-        values = [v[:m] for v in self.values]
-        self.m, self.hashes, self.place = m, [h[:m] for h in self.hash], [p[:m] for p in self.places]
-        self.guess, self.sure, self.weight = values[0:2], values[2:4], values[4:6]  # rank + 1, confidence, chance of a hit
-        self.first, self.second, self.both, self.rest = values[6:10]
-        self.low, self.size = values[10:12]
+        self.m, self.slots, self.mixes = m, np.ascontiguousarray(self.slot[:, :m]), np.ascontiguousarray(self.mixed[:, :m])
+        self.hash, self.guess, self.sure, self.weight, self.bounds = np.empty((5, 2, m), np.int32)  # guess: rank + 1; weight: chance of a hit
+        self.first, self.second, self.both, self.rest, self.more, self.bound = np.empty((6, m), np.int32)
+        self.place, self.sure_place, self.bucket_place = np.empty((2, m), np.int64), np.empty((2, m), np.int64), np.empty(m, np.int64)
+        self.last, self.before = self.last[:m], self.before[:m]
 
     def refresh(self) -> None:
-        counts = self.counts.reshape(self.n, _BUCKETS + 1)[:, :_BUCKETS]
-        share = 1 + counts * (256 - _BUCKETS) // counts.sum(axis=1, keepdims=True, dtype=np.int32)
+        counts = self.counts.reshape(self.n, _BUCKETS)
+        share = counts * np.int32(256 - _BUCKETS)
+        share //= counts.sum(axis=1, keepdims=True, dtype=np.int32)
+        share += 1
         share[self.lane, counts.argmax(axis=1)] += 256 - share.sum(axis=1, dtype=np.int32)
-        starts = np.zeros((self.n, _BUCKETS + 1), np.int32)
-        np.cumsum(share, axis=1, out=starts[:, 1:])
-        self.starts = starts.ravel()
+        ends = np.cumsum(share, axis=1, dtype=np.int32)
+        self.parts = ((ends - share) | ends << 9).ravel()  # start and end of a magnitude's part, of 256
         if self.decoding:
-            self.bucket_of = np.repeat(np.tile(np.arange(_BUCKETS, dtype=np.int32), self.n), share.ravel())  # 256 per block
+            self.bucket_of = np.repeat(np.tile(np.arange(_BUCKETS, dtype=np.uint8), self.n), share.ravel())  # 256 per block
         counts -= counts >> 2
 
     def predict(self, m: int) -> None:
         """Predictions and mixture weights for the next id of the first ``m`` blocks."""
         if m != self.m:
             self.use(m)
-        a, b = self.last[:m], self.before[:m]
-        one, two, more = self.hashes
-        two_at, one_at, two_sure, one_sure, _ = self.place
+        a, b, more, places = self.last, self.before, self.more, self.hash
+        two, one = places
         np.multiply(a, 24593, out=one)
         np.multiply(b, 30013, out=two)
         two += one
         two += np.right_shift(b, 3, out=more)
         one += np.right_shift(a, 5, out=more)
-        two &= _SLOTS - 1; two *= self.n
-        one &= _SLOTS - 1; one *= self.n
-        np.add(two, self.slot[:m], out=two_at)
-        np.add(one, self.slot[:m], out=one_at)
-        for k, (at, sure_at) in enumerate(((two_at, two_sure), (one_at, one_sure))):
-            packed = self.tables[k].take(at, out=self.guess[k], mode="clip")
-            np.bitwise_and(packed, 7, out=self.sure[k])
-            packed >>= 3
-            np.add(self.sure[k], self.mixed[:m], out=sure_at)
-            self.weights[k].take(sure_at, out=self.weight[k], mode="clip")
-        first = np.left_shift(self.weight[0], _CLASS_BITS - 16, out=self.first)
-        second = np.right_shift(self.weight[1], 6, out=self.second)
+        places &= _SLOTS - 1
+        places *= self.n
+        places += self.slots
+        self.place[:] = places
+        packed = self.table.take(self.place, out=self.guess, mode="clip")
+        np.bitwise_and(packed, 7, out=self.sure)
+        packed >>= 3
+        self.sure_place[:] = np.add(self.sure, self.mixes, out=places)
+        weights = self.weights.take(self.sure_place, out=self.weight, mode="clip")
+        first = np.left_shift(weights[0], _CLASS_BITS - 16, out=self.first)
+        second = np.right_shift(weights[1], 6, out=self.second)
         second *= np.subtract(1 << _CLASS_BITS, first, out=more)
         second >>= 10
         np.add(first, second, out=self.both)
         np.subtract(1 << _CLASS_BITS, self.both, out=self.rest)
-        same = self.guess[0] == self.guess[1]
-        first += np.multiply(second, same, out=more)
+        np.multiply(second, packed[0] == packed[1], out=more)
+        first += more
         second -= more
 
     def interval(self, m: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of a magnitude's part of the mixture."""
-        at, low, size = self.place[4], self.low, self.size
-        np.add(self.row[:m], bucket, out=at)
-        self.starts.take(at, out=low, mode="clip")
-        at += 1
-        self.starts.take(at, out=size, mode="clip")
-        at -= 1
-        for x in (low, size):
-            x *= self.rest
-            x >>= 8
+        self.bucket_place[:] = np.add(self.row[:m], bucket, out=self.bound)
+        low, size = self.bounds
+        part = self.parts.take(self.bucket_place, out=self.bound, mode="clip")
+        np.bitwise_and(part, 511, out=low)
+        np.right_shift(part, 9, out=size)
+        self.bounds *= self.rest
+        self.bounds >>= 8
         size -= low
         low += self.both
         return low, size
 
-    def learn(self, m: int, rank1: np.ndarray, missed: np.ndarray) -> None:
-        """Take the coded rank + 1 into all models; :meth:`interval` was last asked for the magnitude of those that were missed."""
-        fresh, more, _ = self.hashes
-        np.left_shift(rank1, 3, out=fresh)
+    def learn(self, rank1: np.ndarray, right: np.ndarray, missed: np.ndarray) -> None:
+        """Take the coded rank + 1 into all models; :meth:`interval` was last asked for the magnitude of those that were missed.
+
+        ``right``: which guesses were. ``rank1`` must stay as it is for two more ids.
+        """
+        more, weight, sure = self.hash, self.weight, self.sure
+        np.multiply(right, np.int32(_MOST - _LEAST), out=more)
+        more += np.int32(_LEAST)
+        more -= weight
+        more >>= 5
+        weight += more
+        self.weights[self.sure_place] = weight
+        np.minimum(sure, 3, out=sure)
+        sure *= right
+        fresh = np.left_shift(rank1, 3, out=self.more)
         fresh |= 1
-        for k in range(2):
-            right = self.guess[k] == rank1
-            weight, sure = self.weight[k], self.sure[k]
-            np.multiply(right, np.int32(_MOST - _LEAST), out=more)
-            more += np.int32(_LEAST)
-            more -= weight
-            more >>= 5
-            weight += more
-            self.weights[k][self.place[2 + k]] = weight
-            np.minimum(sure, 3, out=sure)
-            sure *= right
-            sure += fresh
-            self.tables[k][self.place[k]] = sure
-        counts = self.counts.take(self.place[4], out=more, mode="clip")
-        counts += np.multiply(missed, np.int32(24), out=fresh)
-        self.counts[self.place[4]] = counts
-        self.before[:m] = self.last[:m]
-        self.last[:m] = rank1
+        sure += fresh
+        self.table[self.place] = sure
+        counts = self.counts.take(self.bucket_place, out=self.more, mode="clip")
+        counts += np.multiply(missed, np.int32(24), out=self.bound)
+        self.counts[self.bucket_place] = counts
+        self.before, self.last = self.last, rank1
 
 
 def _magnitude(x: np.ndarray) -> np.ndarray:
@@ -177,7 +171,7 @@ def _chosen(other: np.ndarray, missed: np.ndarray, *choices: tuple[np.ndarray, n
 def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """16-bit words of each block. ``ranks``: one row per block; only the last block may be shorter."""
     n, steps = ranks.shape
-    models, columns = _Models(n, False), np.array(ranks.T, dtype=np.int32, order="C")
+    models, columns = _Models(n, False), np.add(ranks.T, 1, dtype=np.int32, order="C")
     width = 2 * steps + 16
     lows, sizes = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
     # Words, and where the next one of each block goes; equal places of all blocks lie side by side, since blocks fill alike.
@@ -188,14 +182,13 @@ def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
             break
         if i and i % _REFRESH == 0:
             models.refresh()
+        if i % _REFRESH == 0:
+            buckets = _magnitude(columns[i:i + _REFRESH])
         models.predict(m)
         low, size, at = lows[:m], sizes[:m], ats[:m]
-        rank1 = columns[i, :m]
-        rank1 += 1
-        bucket = _magnitude(rank1)
-        two = models.guess[0] == rank1
-        one = models.guess[1] == rank1
-        one &= ~two
+        rank1, bucket = columns[i, :m], buckets[i % _REFRESH, :m]
+        right = models.guess == rank1
+        two, one = right[0], right[1] & ~right[0]
         missed = ~(two | one)
         start, part = models.interval(m, bucket)
         _chosen(start, missed, (models.first, one))
@@ -228,7 +221,7 @@ def code_blocks(ranks: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
             low[thin] <<= _U(16)
             size[thin] <<= _U(16)
             thin = thin[size[thin] < _TOP]
-        models.learn(m, rank1, missed)
+        models.learn(rank1, right, missed)
     low, out, filled = lows, np.ascontiguousarray(out.reshape(width, n)[:int(ats.max(initial=0)) // n + 1].T), ats // n
     end = low + (_TOP - _U(1))  # one word reaches into the last range; what follows reads as zeros
     carry = np.flatnonzero(end < low)
@@ -278,7 +271,7 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
         target -= 1
         target //= models.rest
         np.minimum(target, 255, out=target)
-        bucket = models.bucket_of.take(target + cell[:m], mode="clip")
+        bucket = models.bucket_of.take(target + cell[:m], mode="clip").astype(np.int32)
         start, part = models.interval(m, bucket)
         _chosen(start, missed, (models.first, one))
         _chosen(part, missed, (models.first, two), (models.second, one))
@@ -309,7 +302,7 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
         rank1 += offset.astype(np.int32)
         _chosen(rank1, missed, (models.guess[0], two), (models.guess[1], one))
         np.subtract(rank1, 1, out=ranks[i, :m])
-        models.learn(m, rank1, missed)
+        models.learn(rank1, models.guess == rank1, missed)
     return ranks.T
 
 

@@ -47,6 +47,32 @@ def test_words_are_looked_up_once_for_many_texts(monkeypatch):
     assert sorted(asked) == [b",", b"one", b"two"]
 
 
+def test_new_words_are_merged_in_few_calls_of_the_library(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghilmnorstuéñßíàÖÜÀ", k=rng.randint(1, 14))) for _ in range(2500)]
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ours, calls = PieceTokenizer("word_bpe_49k.json"), []
+    ours.merge = lambda piece: calls.append(piece) or whole.model.tokenize(piece)
+    texts = [" ".join(words[i:i + 50]) for i in range(0, len(words), 50)]
+    for text, ids in zip(texts, ours.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert not calls and not ours.merged
+    monkeypatch.setattr(tokens, "MOST_PIECES", 7)  # pieces fall out of the table while others are asked for
+    ours.forget()
+    for text, ids in zip(texts, ours.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("size", [3 * 1024, 3 * 1024 + 500])
+def test_both_context_orders_are_looked_up_by_one_call(size, monkeypatch):
+    stream = np.random.default_rng(5).integers(0, 300, size).astype("<u4")
+    data, models = token_files.write_segment([1], [stream.tobytes()]), []
+    use = token_files._Models.use
+    monkeypatch.setattr(token_files._Models, "use", lambda self, m: models.append(self) or use(self, m))
+    assert (token_files.read_segment(data)[1] == stream).all()
+    assert models[0].table.size == 2 * models[0].n * token_files._SLOTS and models[0].place.shape == (2, models[0].m)
+
+
 def test_an_interval_is_asked_for_once_an_id(monkeypatch):
     stream = np.random.default_rng(3).integers(0, 500, 3 * token_files.BLOCK).astype("<u4")
     data, asked, interval = token_files.write_segment([1], [stream.tobytes()]), [], token_files._Models.interval
