@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_and_text, map_arrow, ship, texts
+from .common import give_back, id_and_text, map_partition, ship, texts
 from .tokens import tokenizer
 
 LENGTH = 2048
@@ -163,7 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer_name: str = "byte_bpe_50k.json", e
         return packed
 
     ship(spark)
-    dealt = map_arrow(base, tokens, "part int, doc_id bigint, order bigint, ids binary")
+    dealt = map_partition(base, lambda batches: map(tokens, batches), "part int, doc_id bigint, order bigint, ids binary", keep_pieces=True)
     packed = dealt.groupBy("part").applyInArrow(run, SCHEMA)
     return packed if with_ids else packed.drop("ids")
 

@@ -47,6 +47,33 @@ def test_words_are_looked_up_once_for_many_texts(monkeypatch):
     assert sorted(asked) == [b",", b"one", b"two"]
 
 
+def test_spaced_pieces_are_looked_up_once_for_many_texts(monkeypatch):
+    rng = random.Random(8)
+    parts = [*"ab Z'’st.,!\n\t\r  129é́×÷ÿÀ٣½ǅªº_`~", "don't", " 'S", "\n\n ", " \n", "  ", "abc123", "3.5%,", " word", "e\u0301", "<|endoftext|>", "\xa0"]
+    texts = ODD + UPPER + ["".join(rng.choices(parts, k=i % 25)) for i in range(6000)]
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for special_as_text, most in ((False, 1 << 22), (True, 50)):
+        monkeypatch.setattr(tokens, "TOGETHER", most)
+        whole.encode_special_tokens = special_as_text
+        for text, ids in zip(texts, PieceTokenizer("byte_bpe_50k.json", special_as_text).encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(tokens, "TOGETHER", 1 << 22)
+    ours, asked = PieceTokenizer("byte_bpe_50k.json"), []
+    monkeypatch.setattr(PieceTokenizer, "__getitem__", lambda self, piece: asked.append(piece) or self.__missing__(piece), raising=False)
+    ours.encode([b"one two, one TWO2 \n", b"one"] * 100)
+    assert sorted(asked) == [b" \n", b" TWO", b" one", b" two", b",", b"2", b"one"]
+
+
+def test_bytes_that_are_no_utf8_are_replaced():
+    rng = random.Random(9)
+    texts = [bytes(rng.choices([0xC3, 0xA9, 0xC4, 0xFF, 0x97, 32, 10, 44, 97], k=i % 8)) for i in range(3000)]
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ours = PieceTokenizer("byte_bpe_50k.json")
+    for at in range(0, len(texts), 2):
+        for data, ids in zip(texts[at:at + 2], ours.encode(texts[at:at + 2]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, data
+
+
 def test_new_words_are_merged_in_few_calls_of_the_library(monkeypatch):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefghilmnorstuéñßíàÖÜÀ", k=rng.randint(1, 14))) for _ in range(2500)]
