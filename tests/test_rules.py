@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -322,3 +323,19 @@ def test_schema_test_of_typed_columns_is_that_of_the_item(spark):
     rows = E.strict_schema(spark.createDataFrame([(i,) for i in items], "raw string").select(F.parse_json("raw").alias("item")))
     found = rows.select("ai_schema_ok", E.item_ok(F.col("item")).alias("own")).collect()
     assert [r.ai_schema_ok for r in found] == [r.own for r in found] == [True, False, True, False, False, False]
+
+
+def test_reports_of_ordinary_reviews_move_their_rows_once(spark):
+    """Ordinary and long reviews have the same pages; the rows of ordinary ones are moved to their review and no further."""
+    rows = [(i % 4 or None, None if i % 97 == 5 else i // 3 if i % 3 else i, f"f{i % 5}.py", i % 7, "x" if i % 4 else "y", "low" if i % 2 else "high", "ruff" if i % 3 else "ai",
+             f"t{i}", "d", None if i % 5 else "s", "unknown_file" if i % 6 == 1 else None) for i in range(400)]
+    checked = spark.createDataFrame(rows, "review_id long, idx long, file_path string, line_number int, category string, severity string, source string, title string, description string, suggestion string, reason string")
+    jobs = spark.createDataFrame([(i, "completed") for i in (1, 2, 2, 3, 9)] + [(None, "failed")], "review_id long, status string")
+    kinds = [R.build_reports(jobs, checked, page_size=7, whole=whole).schema.simpleString() for whole in (0, 10**6)]
+    assert kinds[0] == kinds[1]
+    once = spark.createDataFrame(list({row[:2]: row for row in rows}.values()), checked.schema)
+    built = {whole: sorted(map(repr, R.build_reports(jobs, once, page_size=7, whole=whole).collect())) for whole in (0, 60, 10**6)}
+    assert built[0] == built[60] == built[10**6] and len(built[0]) > 40
+    plan = R.build_reports(jobs, checked, page_size=7)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"review_id#\d+L", key) for key in keys)
