@@ -339,3 +339,24 @@ def test_reports_of_ordinary_reviews_move_their_rows_once(spark):
     plan = R.build_reports(jobs, checked, page_size=7)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
     assert keys and all(re.fullmatch(r"review_id#\d+L", key) for key in keys)
+
+
+@pytest.mark.parametrize("raw, error, count", [
+    (answer(BASE), None, 1), (answer(dict(reversed(BASE.items())), BASE), None, 2), (answer(), None, 0), (" " + answer(BASE) + "\n", None, 1),
+    *[(answer({**BASE, key: value}, BASE), "ai_invalid_response", None) for key in ("title", "line_number", "source") for value in (None, True, 2.0, "", [], {})],
+    *[(answer({k: v for k, v in BASE.items() if k != key}, BASE), "ai_invalid_response", None) for key in ("title", "line_number", "suggestion")],
+    *[(answer(item, BASE), "ai_invalid_response", None) for item in (None, [], "x", {}, {**BASE, "a: STRING, b": "x"}, {**BASE, "line_number": 2**64})],
+    *[(answer(*[None] * n), "ai_invalid_response", None) for n in (1, 2)], (answer(BASE, extra=1), "ai_invalid_response", None),
+    *[(before + answer(BASE) + after, "ai_invalid_response", None)
+      for before, after in (("", "]"), ("", "}"), ("", "],[1"), ("", '},{"v":2'), ("", ",1"), ("", " x"), ("[", ""), ("", answer(BASE)))],
+    (answer(BASE).replace('"title"', '"title":"a","title"'), "ai_invalid_response", None), (answer(*[BASE] * 51), "ai_invalid_response", None)])
+def test_answers_are_read_by_their_shape(spark, raw, error, count):
+    given = spark.createDataFrame([(1, BASE["file_path"], raw, "STOP")], "review_id long, file_path string, raw string, finish_reason string")
+    row = E.validate_model_responses(given, lookup(spark)).first()
+    assert (row.error, row.findings_count) == (error, count)
+
+
+def test_an_answer_is_parsed_once_and_its_types_are_told_at_once(spark):
+    given = spark.createDataFrame([(1, "a.py", answer(BASE), "STOP")], "review_id long, file_path string, raw string, finish_reason string")
+    plan = E.validate_model_responses(given.repartition(2), lookup(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("schemaOfVariant(") == 1 and plan.count("try_variant_get(") <= 2
