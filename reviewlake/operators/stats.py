@@ -132,12 +132,13 @@ def throughput(jobs: DataFrame, start: str = "created_at", end: str = "completed
 
 
 def provider_stats(calls: DataFrame, by: Sequence[str] = (),
-                   counters: Sequence[str] = TOKEN_COUNTERS) -> DataFrame:
+                   counters: Sequence[str] | None = None) -> DataFrame:
     """Failure rate, averaged median, nearest-rank p95 and mean tokens of provider calls.
 
-    ``calls``: ``status``, ``seconds`` and the counters. A mean exists only when every
-    successful call reports that counter.
+    ``calls``: ``status``, ``seconds`` and the counters, by default those of the token counters that it has.
+    A mean exists only when every successful call reports that counter.
     """
+    counters = [c for c in TOKEN_COUNTERS if c in calls.columns] if counters is None else counters
     good = calls.filter(F.col("status") == "completed")
     ok = F.col("status") == "completed"
     totals = calls.groupBy(*by).agg(
